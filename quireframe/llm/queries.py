@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import bpe, chat, host_quality, mixing, packing, quality_classifier, sharding, warc
+from quireframe.llm import ann, bpe, chat, host_quality, mixing, packing, quality_classifier, sharding, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,6 +26,10 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digests(warc.archive_pages(_table(spark, sf_dir, "pages")))
 
@@ -56,7 +60,7 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_quality, op2_sampled_splitters, op4_warc_transactions, op5_concat_and_cut, op7_pivotal_mix, op8_compression_classifier, op9_heap_bpe_counts, op10_incremental_chat)
+    f.__name__: f for f in (op1_host_quality, op2_sampled_splitters, op3_adaptive_scan, op4_warc_transactions, op5_concat_and_cut, op7_pivotal_mix, op8_compression_classifier, op9_heap_bpe_counts, op10_incremental_chat)
 }
 
 SQL: dict[str, str] = {
