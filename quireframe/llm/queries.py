@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import ann, bpe, chat, host_quality, mixing, packing, quality_classifier, sharding, warc
+from quireframe.llm import ann, bpe, chat, host_quality, mixing, near_duplicates, packing, quality_classifier, sharding, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +39,11 @@ def op5_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.document_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_quality, op2_sampled_splitters, op3_adaptive_scan, op4_warc_transactions, op5_concat_and_cut, op7_pivotal_mix, op8_compression_classifier, op9_heap_bpe_counts, op10_incremental_chat)
+    f.__name__: f for f in (op1_host_quality, op2_sampled_splitters, op3_adaptive_scan, op4_warc_transactions, op5_concat_and_cut, op6_parity_sketch_join, op7_pivotal_mix, op8_compression_classifier, op9_heap_bpe_counts, op10_incremental_chat)
 }
 
 SQL: dict[str, str] = {
