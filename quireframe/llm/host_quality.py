@@ -120,10 +120,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", host: str = "source",
 def keep_documents(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and whose host is kept, with the columns of ``docs``.
 
-    A first pass gives the hosts' sums. The second measures again: that costs less than a shuffle or a second copy
-    of all texts.
+    The documents are measured once and written with their base verdict; the hosts' sums and the result read that
+    table. (A filter on the measures themselves would be pushed below them and evaluate them again and again.)
     """
-    slim = docs.select(docs[f"`{host}`"].alias("host"), docs[f"`{text}`"].alias("text"))
-    hosts = written(host_verdicts(written(host_counts(with_base_measures(slim)), "host-counts"), max_rate), "hosts")
     both = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{host}`"].alias("host"), docs[f"`{text}`"].alias("text"))
-    return join_verdicts(with_base_measures(both), hosts).filter("kept").select("row.*")
+    measured = written(with_base_measures(both).select("row", "host", "base_failed"), "host-quality")
+    hosts = written(host_verdicts(host_counts(measured), max_rate), "hosts")
+    return join_verdicts(measured, hosts).filter("kept").select("row.*")
