@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireframe.llm.components import connected
@@ -21,65 +21,85 @@ from quireframe.llm.shingles import block_keys, linked, shingle_set, signature
 from quireframe.session import ship_code
 
 SIZE, PERCENT = 3, 90
-#: Sets compared in one unit of work; a larger group of candidates is cut into pairs of parts, so that all its pairs
+#: Sets, and members of these, that one unit of work compares; a larger group of candidates is cut into pairs of parts, so that all its pairs
 #: are compared in bounded memory.
-UNIT = 512
+UNIT = 4_096
+UNIT_MEMBERS = 4_000_000
 #: Texts whose sets are wanted, up to this number, are found by a broadcast of their hashes (16 bytes each).
 BROADCAST_TEXTS = 1_000_000
 #: Sets that a task remembers having listed.
 REMEMBERED = 500_000
 
 
-def _listed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, t (hash of the text), n (members), c (the set's identity, 0 for the empty set) and keys, which are left
-    out where the task has listed an equal set before."""
+def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
     ship_code(docs.sparkSession)
     x = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    slim = docs.select(docs[f"`{key}`"].alias("doc_id"), F.xxhash64(x).alias("t"), x.alias("text"))
+    return docs.select(docs[f"`{key}`"].alias("doc_id"), F.xxhash64(x).alias("t"), x.alias("text"))
+
+
+def _listed(slim: DataFrame, size: int) -> DataFrame:
+    """doc_id, t (hash of the text), n (members) and c (the set's identity, 0 for the empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (shingle_set(t.as_py(), size) for t in b.column("text"))
+            both = np.array([(len(s), signature(s)) for s in sets], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "t", "n", "c"])
+
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t long, n long, c long")
+
+
+def _keys(slim: DataFrame, size: int, percent: int) -> DataFrame:
+    """c and key: the blocks of each set, once a task for equal sets. They are made anew rather than stored with the
+    sets, as they are as many bytes as the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            n, c, keys = [], [], []
+            c, keys = [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
-                c.append(signature(s))
-                n.append(len(s))
-                keys.append(None if c[-1] in seen else block_keys(s, percent))
-                seen.add(c[-1])
+                if (k := signature(s)) not in seen:
+                    seen.add(k)
+                    keys.append(block_keys(s, percent))
+                    c.append(np.full(len(keys[-1]), k, dtype=np.int64))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t", "n", "c", "keys"])
+            if c:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)), pa.array(np.concatenate(keys))], ["c", "key"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t long, n long, c long, keys array<long>")
+    return slim.select("text").mapInArrow(run, "c long, key long")
 
 
-def _candidates(listed: DataFrame) -> DataFrame:
-    """unit, part and c: the sets that have to be compared with one another.
+def _candidates(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """unit, part, parts and c: the sets that have to be compared with one another.
 
-    Blocks that only one set has are dropped in the first pass. Sets that are connected through shared blocks make a
-    unit if they are few; in a larger group each block is a unit of its own, once for each set of members, and is cut
-    into parts.
+    Blocks that only one set has are dropped after the one shuffle of all blocks. Sets that are connected through shared
+    blocks make a unit if they and their members are few; in a larger group each block is a unit of its own, once for
+    each set of members, and is cut into parts.
     """
-    each = listed.select("c", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key", "lo")
-    members = written(each.join(shared, "key").select("key", "c", "lo").distinct(), "nd-members")
+    of_key = Window.partitionBy("key")
+    shared = keys.select("key", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi")).filter("lo < hi")
+    members = written(shared.select("key", "c", "lo").distinct(), "nd-members")
     groups = written(connected(members.select(F.col("c").alias("a"), F.col("lo").alias("b"))), "nd-groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    n = listed.select("c", "n").join(groups.select(F.col("node").alias("c")), "c", "left_semi").distinct()
+    groups = written(groups.withColumnRenamed("node", "c").join(n, "c"), "nd-group-sets")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("all_n"))
     groups = written(groups.join(sizes, "root"), "nd-sizes")
-    few = groups.filter(F.col("size") <= UNIT).select(F.col("root").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("node").alias("c"))
-    many = members.join(groups.filter(F.col("size") > UNIT).select(F.col("node").alias("c")), "c")
-    h = F.xxhash64("c").cast("decimal(38,0)")
-    blocks = many.groupBy("key").agg(F.count("*").alias("size"), F.sum(h).alias("h1"), F.sum(F.xxhash64("c", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
-    once = blocks.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / UNIT).cast("int").alias("parts"))
+    small = (F.col("size") <= UNIT) & (F.col("all_n") <= UNIT_MEMBERS)
+    few = groups.filter(small).select(F.col("root").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "c")
+    many = members.join(groups.filter(~small).select("c", "n"), "c")
+    h = lambda seed: F.sum(F.xxhash64("c", F.lit(seed)).cast("decimal(38,0)"))
+    blocks = many.groupBy("key").agg(F.count("*").alias("size"), h(0).alias("h1"), h(1).alias("h2"), F.sum("n").alias("all_n"))
+    parts = F.greatest(F.ceil(F.col("size") / UNIT), F.ceil(F.col("all_n") / UNIT_MEMBERS)).cast("int")
+    once = blocks.groupBy("size", "h1", "h2").agg(F.min("key").alias("key"), F.max(parts).alias("parts")).select("key", "parts")
     large = many.join(once, "key").select(F.xxhash64("key", F.lit(7)).alias("unit"), F.pmod(F.xxhash64("c", "key"), "parts").cast("int").alias("part"), "parts", "c")
     return few.unionByName(large)
 
 
-def _sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
+def _sets(slim: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """c and members (array) of the texts in ``wanted`` (t): a second reading, of these texts only."""
-    x = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    slim = docs.select(F.xxhash64(x).alias("t"), x.alias("text")).join(broadcast_if_small(wanted, BROADCAST_TEXTS), "t", "left_semi")
+    slim = slim.select("t", "text").join(broadcast_if_small(wanted, BROADCAST_TEXTS), "t", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -123,11 +143,12 @@ def document_components(docs: DataFrame, key: str = "doc_id", text: str = "text"
     words (or null) has an empty set and links with nothing. Rows that repeat a doc_id are rows of their own; a null
     doc_id is no component's smallest unless all are null. No link is lost: nothing is capped or sampled.
     """
-    listed = written(_listed(docs, key, text, size, percent), "nd-listed")
-    units = written(_candidates(listed), "nd-units")
+    slim = _slim(docs, key, text)
+    listed = written(_listed(slim, size), "nd-listed")
+    units = written(_candidates(_keys(slim, size, percent), listed), "nd-units")
     nodes = units.select("c").distinct()
     wanted = listed.select("c", "t").join(nodes, "c", "left_semi").groupBy("c").agg(F.min("t").alias("t")).select("t")
-    sets = written(_sets(docs, text, written(wanted, "nd-wanted"), size), "nd-sets")
+    sets = written(_sets(slim, written(wanted, "nd-wanted"), size), "nd-sets")
     roots = connected(written(_links(units, sets, percent), "nd-links"))
     roots = written(roots.select(F.col("node").alias("_c"), "root"), "nd-roots")
     rows = listed.select("doc_id", "t", F.col("n").alias("n_shingles"), "c")
