@@ -11,7 +11,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 AMOUNT = r"\$[0-9][0-9,]*(?:\.[0-9]{2})?"
 #: Words that carry no topic.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "has", "have", "not", "but", "you", "all", "can", "its", "will")
+STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "was", "were", "be", "as", "by", "with", "that", "this", "it", "from", "at")
 
 
 def pages_of(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n") -> DataFrame:
