@@ -86,8 +86,8 @@ WITH w AS (
   SELECT w.rid, doc_id, source, len(words) AS n_words,
          length(array_to_string(words, '')) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-         len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-           - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN repeated USING (rid)
 ), b AS (
