@@ -1,14 +1,15 @@
 """N-gram Jaccard join by parity sketches (operator 6).
 
 Texts are sets of word shingles. Each set is cut into blocks by a hash; a block is a small parity sketch that each member
-toggles, so sets that differ in few members agree in some block. Sets are joined on agreeing blocks per size band, and
-candidates are compared by whole sketches, whose Hamming distance bounds the symmetric difference from below, then
-exactly. Equal sets are one node from the start.
+toggles, so sets that differ in few members agree in some block. Sets are joined on agreeing blocks per size band. What
+shares a block is compared by whole sketches, whose Hamming distance bounds the symmetric difference from below, and what
+that leaves together exactly. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quireframe.llm.components import connected
 from quireframe.llm.shared import broadcast_if_small, written
-from quireframe.llm.shingles import block_keys, linked, shingle_set, signature
+from quireframe.llm.shingles import block_keys, linked, parity, shingle_set, signature, sketch_bits
 from quireframe.session import ship_code
 
 SIZE, PERCENT = 3, 90
@@ -71,68 +72,84 @@ def _keys(slim: DataFrame, size: int, percent: int) -> DataFrame:
     return slim.select("text").mapInArrow(run, "c long, key long")
 
 
-def _candidates(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """unit, part, parts and c: the sets that have to be compared with one another.
-
-    Blocks that only one set has are dropped after the one shuffle of all blocks. Sets that are connected through shared
-    blocks make a unit if they and their members are few; in a larger group each block is a unit of its own, once for
-    each set of members, and is cut into parts.
-    """
+def _members(keys: DataFrame) -> DataFrame:
+    """key and c of the blocks that several sets have; the others are dropped after the one shuffle of all blocks. Of
+    blocks with the same members one stays."""
     of_key = Window.partitionBy("key")
     shared = keys.select("key", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi")).filter("lo < hi")
-    members = written(shared.select("key", "c", "lo").distinct(), "nd-members")
-    groups = written(connected(members.select(F.col("c").alias("a"), F.col("lo").alias("b"))), "nd-groups")
-    n = listed.select("c", "n").join(groups.select(F.col("node").alias("c")), "c", "left_semi").distinct()
-    groups = written(groups.withColumnRenamed("node", "c").join(n, "c"), "nd-group-sets")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("all_n"))
-    groups = written(groups.join(sizes, "root"), "nd-sizes")
-    small = (F.col("size") <= UNIT) & (F.col("all_n") <= UNIT_MEMBERS)
-    few = groups.filter(small).select(F.col("root").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "c")
-    many = members.join(groups.filter(~small).select("c", "n"), "c")
+    members = written(shared.select("key", "c").distinct(), "nd-shared")
     h = lambda seed: F.sum(F.xxhash64("c", F.lit(seed)).cast("decimal(38,0)"))
-    blocks = many.groupBy("key").agg(F.count("*").alias("size"), h(0).alias("h1"), h(1).alias("h2"), F.sum("n").alias("all_n"))
-    parts = F.greatest(F.ceil(F.col("size") / UNIT), F.ceil(F.col("all_n") / UNIT_MEMBERS)).cast("int")
-    once = blocks.groupBy("size", "h1", "h2").agg(F.min("key").alias("key"), F.max(parts).alias("parts")).select("key", "parts")
-    large = many.join(once, "key").select(F.xxhash64("key", F.lit(7)).alias("unit"), F.pmod(F.xxhash64("c", "key"), "parts").cast("int").alias("part"), "parts", "c")
-    return few.unionByName(large)
+    blocks = members.groupBy("key").agg(F.count("*").alias("size"), h(0).alias("h1"), h(1).alias("h2"))
+    once = blocks.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    return written(members.join(once, "key", "left_semi"), "nd-members")
 
 
 def _sets(slim: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """c and members (array) of the texts in ``wanted`` (t): a second reading, of these texts only."""
+    """c, n, members (array) and sketch of the texts in ``wanted`` (t): a second reading, of these texts only."""
     slim = slim.select("t", "text").join(broadcast_if_small(wanted, BROADCAST_TEXTS), "t", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            c, sets = [], []
+            c, sets, sketches = [], [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
                 if (k := signature(s)) not in seen:
                     seen.add(k)
                     c.append(k)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["c", "members"])
+                    sketches.append(parity(s, sketch_bits(len(s))).tobytes())
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), n, pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["c", "n", "members", "sketch"])
+
+    found = slim.mapInArrow(run, "c long, n long, members array<long>, sketch binary")
+    return found.groupBy("c").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("sketch").alias("sketch"))
+
 
-    return slim.mapInArrow(run, "c long, members array<long>").groupBy("c").agg(F.first("members").alias("members"))
+def _in_parts(members: DataFrame, sets: DataFrame, unit: list[str]) -> DataFrame:
+    """``members`` with n and the part of its unit that each set is in: units of too many sets, or too many members of
+    these, have several."""
+    each = members.join(sets.select("c", "n"), "c")
+    parts = each.groupBy(*unit).agg(F.greatest(F.ceil(F.count("*") / UNIT), F.ceil(F.sum("n") / UNIT_MEMBERS)).cast("int").alias("parts"))
+    parts = written(parts, "nd-parts")
+    return each.join(parts, unit).select(F.xxhash64(*unit).alias("unit"), F.pmod(F.xxhash64("c", *unit), "parts").cast("int").alias("part"), "parts", "c")
 
 
-def _links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(units: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Links a, b that connect the sets of each unit as all its links would. Parts meet two and two: a row goes to each
-    pair of parts that its own belongs to."""
+    pair of parts that its own belongs to. Units are read one after the other from sorted partitions."""
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = units.withColumn("other", other).join(sets, "c").select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "c", "members")
+    of_set = ["n", "sketch", *(["members"] if exact else [])]
+    rows = units.withColumn("other", other).select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "c")
+    rows = rows.join(sets.select("c", *of_set), "c").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "c")
+
+    def pairs(t: pa.Table) -> np.ndarray:
+        c, part, n = (t[x].to_numpy() for x in ("c", "part", "n"))
+        sketches = [np.frombuffer(x, np.uint64) for x in t["sketch"].to_pylist()]
+        whole = [np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in t["members"]] if exact else None
+        at = linked(n, sketches, percent, whole, part == part[0] if part.min() != part.max() else None)
+        return c[np.array(at, dtype=np.int64).reshape(-1, 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chain(batches, [None]):
+            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None or not len(t):
+                continue
+            keys = np.column_stack([t[x].to_numpy() for x in ("unit", "low", "high")])
+            starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(t)]
+            whole = starts if b is None else starts[:-1]  # the last unit may go on in the next batch
+            out = [pairs(t.slice(x, y - x)) for x, y in zip(whole[:-1], whole[1:], strict=True) if y - x > 1]
+            held = t.slice(starts[-2])
+            if out:
+                found = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("c")
-        c, part = group["c"].to_numpy(), group["part"].to_numpy()
-        members = group["members"].combine_chunks()
-        flat, ends = members.flatten().to_numpy().view(np.uint64), np.cumsum(members.value_lengths().to_numpy())
-        sets = np.split(flat, ends[:-1])
-        pairs = linked(sets, percent, part == part[0] if part.min() != part.max() else None) if len(sets) > 1 else []
-        at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": c[at[:, 0]], "b": c[at[:, 1]]})
 
-    return rows.groupBy("unit", "low", "high").applyInArrow(run, "a long, b long")
+def _grouped(links: DataFrame) -> DataFrame:
+    return written(connected(written(links, "nd-links")), "nd-groups")
 
 
 def document_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -145,11 +162,18 @@ def document_components(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     slim = _slim(docs, key, text)
     listed = written(_listed(slim, size), "nd-listed")
-    units = written(_candidates(_keys(slim, size, percent), listed), "nd-units")
-    nodes = units.select("c").distinct()
-    wanted = listed.select("c", "t").join(nodes, "c", "left_semi").groupBy("c").agg(F.min("t").alias("t")).select("t")
+    members = _members(_keys(slim, size, percent))
+    wanted = listed.select("c", "t").join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t")).select("t")
     sets = written(_sets(slim, written(wanted, "nd-wanted"), size), "nd-sets")
-    roots = connected(written(_links(units, sets, percent), "nd-links"))
+    # Sketches thin out what shares a block; what they leave together is compared exactly, each set once, or block by
+    # block where a group is too large for one unit.
+    near = _grouped(_links(_in_parts(members, sets, ["key"]), sets, percent, exact=False))
+    near = near.select(F.col("node").alias("c"), "root").join(sets.select("c", "n"), "c")
+    sizes = near.groupBy("root").agg(((F.count("*") > UNIT) | (F.sum("n") > UNIT_MEMBERS)).alias("large"))
+    near = written(near.join(sizes, "root").drop("n"), "nd-near")
+    few = near.filter(~F.col("large")).select(F.col("root").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "c")
+    many = _in_parts(members.join(near.filter("large").select("c", "root"), "c"), sets, ["key", "root"])
+    roots = _grouped(_links(few.unionByName(many), sets, percent, exact=True))
     roots = written(roots.select(F.col("node").alias("_c"), "root"), "nd-roots")
     rows = listed.select("doc_id", "t", F.col("n").alias("n_shingles"), "c")
     rows = rows.join(broadcast_if_small(roots, BROADCAST_TEXTS), F.col("c") == F.col("_c"), "left").withColumn("root", F.when(F.col("c") != 0, F.coalesce("root", "c"))).drop("_c", "c")

@@ -118,36 +118,48 @@ def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
 def parity(s: np.ndarray, bits: int) -> np.ndarray:
     """The whole set's parity sketch of ``bits`` bits, as 64-bit words."""
     at = (mixed(s ^ _P[2]) % np.uint64(bits)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.uint64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
-def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of places whose sets link, enough to connect all that do: a pair is tried only while its two sides are not
-    connected. ``left`` (booleans) restricts pairs to those of one True and one False side, where given.
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of ``n`` members: a power of two, twice the members at least."""
+    return max(256, 1 << (2 * n - 1).bit_length())
 
-    Sketches are compared first: where they differ in more bits than linked sets of these sizes can differ in members,
-    the pair is out. What remains is counted exactly.
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches at the length of the shortest: the halves of one, laid over each other, are the sketch of half the bits."""
+    least, out = min(map(len, sketches)), []
+    for x in sketches:
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out)
+
+
+def linked(n: np.ndarray, sketches: list[np.ndarray], percent: int, sets: list[np.ndarray] | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that connect all that link: a pair is tried only while its two sides are not connected. ``left``
+    (booleans) restricts pairs to those of one True and one False side, where given.
+
+    A pair is out where the sketches differ in more bits than linked sets of these sizes can differ in members. With
+    ``sets``, what remains is counted exactly; without, every pair that remains counts as linked.
     """
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = max(512, 1 << int(8 * n.max() - 1).bit_length())
-    sketches = np.stack([parity(s, min(bits, 1 << 16)) for s in sets])
-    root, out = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
+    bits, root, out = folded(sketches), np.arange(len(n)), []
+    for i in range(len(n) - 1):
         other = root[i + 1 :] != root[i]
         if left is not None:
             other &= left[i + 1 :] != left[i]
-        both = n[i + 1 :] + n[i]
-        far = both * (100 - percent) // (100 + percent)
-        other &= np.abs(n[i + 1 :] - n[i]) <= far
-        at = np.flatnonzero(other) + i + 1
+        far = (n[i + 1 :] + n[i]) * (100 - percent) // (100 + percent)
+        at = np.flatnonzero(other & (np.abs(n[i + 1 :] - n[i]) <= far))
         if not len(at):
             continue
-        apart = np.bitwise_count(sketches[at] ^ sketches[i]).sum(1)
-        for j in at[apart <= far[at - i - 1]]:
+        apart = np.bitwise_count(bits[at + i + 1] ^ bits[i]).sum(1)
+        for j in at[apart <= far[at]] + i + 1:
             if root[j] == root[i]:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (n[i] + n[j] - common):
-                out.append((i, int(j)))
-                root[root == root[j]] = root[i]
+            if sets is not None:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common < percent * (n[i] + n[j] - common):
+                    continue
+            out.append((i, int(j)))
+            root[root == root[j]] = root[i]
     return out
