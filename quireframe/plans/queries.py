@@ -338,3 +338,6 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quireframe.streaming.events import hourly
 
     return hourly(_t(spark, sf_dir, "events"))
+
+
+from quireframe.plans import review_queries  # noqa: E402, F401 (it registers its queries here)
