@@ -28,8 +28,8 @@ def calculated(operands: DataFrame, of: str, value: str) -> DataFrame:
     """Sum, average, least, greatest and product of each form's operands; null unless every operand is a finite number."""
     v = F.col(value)
     whole = F.bool_and(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    made = {"total": F.sum(v), "average": F.avg(v), "least": F.min(v), "greatest": F.max(v), "product": F.product(v)}
-    return operands.groupBy(of).agg(*[F.round(F.when(whole, x), 6).alias(k) for k, x in made.items()])
+    made = {"total": F.sum(v), "average": F.avg(v), "least": F.min(v), "greatest": F.max(v)}
+    return operands.groupBy(of).agg(*[F.round(F.when(whole, x), 6).alias(k) for k, x in made.items()], F.when(whole, F.product(v)).alias("product"))
 
 
 def form_errors(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
