@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by adaptive dimension scan (operator 3).
 
-Vectors are turned by a random rotation and dealt to the lists of a coarse quantizer. Within a probed list the scan reads
-column blocks of the rotated vectors: after each block the partial distance, scaled up to all dimensions, is tested
-against the query's current k-th best, and candidates that fail the test are abandoned. What is left gets its exact inner
-product on the original vectors.
-
-Inner products are searched as distances: |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so that a candidate's own norm sets the
-distance within which it would beat the k-th best.
+Vectors are turned by a random rotation and dealt to the lists of a coarse quantizer. No inner product of a query with a
+vector of a list exceeds q.centre + |q| * radius, nor |q| times the longest vector's norm. The groups of
+lists with the largest bounds are read first; then every list whose bound reaches the query's k-th best score. Within a list the scan reads column
+blocks of the rotated vectors: after each block the partial distance, scaled up to all dimensions, is tested against the
+query's current k-th best, and candidates that fail the test are abandoned. What is left gets its exact inner product on
+the original vectors.
+
+Inner products are searched as distances between directions: for unit q and x, |q - x|^2 = 2 - 2 q.x, so that the norms
+set the distance within which a candidate would beat the k-th best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,13 +31,14 @@ MAX_LISTS = 4_096
 #: The coarse quantizer is fitted on so many vectors at most, drawn by a hash of the id. All vectors are indexed.
 SAMPLE = 20_000
 ROUNDS = 12
-#: Lists probed for a query: a share of all, and never fewer than MIN_PROBES. Vectors without clusters need many; the
-#: nearest FIRST_PROBES give the threshold with which the others are scanned.
-PROBE_SHARE = 0.6
-MIN_PROBES = 16
+#: Lists of the largest bounds whose groups are read first; they give the threshold that the others' bounds are compared
+#: with and their vectors scanned with.
 FIRST_PROBES = 4
-#: Candidates and queries in one unit of work; longer lists are cut into several.
+#: Candidates and queries in one unit of work at most; longer lists are cut into several units, short ones share one. So
+#: that small tables have work for many tasks, UNITS are aimed at, of no fewer than LEAST_UNIT_ROWS candidates.
 UNIT_ROWS = 4_096
+LEAST_UNIT_ROWS = 512
+UNITS = 32
 UNIT_QUERIES = 512
 #: Dimensions of a column block, and the significance of the test: larger abandons less.
 BLOCK = 16
@@ -44,10 +47,15 @@ SEED = 30_011
 
 
 class Index(NamedTuple):
-    """What each task holds: the rotation, the lists' centres and the dimension."""
+    """What each task holds: the rotation, the lists' centres and the dimension; for queries, also each list's radius
+    around its centre, its largest norm (minus infinity: no vectors) and group, and the parts of each group."""
 
     rotation: np.ndarray
     centers: np.ndarray
+    radii: np.ndarray | None = None
+    norms: np.ndarray | None = None
+    groups: np.ndarray | None = None
+    parts: np.ndarray | None = None
 
     @property
     def dimension(self) -> int:
@@ -80,7 +88,7 @@ def fit(vectors: DataFrame, total: int) -> Index:
     n = int(min(MAX_LISTS, max(1, total // LIST_SIZE), len(apart)))
     centers = apart[random.choice(len(apart), n, replace=False)]
     for _ in range(ROUNDS):
-        nearest = _nearest(x, centers, 1)[:, 0]
+        nearest = _nearest(x, centers)
         sums, counts = np.zeros_like(centers), np.bincount(nearest, minlength=n)
         np.add.at(sums, nearest, x)
         empty = counts == 0
@@ -89,17 +97,17 @@ def fit(vectors: DataFrame, total: int) -> Index:
     return Index(rotation, centers)
 
 
-def _nearest(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` nearest centres of each row, nearest first; rows are taken a few thousand at a time."""
-    half, out = 0.5 * (centers**2).sum(1), []
-    for i in range(0, len(x), 4096):
-        d = half - x[i : i + 4096] @ centers.T
-        if n == 1:
-            out.append(d.argmin(1)[:, None])
-            continue
-        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-        out.append(np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1), 1))
-    return np.concatenate(out) if out else np.zeros((0, n), dtype=int)
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; rows are taken a few thousand at a time."""
+    half = 0.5 * (centers**2).sum(1)
+    return np.concatenate([(half - x[i : i + 4096] @ centers.T).argmin(1) for i in range(0, len(x), 4096)] or [np.zeros(0, dtype=int)])
+
+
+def _bounds(q: np.ndarray, index: Index) -> np.ndarray:
+    """What no inner product of a query (row) with a vector of a list (column) exceeds; a hair more for rounding."""
+    lengths = np.linalg.norm(q, axis=1)[:, None]
+    hair = 1e-9 * lengths * (np.linalg.norm(index.centers, axis=1) + np.maximum(index.radii, 0))
+    return np.where(index.norms == -np.inf, -np.inf, np.minimum(q @ index.centers.T + lengths * index.radii, lengths * index.norms) + hair)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -107,17 +115,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _dealt(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
-    """``vectors`` with the lists (array) that each belongs to or, for queries, probes."""
+def _dealt(vectors: DataFrame, index: Index) -> DataFrame:
+    """``vectors`` with the list that each belongs to, the distance from its centre and the norm."""
     centers = index.centers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = _nearest(_matrix(b.column("v")), centers, probes).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(lists), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+        for b in (x.slice(i, 4096) for x in batches for i in range(0, x.num_rows, 4096)):
+            x = _matrix(b.column("v"))
+            near = _nearest(x, centers)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(np.linalg.norm(x - centers[near], axis=1)), pa.array(np.linalg.norm(x, axis=1))], ["vec_id", "v", "list", "away", "norm"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"vec_id {kind}, v array<double>, lists array<int>")
+    return vectors.mapInArrow(run, f"vec_id {kind}, v array<double>, list int, away double, norm double")
+
+
+def _measured(index: Index, base: DataFrame, total: int) -> Index:
+    """``index`` with what queries need; a row for each list comes to the driver. Lists of like norms share a group."""
+    n = len(index.centers)
+    radii, norms, counts = np.zeros(n), np.full(n, -np.inf), np.zeros(n, dtype=int)
+    for r in base.groupBy("list").agg(F.max("away").alias("away"), F.max("norm").alias("norm"), F.count("*").alias("rows")).collect():
+        radii[r["list"]], norms[r["list"]], counts[r["list"]] = r["away"], r["norm"], r["rows"]
+    most = min(UNIT_ROWS, max(LEAST_UNIT_ROWS, total // UNITS))
+    groups, sizes = np.zeros(n, dtype=np.int32), [0]
+    for i in np.argsort(-norms, kind="stable"):
+        if sizes[-1] and sizes[-1] + counts[i] > most:
+            sizes.append(0)
+        groups[i] = len(sizes) - 1
+        sizes[-1] += int(counts[i])
+    return index._replace(radii=radii, norms=norms, groups=groups, parts=np.array([max(1, -(-x // most)) for x in sizes]))
+
+
+def _foremost(bounds: np.ndarray, index: Index) -> list[np.ndarray]:
+    """The groups of the lists of the largest bounds, of those that have vectors, for each query."""
+    return [np.unique(index.groups[most[b[most] > -np.inf]]) for b in bounds for most in [np.argsort(-b, kind="stable")[:FIRST_PROBES]]]
+
+
+def _reaching(bounds: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """Whether a list's bound (column) reaches the k-th best score of a query (row; minus infinity: none)."""
+    return (bounds >= kth[:, None]) & (bounds > -np.inf) | np.isnan(bounds)
+
+
+def _asking(queries: DataFrame, index: Index, first: bool) -> DataFrame:
+    """``queries`` with the groups to read: ``first`` the foremost ones, then those of all other lists that the bounds
+    leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
+            bounds = _bounds(_matrix(b.column("v")), index)
+            if first:
+                groups = _foremost(bounds, index)
+            else:
+                reach = _reaching(bounds, b.column("kth").to_numpy())
+                groups = [np.setdiff1d(index.groups[x], read) for x, read in zip(reach, b.column("groups").to_pylist(), strict=True)]
+            groups = pa.array([x.astype(np.int32) for x in groups], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("kth"), groups], ["vec_id", "v", "kth", "groups"])
+
+    kind = queries.schema["vec_id"].dataType.simpleString()
+    return queries.mapInArrow(run, f"vec_id {kind}, v array<double>, kth double, groups array<int>")
 
 
 def scan(qid: np.ndarray, q: np.ndarray, kth: np.ndarray, xid: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -128,12 +182,15 @@ def scan(qid: np.ndarray, q: np.ndarray, kth: np.ndarray, xid: np.ndarray, x: np
     while most are in the race, and only for the pairs that are left once few are.
     """
     d = x.shape[1]
-    turned, at_q = x @ rotation, q @ rotation
+    tiny = np.finfo(float).tiny
+    x_norm, q_norm = np.maximum(np.linalg.norm(x, axis=1), tiny), np.maximum(np.linalg.norm(q, axis=1), tiny)
+    turned, at_q = (x / x_norm[:, None]) @ rotation, (q / q_norm[:, None]) @ rotation
     blocks = [slice(i, min(i + BLOCK, d)) for i in range(0, d, BLOCK)]
     lengths = [((turned[:, c] ** 2).sum(1), (at_q[:, c] ** 2).sum(1)) for c in blocks]
-    whole = (x**2).sum(1)[None, :] + (q**2).sum(1)[:, None]
-    # A candidate beats the k-th best if its distance is below this; a hair more keeps ties.
-    limit = whole * (1 + 1e-9) - 2 * kth[:, None]
+    # A candidate beats the k-th best if its direction's distance is below this; a hair more keeps ties.
+    with np.errstate(all="ignore"):
+        limit = 2 * (1 + 1e-9) - 2 * (kth[:, None] / q_norm[:, None] / x_norm[None, :])
+    limit[np.isnan(limit)] = np.inf
     partial, racing = np.zeros((len(q), len(x))), qid[:, None] != xid[None, :]
     seen, i, j = 0, None, None
     for c, (own, asked) in zip(blocks, lengths, strict=True):
@@ -158,14 +215,10 @@ def scan(qid: np.ndarray, q: np.ndarray, kth: np.ndarray, xid: np.ndarray, x: np
     return i[rank < k], j[rank < k], score[rank < k], len(i)
 
 
-def _units(dealt: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
-    """Rows by list, with the part they belong to (by hash) and a copy for each part of the other side."""
-    per = dealt.select("vec_id", "v", "kth", F.explode("lists").alias("list")).join(F.broadcast(sizes.select(*[F.col(c).alias(c) for c in sizes.columns])), "list")
-    return per.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(f"n_{own}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select("vec_id", "v", "kth", F.col("list").alias("list"), "part", "turn")
-
-
-def _parts(count: Column, most: int) -> Column:
-    return F.greatest(F.ceil(count / most), F.lit(1)).cast("int")
+def _units(rows: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows by group, with the part they belong to (by hash) and a copy for each part of the other side."""
+    per = rows.join(F.broadcast(sizes), "group")
+    return per.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(f"n_{own}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_part", "n_turn")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -185,37 +238,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
     if not total:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     index = fit(v, total)
-    probes = min(len(index.centers), max(MIN_PROBES, int(PROBE_SHARE * len(index.centers))))
-    base = written(_dealt(v, index, 1), "ann-lists")
-    asked = written(_dealt(v.filter(is_query), index, probes).withColumn("kth", F.lit(float("-inf"))), "ann-probes")
-    near, far = F.slice("lists", 1, FIRST_PROBES), F.slice("lists", FIRST_PROBES + 1, len(index.centers))
-    first = written(_scanned(asked.withColumn("lists", near), base, index, k, schema), "ann-first")
+    base = written(_dealt(v, index), "ann-lists")
+    index = _measured(index, base, total)
+    asked = written(_asking(v.filter(is_query).withColumn("kth", F.lit(float("-inf"))), index, True), "ann-probes")
+    first = written(_scanned(asked, base, index, k, schema), "ann-first")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    rest = asked.drop("kth").join(kth, "vec_id", "left").select("vec_id", "v", far.alias("lists"), F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+    known = asked.drop("kth").join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "groups")
+    rest = written(_asking(known, index, False), "ann-rest")
     found = first.unionByName(_scanned(rest, base, index, k, schema))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _scanned(asked: DataFrame, base: DataFrame, index: Index, k: int, schema: str) -> DataFrame:
-    """The ``k`` best of each query within each unit of the lists it probes: query_id, vec_id and score."""
-    count = lambda t, n: t.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias(n))
-    sizes = count(base, "b").join(count(asked, "q"), "list").select("list", _parts(F.col("b"), UNIT_ROWS).alias("n_part"), _parts(F.col("q"), UNIT_QUERIES).alias("n_turn"))
-    sizes = written(sizes, "ann-sizes")  # MAX_LISTS rows at most
-    left, right = _units(asked, sizes, "turn", "part"), _units(base.withColumn("kth", F.lit(0.0)), sizes, "part", "turn")
-    rotation = index.rotation
+    """The ``k`` best of each query within each unit of the groups it reads: query_id, vec_id and score. Of a unit's lists
+    those are scanned whose bound reaches kth, which rises with what the unit has given."""
+    spark = asked.sparkSession
+    per = asked.select("vec_id", "v", "kth", F.explode("groups").alias("group"))
+    sizes = [(r["group"], int(index.parts[r["group"]]), -(-r["n"] // UNIT_QUERIES)) for r in per.groupBy("group").agg(F.count("*").alias("n")).collect()]
+    sizes = spark.createDataFrame(sizes, "group int, n_part int, n_turn int")
+    of = spark.createDataFrame(list(enumerate(index.groups.tolist())), "list int, group int")
+    left, right = _units(per, sizes, "turn", "part"), _units(base.select("vec_id", "v", "list").join(F.broadcast(of), "list"), sizes, "part", "turn")
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         ids, xs = queries["vec_id"], rows["vec_id"]
+        none = pa.table({"query_id": ids[:0], "vec_id": ids[:0], "score": pa.array([], pa.float64())})
         if not len(ids) or not len(xs):
-            return pa.table({"query_id": ids[:0], "vec_id": ids[:0], "score": pa.array([], pa.float64())})
+            return none
         q, x = _matrix(queries["v"].combine_chunks()), _matrix(rows["v"].combine_chunks())
-        qid, kth, xid = ids.to_numpy(), queries["kth"].to_numpy(), xs.to_numpy()
-        found = []
-        for a in range(0, len(q), 64):
-            i, j, score, _ = scan(qid[a : a + 64], q[a : a + 64], kth[a : a + 64], xid, x, rotation, k)
-            found.append((qid[a + i], xid[j], score))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    keys = ["list", "part", "turn"]
+        qid, kth, xid, of = ids.to_numpy(), queries["kth"].to_numpy().copy(), xs.to_numpy(), rows["list"].to_numpy()
+        bounds, top, found = _bounds(q, index), np.full((len(q), k), -np.inf), []
+        for one in np.unique(of):
+            asks, own = np.nonzero(_reaching(bounds[:, [one]], kth))[0], np.nonzero(of == one)[0]
+            step = max(64, (1 << 18) // len(own))
+            for a in range(0, len(asks), step):
+                some = asks[a : a + step]
+                i, j, score, _ = scan(qid[some], q[some], kth[some], xid[own], x[own], index.rotation, k)
+                found.append((some[i], own[j], score))
+                new = np.full((len(some), k), -np.inf)
+                new[i, np.arange(len(i)) - np.searchsorted(i, i)] = score
+                top[some] = np.partition(np.concatenate([top[some], new], 1), k, axis=1)[:, k:]
+                kth[some] = np.maximum(kth[some], top[some].min(1))
+        if not found:
+            return none
+        i, j, score = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((xid[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pa.table({"query_id": qid[i[best]], "vec_id": xid[j[best]], "score": score[best]})
+
+    keys = ["group", "part", "turn"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)

@@ -108,6 +108,22 @@ def test_nearest(spark):
     assert [(r.query_id, r.rank) for r in sorted(few, key=lambda r: r.rank)] == [(0, 1), (0, 2), (0, 3), (0, 4)]
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.6, 1.0])
+def test_nearest_of_differing_norms(spark, sigma):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 32))
+    x *= np.exp(sigma * rng.standard_normal(4000))[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(t, F.col("vec_id") % 40 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[::40] @ x.T
+    score[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    hits = sum(len(got[40 * i] & set(np.argsort(-s)[:20])) for i, s in enumerate(score)) / 2000
+    print(f"recall at sigma {sigma}: {hits}")
+    assert hits >= 0.98
+
+
 def test_warc(spark):
     rows = [(1, "http://a/x", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (3, None, None), (4, "u\r\nv", ""), (5, "http://b", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), (None, "c", "z")]
     t = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(1)).withColumn("d", F.lit("x"))
