@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quireframe.session import ship_code
 
 
 def matching(rows: DataFrame, needle: str, columns: list[str], **equal: str) -> DataFrame:
@@ -112,13 +118,39 @@ def overlapping(zones: DataFrame, of: str) -> DataFrame:
 
 
 def tree_parents(rows: DataFrame, of: str, order: str, depth: str) -> DataFrame:
-    """Parent of each row of a depth-coded tree: the nearest earlier row of smaller depth. A map from depth to the last
-    row of that depth runs along the order, so each row looks at few entries instead of all before it."""
-    w = Window.partitionBy(of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.max(F.when(F.col(depth) == d, F.col(order))).over(w).alias(f"_d{d}") for d in range(8)]
-    each = rows.select("*", *seen)
-    parent = F.greatest(*[F.when(F.col(depth) > d, F.col(f"_d{d}")) for d in range(8)])
-    return each.select(*rows.columns, parent.alias("parent"))
+    """Parent of each row of a depth-coded tree: the nearest earlier row of smaller depth, whatever the depths are. Of rows
+    at one place none is before the other. A null depth or place has no parent and is none.
+
+    Rows are dealt by tree, sorted and read one by one; the path to the current row is all that is held.
+    """
+    ship_code(rows.sparkSession)
+    kind, names = rows.schema, rows.columns
+    at_of, at_order, at_depth = (names.index(c) for c in (of, order, depth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, path, waiting = object(), [], []
+        for b in batches:
+            parents = []
+            for t, place, d in zip(*(b.column(i).to_pylist() for i in (at_of, at_order, at_depth)), strict=True):
+                if t != tree:
+                    tree, path, waiting = t, [], []
+                if place is None or d is None:
+                    parents.append(None)
+                    continue
+                if waiting and waiting[0][1] != place:
+                    least = min(waiting)
+                    while path and path[-1][0] >= least[0]:
+                        path.pop()
+                    # Of rows at one place the place is all that a parent is told by, so the least depth stands for all.
+                    path.append(least)
+                    waiting = []
+                k = bisect_left(path, d, key=lambda x: x[0])
+                parents.append(path[k - 1][1] if k else None)
+                waiting.append((d, place))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, b.schema.field(at_order).type)], [*b.schema.names, "parent"])
+
+    out = T.StructType([*kind.fields, T.StructField("parent", kind[order].dataType)])
+    return rows.repartition(of).sortWithinPartitions(of, order).mapInArrow(run, out)
 
 
 def verified_chain(log: DataFrame, sequence: str, previous: str, digest: str, of: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,14 @@ def test_stable_files(spark, tmp_path):
     q = stable_files_stream(stream).writeStream.format("memory").queryName("stable").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.poll, r.signature) for r in spark.table("stable").collect()) == want
+
+
+def test_tree_of_any_depth(spark):
+    r = random.Random(6)
+    rows = [(t, n, r.choice([0, 2, 8, 10, 14, 20, r.randint(0, 20)])) for t in range(6) for n in range(60)] + [(7, n, n) for n in range(21)] + [(8, n // 2, d) for n, d in enumerate((0, 9, 12, 10, 13, 11))] + [(9, 1, None), (9, 2, 3), (9, 3, -1), (9, 4, 0)]
+    got = R.tree_parents(spark.createDataFrame(rows, "tree long, n long, depth int"), "tree", "n", "depth").collect()
+    sql = "SELECT a.tree, a.n, a.depth, (SELECT max(b.n) FROM r b WHERE b.tree = a.tree AND b.n < a.n AND b.depth < a.depth) AS parent FROM r a"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (tree BIGINT, n BIGINT, depth INT)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?)", rows)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(sql).fetchall()))
