@@ -5,9 +5,10 @@ output compared with the one before: what it adds is the new turn's span. An out
 before shows that the template rewrites history. Probe texts in the new turn's place tell which part of its span is the
 text itself, and so what the loss mask covers.
 
-Conversations are streams: rows are dealt by conversation, sorted, and read turn by turn, in windows of turns, so that
-memory does not grow with a conversation. A conversation beyond a window is rendered window by window, each continuing
-the output of the one before.
+Rows are dealt by conversation, sorted and read turn by turn. A conversation is rendered whole, prefix by prefix, which
+takes work that grows with the square of its turns and holds it in memory. Only a template that declares itself
+append-only is rendered in windows of turns, so that memory does not grow with a conversation; that each window
+continues the one before is verified by comparing outputs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from quireframe.session import ship_code
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns rendered as one list, and the characters of texts after which a window ends early.
+#: Turns of a window of an append-only template, and the characters of texts after which a window ends early.
 WINDOW_TURNS = 64
 WINDOW_CHARS = 200_000
 #: Rows that a task sends on together.
@@ -53,6 +54,14 @@ def _role_mark(role: str) -> str:
     return escaped(role).replace(">", "\\>").replace("\n", "\\\n")
 
 
+def append_only(template: Template) -> Template:
+    """Declare that ``template`` gives for two lists of turns put together what it gives for each, put together. It is
+    then rendered window by window; an output that shows otherwise is an error."""
+    template.append_only = True
+    return template
+
+
+@append_only
 def turn_template(turns: list[Turn]) -> str:
     """Each turn as an opening mark with its role, a line break, the escaped text, a line break and a closing mark."""
     return "".join(f"{OPEN}{_role_mark(role)}>\n{escaped(text)}\n{CLOSE}" for role, text in turns)
@@ -126,19 +135,27 @@ class Window(NamedTuple):
 
 
 def windows(turns: Iterable[Turn], template: Template) -> Iterator[Window]:
-    """A conversation's windows in order; at least one turn each."""
+    """A conversation's windows in order, at least one turn each: one for all turns, or bounded ones if the template
+    declares itself append-only."""
+    bounded = getattr(template, "append_only", False)
     held: list[Turn] = []
+    before: tuple[list[Turn], str] = [], ""
     chars = 0
     for turn in turns:
-        if held and (len(held) >= WINDOW_TURNS or chars + len(turn[1]) > WINDOW_CHARS):
-            output, spans, rewrites = locate(held, template)
-            yield Window(output, spans, [r for r, _ in held], rewrites)
-            held, chars = [], 0
+        if bounded and held and (len(held) >= WINDOW_TURNS or chars + len(turn[1]) > WINDOW_CHARS):
+            yield (w := _window(held, template, *before))
+            before, held, chars = (held, w.output), [], 0
         held.append(turn)
         chars += len(turn[1])
     if held:
-        output, spans, rewrites = locate(held, template)
-        yield Window(output, spans, [r for r, _ in held], rewrites)
+        yield _window(held, template, *before)
+
+
+def _window(held: list[Turn], template: Template, turns_before: list[Turn], output_before: str) -> Window:
+    output, spans, rewrites = locate(held, template)
+    if turns_before and (rewrites or template([*turns_before, *held]) != output_before + output):
+        raise ValueError("the template declares itself append-only, but its output depends on turns before")
+    return Window(output, spans, [r for r, _ in held], rewrites)
 
 
 def _sorted_turns(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -173,7 +190,7 @@ def _array(values: tuple, kind: pa.DataType) -> pa.Array:
 
 
 def format_conversations(rows: DataFrame, template: Template = turn_template, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per window of each conversation: conv_id, window, formatted, rewrites_history and turns, an array of
+    """One row per conversation, or per window of it if ``template`` is declared ``append_only``: conv_id, window, formatted, rewrites_history and turns, an array of
     role, start, end, text_start and text_end within ``formatted``.
 
     Turns come in order of turn, then role and text; nulls of turn first. Null roles and texts are empty strings; rows

@@ -291,6 +291,27 @@ def test_chat(spark):
     assert rewrites and output == "b" and spans[1][:2] == (0, 1)
 
 
+def test_chat_renders_true_prefixes(spark):
+    head = lambda ts: "<begin>system\n" + "".join(f"{r}: {t}\n" for r, t in ts)
+    numbered = lambda ts: "".join(f"{i}. {t}\n" for i, (_, t) in enumerate(ts))
+    rewriting = lambda ts: "".join(f"{t if t != 'note' or len(ts) < 80 else 'cut'}\n" for _, t in ts)
+    talks = {1: ["note", *map(str, range(99))], 2: ["x" * 210_000, "after", "end"], 3: ["short"]}
+    rows = [(c, n, "assistant" if n % 2 else "user", t) for c, ts in talks.items() for n, t in enumerate(ts)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (head, numbered, rewriting):
+        got = {(r.conv_id, r.window): r for r in chat.format_conversations(t, template).collect()}
+        assert sorted(got) == [(1, 0), (2, 0), (3, 0)]
+        for c, ts in talks.items():
+            turns = [(r, x) for k, _, r, x in rows if k == c]
+            r = got[c, 0]
+            assert r.formatted == template(turns) and len(r.turns) == len(ts)
+            assert r.rewrites_history == (template is rewriting and c == 1)
+            assert r.rewrites_history or all(r.formatted[s.text_start : s.text_end] == x for s, (_, x) in zip(r.turns, turns, strict=True))
+    with pytest.raises(ValueError, match="append-only"):
+        list(chat.windows([("user", x) for x in talks[1]], chat.append_only(numbered)))
+    assert len(list(chat.windows([("user", x) for x in talks[1]], chat.turn_template))) == 2
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
