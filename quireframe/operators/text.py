@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 AMOUNT = r"\$[0-9][0-9,]*(?:\.[0-9]{2})?"
+#: White space of any script, and what no word character (ASCII letters, digits, underscore) lies before or after.
+SPACES = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+EDGES = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
 #: Words that carry no topic.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "was", "were", "be", "as", "by", "with", "that", "this", "it", "from", "at")
 
@@ -125,9 +128,10 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 def proofread(text: Column) -> Column:
-    """White space collapsed, none before punctuation, and a lone i in upper case."""
-    one = F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
-    return F.regexp_replace(F.regexp_replace(one, r" ([,.;:!?])", "$1"), r"\bi\b", "I")
+    """White space collapsed, none before punctuation, and a lone i in upper case. Texts of any language are taken: an i
+    is alone if no ASCII letter, digit or underscore is beside it."""
+    one = F.trim(F.regexp_replace(text, SPACES + "+", " "))
+    return F.regexp_replace(F.regexp_replace(one, r" ([,.;:!?])", "$1"), "i".join(EDGES), "I")
 
 
 def unknown_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -130,6 +130,12 @@ def proofread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.proofread(F.col("text")).alias("clean"))
 
 
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(text, '{X.SPACES}+', ' ', 'g')), ' ([,.;:!?])', '\1', 'g'), '\bi\b', 'I', 'g') AS clean FROM documents")
+def proofread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every language, and those without one."""
+    return _t(spark, sf_dir, "documents").select("doc_id", X.proofread(F.col("text")).alias("clean"))
+
+
 @query(
     r"""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM benchmark),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents)

@@ -88,3 +88,12 @@ def test_tree_of_any_depth(spark):
     con.execute("CREATE TABLE r (tree BIGINT, n BIGINT, depth INT)")
     con.executemany("INSERT INTO r VALUES (?, ?, ?)", rows)
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(sql).fetchall()))
+
+
+def test_proofread_any_language(spark, tmp_path):
+    from quireframe.plans.queries import QUERIES
+
+    rows = [(1, "en", "i see ,  i\tsay"), (2, "fr", "voil\u00e0\u00a0: i \u00e9i i\u00e9"), (3, "de", "\u2003ja !"), (4, None, "x i"), (5, "es", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.clean for r in QUERIES["proofread_documents"](spark, str(tmp_path)).collect()}
+    assert got == {1: "I see, I say", 2: "voil\u00e0: I \u00e9I I\u00e9", 3: "ja!", 4: "x I", 5: None}
