@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireframe.session import ship_code
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 AMOUNT = r"\$[0-9][0-9,]*(?:\.[0-9]{2})?"
 #: White space of any script, and what no word character (ASCII letters, digits, underscore) lies before or after.
 SPACES = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 EDGES = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
+#: Amounts as the reference tells them: white space may follow the dollar sign, commas part groups of three.
+AMOUNT_SPACED = r"\$" + SPACES + r"?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?"
 #: Words that carry no topic.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "was", "were", "be", "as", "by", "with", "that", "this", "it", "from", "at")
 
@@ -127,6 +133,28 @@ def extracted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", get(EMAIL).alias("emails"), get(DATE).alias("dates"), get(AMOUNT).alias("amounts"))
 
 
+def extracted_data(docs: DataFrame) -> DataFrame:
+    """The distinct e-mail addresses, dates and amounts of each document in order of occurrence, and its 20 most frequent
+    terms with their counts (term:count), each list joined by bars, which none of them can hold."""
+    get = lambda p: F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), "|")
+    date = EDGES[0] + DATE + EDGES[1]
+    keywords = _frequent_terms(docs, 20)(F.regexp_replace(F.lower("text"), r"[^a-z0-9\s.-]", " "))
+    return docs.select("doc_id", get(EMAIL).alias("emails"), get(date).alias("dates"), get(AMOUNT_SPACED).alias("amounts"), keywords.alias("keywords"))
+
+
+def _frequent_terms(docs: DataFrame, n: int) -> Callable[[Column], Column]:
+    """The ``n`` most frequent terms of a cleaned text as ``top_terms`` ranks them. A text is counted where it lies, as its
+    terms dealt out by document are several times its size."""
+    ship_code(docs.sparkSession)
+    stop = frozenset(STOP_WORDS)
+
+    def count(text: str | None) -> str:
+        found = Counter(t for t in (text or "").split() if len(t) >= 3 and t not in stop)
+        return "|".join(f"{t}:{k}" for t, k in found.most_common(n))
+
+    return F.udf(count, "string", useArrow=True)
+
+
 def proofread(text: Column) -> Column:
     """White space collapsed, none before punctuation, and a lone i in upper case. Texts of any language are taken: an i
     is alone if no ASCII letter, digit or underscore is beside it."""

@@ -125,6 +125,19 @@ def structured_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extracted(_t(spark, sf_dir, "documents"))
 
 
+_barred = lambda p: _distinct_in_order(p).replace("','", "'|'")
+
+
+@query(
+    f"""WITH {_TERMS}, f AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS p FROM terms GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, p) AS rank FROM f),
+k AS (SELECT doc_id, string_agg(term || ':' || tf, '|' ORDER BY rank) AS keywords FROM r WHERE rank <= 20 GROUP BY 1)
+SELECT doc_id, {_barred(X.EMAIL)} AS emails, {_barred("\\b" + X.DATE + "\\b")} AS dates, {_barred(X.AMOUNT_SPACED)} AS amounts, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN k USING (doc_id)"""
+)
+def extracted_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.extracted_data(_t(spark, sf_dir, "documents"))
+
+
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ([,.;:!?])', '\1', 'g'), '\bi\b', 'I', 'g') AS clean FROM documents WHERE lang = 'en'")
 def proofread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.proofread(F.col("text")).alias("clean"))
