@@ -4,6 +4,9 @@ Texts are sets of word shingles. Each set is cut into blocks by a hash; a block
 toggles, so sets that differ in few members agree in some block. Sets are joined on agreeing blocks per size band. What
 shares a block is compared by whole sketches, whose Hamming distance bounds the symmetric difference from below, and what
 that leaves together exactly. Equal sets are one node from the start.
+
+Blocks are taken a share at a time. What the first share has connected thins out the rest by identities alone, so that
+sketches and members travel for few of the blocks that a large group of near copies has in common.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireframe.llm.components import connected
-from quireframe.llm.shared import broadcast_if_small, written
+from quireframe.llm.shared import broadcast_if_small, delete, discard, recorded, written
 from quireframe.llm.shingles import block_keys, linked, parity, shingle_set, signature, sketch_bits
 from quireframe.session import ship_code
 
@@ -26,8 +29,14 @@ SIZE, PERCENT = 3, 90
 #: are compared in bounded memory.
 UNIT = 4_096
 UNIT_MEMBERS = 4_000_000
+#: One block in so many is taken in a round; the last round takes all.
+SHARES = (64, 8, 1)
+#: Units of up to so many rows in all are taken in one round.
+ONE_ROUND = 200_000
 #: Texts whose sets are wanted, up to this number, are found by a broadcast of their hashes (16 bytes each).
 BROADCAST_TEXTS = 1_000_000
+#: Nodes up to this number are broadcast with their roots (32 bytes each).
+BROADCAST_NODES = 400_000
 #: Sets that a task remembers having listed.
 REMEMBERED = 500_000
 
@@ -38,16 +47,24 @@ def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[f"`{key}`"].alias("doc_id"), F.xxhash64(x).alias("t"), x.alias("text"))
 
 
+def _half(identity: bytes) -> int:
+    return int.from_bytes(identity[:8], "little", signed=True)
+
+
 def _listed(slim: DataFrame, size: int) -> DataFrame:
-    """doc_id, t (hash of the text), n (members) and c (the set's identity, 0 for the empty set)."""
+    """doc_id, t (hash of the text), n (members), id (the set's identity, null for the empty set) and c, half of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = (shingle_set(t.as_py(), size) for t in b.column("text"))
-            both = np.array([(len(s), signature(s)) for s in sets], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "t", "n", "c"])
+            n, ids = [], []
+            for t in b.column("text"):
+                s = shingle_set(t.as_py(), size)
+                n.append(len(s))
+                ids.append(signature(s) if len(s) else None)
+            c = pa.array([None if x is None else _half(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), c], ["doc_id", "t", "n", "id", "c"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t long, n long, c long")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t long, n long, id binary, c long")
 
 
 def _keys(slim: DataFrame, size: int, percent: int) -> DataFrame:
@@ -60,7 +77,7 @@ def _keys(slim: DataFrame, size: int, percent: int) -> DataFrame:
             c, keys = [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
-                if (k := signature(s)) not in seen:
+                if (k := _half(signature(s))) not in seen:
                     seen.add(k)
                     keys.append(block_keys(s, percent))
                     c.append(np.full(len(keys[-1]), k, dtype=np.int64))
@@ -77,58 +94,66 @@ def _members(keys: DataFrame) -> DataFrame:
     blocks with the same members one stays."""
     of_key = Window.partitionBy("key")
     shared = keys.select("key", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi")).filter("lo < hi")
-    members = written(shared.select("key", "c").distinct(), "nd-shared")
+    every = written(shared.select("key", "c").distinct(), "nd-shared")
     h = lambda seed: F.sum(F.xxhash64("c", F.lit(seed)).cast("decimal(38,0)"))
-    blocks = members.groupBy("key").agg(F.count("*").alias("size"), h(0).alias("h1"), h(1).alias("h2"))
+    blocks = every.groupBy("key").agg(F.count("*").alias("size"), h(0).alias("h1"), h(1).alias("h2"))
     once = blocks.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    return written(members.join(once, "key", "left_semi"), "nd-members")
+    members = written(every.join(once, "key", "left_semi"), "nd-members")
+    discard(every)
+    return members
 
 
 def _sets(slim: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """c, n, members (array) and sketch of the texts in ``wanted`` (t): a second reading, of these texts only."""
+    """id, c, n, members (array) and sketch of the texts in ``wanted`` (t): a second reading, of these texts only."""
     slim = slim.select("t", "text").join(broadcast_if_small(wanted, BROADCAST_TEXTS), "t", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
-            c, sets, sketches = [], [], []
+            ids, sets, sketches = [], [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
                 if (k := signature(s)) not in seen:
                     seen.add(k)
-                    c.append(k)
+                    ids.append(k)
                     sets.append(s.view(np.int64))
                     sketches.append(parity(s, sketch_bits(len(s))).tobytes())
+            if len(seen) > REMEMBERED:
+                seen.clear()
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), n, pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["c", "n", "members", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(list(map(_half, ids)), pa.int64()), n, pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "c", "n", "members", "sketch"])
 
-    found = slim.mapInArrow(run, "c long, n long, members array<long>, sketch binary")
-    return found.groupBy("c").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("sketch").alias("sketch"))
+    found = slim.mapInArrow(run, "id binary, c long, n long, members array<long>, sketch binary")
+    return found.groupBy("id").agg(*[F.first(x).alias(x) for x in ("c", "n", "members", "sketch")])
 
 
-def _in_parts(members: DataFrame, sets: DataFrame, unit: list[str]) -> DataFrame:
-    """``members`` with n and the part of its unit that each set is in: units of too many sets, or too many members of
-    these, have several."""
-    each = members.join(sets.select("c", "n"), "c")
+def _in_parts(each: DataFrame, unit: list[str]) -> DataFrame:
+    """Rows of units (id, n, root) with the part of its unit that each set is in: units of too many sets, or too many
+    members of these, have several."""
     parts = each.groupBy(*unit).agg(F.greatest(F.ceil(F.count("*") / UNIT), F.ceil(F.sum("n") / UNIT_MEMBERS)).cast("int").alias("parts"))
-    parts = written(parts, "nd-parts")
-    return each.join(parts, unit).select(F.xxhash64(*unit).alias("unit"), F.pmod(F.xxhash64("c", *unit), "parts").cast("int").alias("part"), "parts", "c")
+    parts = broadcast_if_small(written(parts.filter("parts > 1"), "nd-parts"), BROADCAST_NODES)
+    cut = each.join(parts, unit, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return cut.select(F.xxhash64(*unit).alias("unit"), F.pmod(F.xxhash64("id", *unit), "parts").cast("int").alias("part"), "parts", "id", "root")
 
 
 def _links(units: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links a, b that connect the sets of each unit as all its links would. Parts meet two and two: a row goes to each
-    pair of parts that its own belongs to. Units are read one after the other from sorted partitions."""
+    """Links a, b that connect the sets of each unit as all its links would, but for what ``root`` says is connected. Parts
+    meet two and two: a row goes to each pair of parts that its own belongs to. Units are read one after the other from
+    sorted partitions."""
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     of_set = ["n", "sketch", *(["members"] if exact else [])]
-    rows = units.withColumn("other", other).select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "c")
-    rows = rows.join(sets.select("c", *of_set), "c").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "c")
+    rows = units.withColumn("other", other).select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "root")
+    rows = rows.join(sets.select("id", *of_set), "id").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "id")
 
-    def pairs(t: pa.Table) -> np.ndarray:
-        c, part, n = (t[x].to_numpy() for x in ("c", "part", "n"))
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        part, n = (t[x].to_numpy() for x in ("part", "n"))
+        root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         sketches = [np.frombuffer(x, np.uint64) for x in t["sketch"].to_pylist()]
         whole = [np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in t["members"]] if exact else None
-        at = linked(n, sketches, percent, whole, part == part[0] if part.min() != part.max() else None)
-        return c[np.array(at, dtype=np.int64).reshape(-1, 2)]
+        at = linked(n, sketches, percent, root, whole, part == part[0] if part.min() != part.max() else None)
+        at = np.array(at, dtype=np.int64).reshape(-1, 2)
+        ids = t["id"].combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -139,17 +164,73 @@ def _links(units: DataFrame, sets: DataFrame, percent: int, exact: bool) -> Data
             keys = np.column_stack([t[x].to_numpy() for x in ("unit", "low", "high")])
             starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(t)]
             whole = starts if b is None else starts[:-1]  # the last unit may go on in the next batch
-            out = [pairs(t.slice(x, y - x)) for x, y in zip(whole[:-1], whole[1:], strict=True) if y - x > 1]
+            for x, y in zip(whole[:-1], whole[1:], strict=True):
+                if y - x > 1:
+                    yield pairs(t.slice(x, y - x))
             held = t.slice(starts[-2])
-            if out:
-                found = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
 
-
-def _grouped(links: DataFrame) -> DataFrame:
-    return written(connected(written(links, "nd-links")), "nd-groups")
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """node and root of what ``links`` connect."""
+    links = written(links.filter("a != b"), "nd-links")
+    out = written(connected(links), "nd-roots")
+    discard(links)
+    return out
+
+
+def _contracted(each: DataFrame, unit: list[str], sets: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """node and root of what the links of all units (``unit``, id, n) connect. Units are taken a share at a time; of those
+    that follow only the ones that hold sets not connected yet are compared, which identities alone tell."""
+    roots = None
+    for share in SHARES if each.count() > ONE_ROUND else (1,):
+        some = each.filter(F.pmod(F.xxhash64(*unit), F.lit(share)) == 0)
+        if roots is None:
+            some = some.withColumn("root", F.col("id"))
+        else:
+            known = broadcast_if_small(roots.select(F.col("node").alias("id"), "root"), BROADCAST_NODES)
+            of_unit = Window.partitionBy(*unit)
+            some = some.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            some = some.select("*", F.min("root").over(of_unit).alias("_lo"), F.max("root").over(of_unit).alias("_hi")).filter("_lo < _hi").drop("_lo", "_hi")
+        some = written(some, "nd-open")
+        links = _links(_in_parts(some, unit), sets, percent, exact)
+        before, roots = roots, _roots(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(some, *([before] if before is not None else []))
+    return roots
+
+
+def _components(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """``document_components`` with root, which tells components apart (null: the empty set), as a written table."""
+    slim = _slim(docs, key, text)
+    with recorded() as paths:
+        listed = written(_listed(slim, size), "nd-listed")
+        members = _members(_keys(slim, size, percent))
+        wanted = listed.select("c", "id", "t").join(members.select("c").distinct(), "c", "left_semi").groupBy("id").agg(F.min("t").alias("t")).select("t")
+        sets = written(_sets(slim, written(wanted, "nd-wanted"), size), "nd-sets")
+        each = written(members.join(sets.select("c", "id", "n"), "c").select("key", "id", "n"), "nd-units")
+        discard(members)
+        # Sketches thin out what shares a block; what they leave together is compared exactly, each set once, or block by
+        # block where a group is too large for one unit.
+        near = _contracted(each, ["key"], sets, percent, exact=False)
+        near = near.select(F.col("node").alias("id"), F.col("root").alias("group")).join(sets.select("id", "n"), "id")
+        sizes = near.groupBy("group").agg(((F.count("*") > UNIT) | (F.sum("n") > UNIT_MEMBERS)).alias("large"))
+        near = written(near.join(sizes, "group"), "nd-near")
+        few = near.filter(~F.col("large")).select(F.xxhash64("group").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "id", F.col("id").alias("root"))
+        roots = _roots(_links(few, sets, percent, exact=True))
+        if near.filter("large").limit(1).count():
+            many = written(each.join(near.filter("large").select("id", "group"), "id"), "nd-many")
+            discard(each)
+            roots = written(roots.unionByName(_contracted(many, ["key", "group"], sets, percent, exact=True)), "nd-all")
+        rows = listed.select("doc_id", "t", F.col("n").alias("n_shingles"), "id")
+        known = broadcast_if_small(roots.select(F.col("node").alias("id"), "root"), BROADCAST_NODES)
+        rows = rows.join(known, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
+        least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+        least = written(least.select("root", "least"), "nd-least")
+        joined = rows.join(broadcast_if_small(least, BROADCAST_NODES), "root", "left")
+        out = written(joined.select("doc_id", "t", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "root"), "nd-components")
+    delete(docs.sparkSession, [p for p in paths if p != out._written_to])
+    return out
 
 
 def document_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -158,42 +239,31 @@ def document_components(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     Two rows link when their sets of ``size``-word shingles share ``percent`` hundredths of their union. A text without
     words (or null) has an empty set and links with nothing. Rows that repeat a doc_id are rows of their own; a null
-    doc_id is no component's smallest unless all are null. No link is lost: nothing is capped or sampled.
+    doc_id is no component's smallest unless all are null. An empty table gives no rows. No link is lost: nothing is
+    capped or sampled. Sets are told apart by 128 bits of hash.
     """
-    slim = _slim(docs, key, text)
-    listed = written(_listed(slim, size), "nd-listed")
-    members = _members(_keys(slim, size, percent))
-    wanted = listed.select("c", "t").join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t")).select("t")
-    sets = written(_sets(slim, written(wanted, "nd-wanted"), size), "nd-sets")
-    # Sketches thin out what shares a block; what they leave together is compared exactly, each set once, or block by
-    # block where a group is too large for one unit.
-    near = _grouped(_links(_in_parts(members, sets, ["key"]), sets, percent, exact=False))
-    near = near.select(F.col("node").alias("c"), "root").join(sets.select("c", "n"), "c")
-    sizes = near.groupBy("root").agg(((F.count("*") > UNIT) | (F.sum("n") > UNIT_MEMBERS)).alias("large"))
-    near = written(near.join(sizes, "root").drop("n"), "nd-near")
-    few = near.filter(~F.col("large")).select(F.col("root").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "c")
-    many = _in_parts(members.join(near.filter("large").select("c", "root"), "c"), sets, ["key", "root"])
-    roots = _grouped(_links(few.unionByName(many), sets, percent, exact=True))
-    roots = written(roots.select(F.col("node").alias("_c"), "root"), "nd-roots")
-    rows = listed.select("doc_id", "t", F.col("n").alias("n_shingles"), "c")
-    rows = rows.join(broadcast_if_small(roots, BROADCAST_TEXTS), F.col("c") == F.col("_c"), "left").withColumn("root", F.when(F.col("c") != 0, F.coalesce("root", "c"))).drop("_c", "c")
-    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
-    least = written(least.select(F.col("root").alias("_root"), "least"), "nd-least")
-    joined = rows.join(broadcast_if_small(least, BROADCAST_TEXTS), F.col("root") == F.col("_root"), "left")
-    return joined.select("doc_id", "t", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return _components(docs, key, text, size, percent).drop("root")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with one row of each component, that of the smallest key; all columns as they are. Rows
-    that repeat the key and the text of the one that stays go too."""
-    found = written(document_components(docs, key, text, size, percent), "nd-components")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "t").distinct()
+    """The rows of ``docs`` with one row of each component, that of the smallest key (a null key is the largest), and of
+    the smallest hash of its text where several rows share that key; all columns as they are.
+
+    Rows that repeat both the key and the text of the one that stays go too, whatever their other columns hold. Null and
+    empty texts, and texts without words, are in no component and all stay. An empty table gives no rows.
+    """
+    found = _components(docs, key, text, size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "t")
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    first = broadcast_if_small(written(first, "nd-first"), BROADCAST_NODES)
+    gone = found.join(first, "root").filter(place != F.col("first")).select("doc_id", "t").distinct()
     x = F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit("")))
     g = broadcast_if_small(written(gone, "nd-gone"), BROADCAST_TEXTS)
     left = docs.join(g, docs[f"`{key}`"].eqNullSafe(g["doc_id"]) & (x == g["t"]), "left_anti")
-    twice = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")).filter((F.col("rows") > 1) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_again"))
+    kept = found.filter("root IS NOT NULL").join(first, "root").filter(place == F.col("first"))
+    twice = written(kept.groupBy("doc_id", "t").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "t"), "nd-again")
     if not twice.limit(1).count():
         return left
-    twice = written(twice, "nd-again")
-    again = left.join(twice, left[f"`{key}`"].eqNullSafe(twice["_again"]), "left_semi").dropDuplicates([key, text])
-    return left.join(twice, left[f"`{key}`"].eqNullSafe(twice["_again"]), "left_anti").unionByName(again)
+    same = lambda d: d[f"`{key}`"].eqNullSafe(twice["doc_id"]) & (F.xxhash64(F.coalesce(d[f"`{text}`"], F.lit(""))) == twice["t"])
+    again = left.join(twice, same(left), "left_semi").dropDuplicates([key, text])
+    return left.join(twice, same(left), "left_anti").unionByName(again)

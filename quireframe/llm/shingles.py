@@ -33,13 +33,13 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def signature(s: np.ndarray) -> int:
-    """A 64-bit signed identity of a set; 0 only for the empty one."""
+def signature(s: np.ndarray) -> bytes:
+    """A 128-bit identity of a set; zeros only for the empty one. The first half serves where a rare clash does no harm."""
     if not len(s):
-        return 0
-    both = np.array([mixed(s * _P[0]).sum(dtype=np.uint64), np.bitwise_xor.reduce(s) + np.uint64(len(s))], dtype=np.uint64)
-    out = int(mixed(both * _P[1] + both[::-1] * _P[2]).sum(dtype=np.uint64).astype(np.int64))
-    return out or 1
+        return bytes(16)
+    both = np.array([mixed(s * _P[0]).sum(dtype=np.uint64), np.bitwise_xor.reduce(s) + np.uint64(len(s)), mixed(s + _P[1]).sum(dtype=np.uint64)], dtype=np.uint64)
+    out = [mixed(both * p + np.roll(both, 1) * q).sum(dtype=np.uint64) for p, q in ((_P[1], _P[2]), (_P[3], _P[0]))]
+    return np.array([out[0] or 1, out[1]], dtype=np.uint64).tobytes()
 
 
 class Bands:
@@ -93,9 +93,10 @@ def sketch(s: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set for the pigeonhole join: two sets that link share one at least, or are equal.
 
-    A set is listed in the band of its size and the next, as a larger partner may lie there. Of a pair's blocks as many
-    agree as there are spare ones. Agreeing blocks are listed by number, parity and checksum, unless they are empty;
-    only a set with that many empty blocks can agree in nothing else, and such sets share one key more.
+    A set is listed in the band of its size and the next, as a larger partner may lie there. A block's token is its number,
+    parity and checksum. Linked sets agree in as many of a pair's blocks as there are spare ones; so if all tokens are put
+    in one order, the same for every set, the two share one of the first ``far + 1``, and only these are listed. Empty
+    blocks come last in that order; a set that has to list one of them lists a key that stands for any.
     """
     n, out = len(s), []
     if not n:
@@ -109,9 +110,12 @@ def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
         bits, check, number = sketch(s, k)
         where = np.flatnonzero(number)
         place = np.column_stack([where, np.full(len(where), b + 1)]).astype(np.uint64)
-        out.append(mixed((bits[where] ^ mixed(check[where])) + place[:, 0] * _P[0] + place[:, 1] * _P[1]))
-        if k - len(where) >= agree:
-            out.append(mixed(np.array([b + 1], dtype=np.uint64) * _P[2]))
+        tokens = mixed((bits[where] ^ mixed(check[where])) + place[:, 0] * _P[0] + place[:, 1] * _P[1])
+        first = k - agree + 1
+        if len(tokens) < first:
+            out += [tokens, mixed(np.array([b + 1], dtype=np.uint64) * _P[2])]
+        else:
+            out.append(np.partition(tokens, first - 1)[:first])
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -136,14 +140,14 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack(out)
 
 
-def linked(n: np.ndarray, sketches: list[np.ndarray], percent: int, sets: list[np.ndarray] | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of places that connect all that link: a pair is tried only while its two sides are not connected. ``left``
-    (booleans) restricts pairs to those of one True and one False side, where given.
+def linked(n: np.ndarray, sketches: list[np.ndarray], percent: int, root: np.ndarray, sets: list[np.ndarray] | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that connect all that link: a pair is tried only while its two sides are not connected. ``root``
+    tells what is connected already. ``left`` (booleans) restricts pairs to those of one True and one False side.
 
     A pair is out where the sketches differ in more bits than linked sets of these sizes can differ in members. With
     ``sets``, what remains is counted exactly; without, every pair that remains counts as linked.
     """
-    bits, root, out = folded(sketches), np.arange(len(n)), []
+    bits, root, out = folded(sketches), root.copy(), []
     for i in range(len(n) - 1):
         other = root[i + 1 :] != root[i]
         if left is not None:
