@@ -9,10 +9,10 @@ of one document at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.llm.shared import broadcast_if_small, n_words, written
+from quireframe.llm.shared import broadcast_if_small, n_words, ranked, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -21,6 +21,9 @@ MAX_COPIES = 2
 CHUNK = 256
 #: Sources up to this number are broadcast (about 50 bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 200_000
+#: Rows up to this number are told by a broadcast how often they are taken (12 bytes each), so that texts stay where they
+#: lie; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 SEED = 70_007
 TINY = 1e-9
 
@@ -30,22 +33,19 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
     Sources in code point order, null last, take the weights in turn and divide ``share`` times all sizes by them; a
     target above ``cap`` times its source's size is set to that and the excess reshared by weight until none is above.
-    That ends where every uncapped source has the same target per weight: sources are capped in order of the target
-    per weight at which they reach their cap, and two running sums tell where that stops.
+    Sources may be many: they are numbered by ranges of their order, and a round of resharing is one aggregation.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights))
-    s = sizes.withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(cap))
-    by = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), "source")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    s = s.withColumn("_left", F.sum("source_size").over(all_rows) * float(share) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-    s = s.withColumn("_weight", F.sum("_w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("_level", F.col("_left") / F.col("_weight"))
-    # The first source that stays below its cap gives the level for itself and all after it.
-    level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct((F.col("_cap") / F.col("_w")).alias("at"), F.col("_level").alias("level")))).over(all_rows)
-    target = F.least(F.col("_cap"), F.coalesce(level["level"] * F.col("_w"), F.col("_cap")))
-    return s.select("source", "source_size", target.alias("target"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    s = ranked(sizes, F.col("source").isNull(), F.encode("source", "UTF-8"), name="_rank").withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(cap)).drop("_rank")
+    s = written(s, "mix-weights")
+    level, full = 0.0, -1
+    while True:  # the level, the target per weight, only rises; each round but the last caps a source more
+        capped = F.col("_cap") <= F.col("_w") * level
+        r = s.agg(F.sum("source_size").alias("all"), F.count_if(capped).alias("full"), F.sum(F.when(capped, F.col("_cap"))).alias("given"), F.sum(F.when(~capped, F.col("_w"))).alias("weight")).first()
+        if r["full"] == full or not r["weight"]:
+            break
+        full, level = r["full"], max(level, (r["all"] * float(share) - (r["given"] or 0.0)) / r["weight"])
+    return s.select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * level).alias("target"))
 
 
 def _unit(*parts) -> Column:
@@ -127,7 +127,11 @@ def mix_rows(slim: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) ->
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Every row of ``docs``: doc_id, size (words), source_size, target and taken (words taken, repeats counted)."""
+    """Every row of ``docs``: doc_id, size (words), source_size, target and taken (words taken, repeats counted).
+
+    A null text has no word and, as any row without words, is taken no time; a null source is a source. Rows that repeat
+    or have a null key are rows of their own. An empty table gives no rows.
+    """
     slim = docs.select(docs[f"`{key}`"].alias("row"), docs[f"`{source}`"].alias("source"), n_words(docs[f"`{text}`"]).alias("size"))
     mixed = mix_rows(written(slim, "mix-sizes"))
     return mixed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -136,8 +140,9 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
 def take_documents(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them (0, 1 or 2 times), with the columns of ``docs``.
 
-    The rows are written once with a number each, so that rows that repeat are told apart.
+    The rows are written once with a number each, so that rows that repeat are told apart. Rows without words are taken
+    no time; a null source is a source. An empty table gives no rows.
     """
     numbered = written(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[f"`{source}`"].alias("source"), n_words(docs[f"`{text}`"]).alias("size"), F.monotonically_increasing_id().alias("row")), "mix-docs")
     copies = mix_rows(numbered.select("row", "source", "size")).filter("copies > 0").select("row", "copies")
-    return numbered.join(copies, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("doc.*")
+    return numbered.join(broadcast_if_small(written(copies, "mix-copies"), BROADCAST_ROWS), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("doc.*")
