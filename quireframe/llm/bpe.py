@@ -1,7 +1,7 @@
-"""Token counts by byte-pair merging with a heap over a linked list (operator 9), and the word cache that packing shares.
+"""Token counts by byte-pair merging with a heap over a linked list (operator 9).
 
 A word's count is the number of its bytes less the number of merges; no identifiers are made. Words recur, so each
-Python worker keeps the results of the words it has met, up to a bound.
+Python worker keeps the results of the short words it has met, up to a bound; long ones, which do not, are counted anew.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from quireframe.session import ship_code
 
 #: How byte-level vocabularies of this family cut a text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words of a cache before it starts anew: about 100 MB of a worker at most.
-CACHED_WORDS = 600_000
+#: Words of a cache before it starts anew, and the characters of the longest that it keeps: at four bytes a character and
+#: what an entry takes, 200 MB of a worker at most, and 60 MB where words are of usual length.
+CACHED_WORDS = 400_000
+CACHED_CHARS = 64
 TOKEN_LIMIT = 512
 
 _any_split = regex.compile(SPLIT)
@@ -108,23 +110,29 @@ def merged_length(word: bytes, vocabulary: Vocabulary) -> int:
 
 
 class WordCache:
-    """Results by word; a full cache starts anew, so memory stays bounded whatever the texts hold."""
+    """Results by word; a full cache starts anew and long words are not kept, so memory stays bounded whatever the texts
+    hold."""
 
-    def __init__(self, make: Callable[[list[str]], list], most: int = CACHED_WORDS):
-        self.make, self.most, self.known = make, most, {}
+    def __init__(self, make: Callable[[str], int], most: int = CACHED_WORDS, longest: int = CACHED_CHARS):
+        self.make, self.most, self.longest, self.known = make, most, longest, {}
 
-    def of(self, words: list[str]) -> list:
-        known = self.known
-        found = list(map(known.get, words))
+    def of(self, words: list[str]) -> list[int]:
+        found = list(map(self.known.get, words))
         if None in found:
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
-            if len(known) + len(new) > self.most:
-                known, new = {}, list(set(words))
-            known.update(zip(new, self.make(new), strict=True))
-            found = list(map(known.get, words))
-            self.known = known if len(known) <= self.most else {}
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    found[i] = self._one(w)
         return found
 
+    def _one(self, word: str) -> int:
+        if (n := self.known.get(word)) is None:
+            n = self.make(word)
+            if len(word) <= self.longest:
+                if len(self.known) >= self.most:
+                    self.known = {}
+                self.known[word] = n
+        return n
+
 
 _of_worker: dict[str, tuple[Vocabulary, WordCache]] = {}
 
@@ -132,7 +140,7 @@ _of_worker: dict[str, tuple[Vocabulary, WordCache]] = {}
 def _counter(path: str) -> tuple[Vocabulary, WordCache]:
     if path not in _of_worker:
         v = Vocabulary(path)
-        _of_worker[path] = v, WordCache(lambda new: [merged_length(w.encode(), v) for w in new])
+        _of_worker[path] = v, WordCache(lambda w: merged_length(w.encode(), v))
     return _of_worker[path]
 
 
@@ -154,7 +162,8 @@ def token_count(text: Column, path: str) -> Column:
 
 def count_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row, over whole texts. A null text counts as empty; an empty
-    one has 0 tokens; strings of added tokens inside a text are one token each. No shuffle."""
+    one has 0 tokens; strings of added tokens inside a text are one token each. Rows that repeat or have a null key
+    keep a row each; an empty table gives no rows. No shuffle."""
     ship_code(docs.sparkSession)
     t = docs[f"`{text}`"]
     counted = docs.select(docs[f"`{key}`"].alias("doc_id"), n_bytes(t).alias("n_bytes"), token_count(t, path).alias("n_tokens"))
