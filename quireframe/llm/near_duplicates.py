@@ -35,8 +35,10 @@ SHARES = (64, 8, 1)
 ONE_ROUND = 200_000
 #: Texts whose sets are wanted, up to this number, are found by a broadcast of their hashes (16 bytes each).
 BROADCAST_TEXTS = 1_000_000
-#: Nodes up to this number are broadcast with their roots (32 bytes each).
+#: Nodes up to this number are broadcast with their roots, and rows of units with theirs (32 to 48 bytes each).
 BROADCAST_NODES = 400_000
+#: Texts that a task works on together.
+AT_ONCE = 1_000
 #: Sets that a task remembers having listed.
 REMEMBERED = 500_000
 
@@ -47,6 +49,11 @@ def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[f"`{key}`"].alias("doc_id"), F.xxhash64(x).alias("t"), x.alias("text"))
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of a piece is small."""
+    return (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE))
+
+
 def _half(identity: bytes) -> int:
     return int.from_bytes(identity[:8], "little", signed=True)
 
@@ -55,7 +62,7 @@ def _listed(slim: DataFrame, size: int) -> DataFrame:
     """doc_id, t (hash of the text), n (members), id (the set's identity, null for the empty set) and c, half of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _texts(batches):
             n, ids = [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
@@ -73,7 +80,7 @@ def _keys(slim: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in _texts(batches):
             c, keys = [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
@@ -104,36 +111,38 @@ def _members(keys: DataFrame) -> DataFrame:
 
 
 def _sets(slim: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, c, n, members (array) and sketch of the texts in ``wanted`` (t): a second reading, of these texts only."""
-    slim = slim.select("t", "text").join(broadcast_if_small(wanted, BROADCAST_TEXTS), "t", "left_semi")
+    """num (a number of its own), id, c, n, members (array) and sketch of the sets of ``wanted`` (t, k: the text and key of
+    one row of each): a second reading, of these rows only. Rows that repeat both are told apart no further, so that a set
+    can be there twice; then one of each is kept by a shuffle."""
+    w = broadcast_if_small(wanted, BROADCAST_TEXTS)
+    slim = slim.join(w, (slim["t"] == w["t"]) & slim["doc_id"].eqNullSafe(w["k"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
+        for b in _texts(batches):
             ids, sets, sketches = [], [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), size)
-                if (k := signature(s)) not in seen:
-                    seen.add(k)
-                    ids.append(k)
-                    sets.append(s.view(np.int64))
-                    sketches.append(parity(s, sketch_bits(len(s))).tobytes())
-            if len(seen) > REMEMBERED:
-                seen.clear()
+                ids.append(signature(s))
+                sets.append(s.view(np.int64))
+                sketches.append(parity(s, sketch_bits(len(s))).tobytes())
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(list(map(_half, ids)), pa.int64()), n, pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "c", "n", "members", "sketch"])
 
     found = slim.mapInArrow(run, "id binary, c long, n long, members array<long>, sketch binary")
-    return found.groupBy("id").agg(*[F.first(x).alias(x) for x in ("c", "n", "members", "sketch")])
+    sets = written(found.withColumn("num", F.monotonically_increasing_id()), "nd-sets")
+    if sets.count() > wanted.count():
+        every, sets = sets, written(sets.dropDuplicates(["id"]), "nd-sets")
+        discard(every)
+    return sets
 
 
 def _in_parts(each: DataFrame, unit: list[str]) -> DataFrame:
-    """Rows of units (id, n, root) with the part of its unit that each set is in: units of too many sets, or too many
+    """Rows of units (num, n, root) with the part of its unit that each set is in: units of too many sets, or too many
     members of these, have several."""
     parts = each.groupBy(*unit).agg(F.greatest(F.ceil(F.count("*") / UNIT), F.ceil(F.sum("n") / UNIT_MEMBERS)).cast("int").alias("parts"))
     parts = broadcast_if_small(written(parts.filter("parts > 1"), "nd-parts"), BROADCAST_NODES)
     cut = each.join(parts, unit, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return cut.select(F.xxhash64(*unit).alias("unit"), F.pmod(F.xxhash64("id", *unit), "parts").cast("int").alias("part"), "parts", "id", "root")
+    return cut.select(F.xxhash64(*unit).alias("unit"), F.pmod(F.xxhash64("num", *unit), "parts").cast("int").alias("part"), "parts", "num", "root")
 
 
 def _links(units: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -142,18 +151,16 @@ def _links(units: DataFrame, sets: DataFrame, percent: int, exact: bool) -> Data
     sorted partitions."""
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     of_set = ["n", "sketch", *(["members"] if exact else [])]
-    rows = units.withColumn("other", other).select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "root")
-    rows = rows.join(sets.select("id", *of_set), "id").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "id")
+    rows = units.withColumn("other", other).select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "num", "root")
+    rows = broadcast_if_small(written(rows, "nd-rows"), BROADCAST_NODES)
+    rows = sets.select("num", *of_set).join(rows, "num").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "num")
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        part, n = (t[x].to_numpy() for x in ("part", "n"))
-        root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    def pairs(t: pa.Table) -> np.ndarray:
+        num, part, n, root = (t[x].to_numpy() for x in ("num", "part", "n", "root"))
         sketches = [np.frombuffer(x, np.uint64) for x in t["sketch"].to_pylist()]
         whole = [np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in t["members"]] if exact else None
         at = linked(n, sketches, percent, root, whole, part == part[0] if part.min() != part.max() else None)
-        at = np.array(at, dtype=np.int64).reshape(-1, 2)
-        ids = t["id"].combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
+        return num[np.array(at, dtype=np.int64).reshape(-1, 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -164,39 +171,39 @@ def _links(units: DataFrame, sets: DataFrame, percent: int, exact: bool) -> Data
             keys = np.column_stack([t[x].to_numpy() for x in ("unit", "low", "high")])
             starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(t)]
             whole = starts if b is None else starts[:-1]  # the last unit may go on in the next batch
-            for x, y in zip(whole[:-1], whole[1:], strict=True):
-                if y - x > 1:
-                    yield pairs(t.slice(x, y - x))
+            out = [pairs(t.slice(x, y - x)) for x, y in zip(whole[:-1], whole[1:], strict=True) if y - x > 1]
             held = t.slice(starts[-2])
+            if out:
+                found = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _roots(links: DataFrame) -> DataFrame:
     """node and root of what ``links`` connect."""
-    links = written(links.filter("a != b"), "nd-links")
-    out = written(connected(links), "nd-roots")
-    discard(links)
-    return out
+    return written(connected(links), "nd-roots")
 
 
 def _contracted(each: DataFrame, unit: list[str], sets: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """node and root of what the links of all units (``unit``, id, n) connect. Units are taken a share at a time; of those
-    that follow only the ones that hold sets not connected yet are compared, which identities alone tell."""
+    """node and root of what the links of all units (``unit``, num, n) connect. Units are taken a share at a time; of those
+    that follow only the ones that hold sets not connected yet are compared, which their numbers alone tell."""
     roots = None
     for share in SHARES if each.count() > ONE_ROUND else (1,):
         some = each.filter(F.pmod(F.xxhash64(*unit), F.lit(share)) == 0)
         if roots is None:
-            some = some.withColumn("root", F.col("id"))
+            some = some.withColumn("root", F.col("num"))
         else:
-            known = broadcast_if_small(roots.select(F.col("node").alias("id"), "root"), BROADCAST_NODES)
-            of_unit = Window.partitionBy(*unit)
-            some = some.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            some = some.select("*", F.min("root").over(of_unit).alias("_lo"), F.max("root").over(of_unit).alias("_hi")).filter("_lo < _hi").drop("_lo", "_hi")
+            known = broadcast_if_small(roots.select(F.col("node").alias("num"), "root"), BROADCAST_NODES)
+            some = some.join(known, "num", "left").withColumn("root", F.coalesce("root", "num"))
+            open_ = some.groupBy(*unit).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*unit)
+            some = some.join(broadcast_if_small(written(open_, "nd-units-open"), BROADCAST_NODES), unit, "left_semi")
         some = written(some, "nd-open")
         links = _links(_in_parts(some, unit), sets, percent, exact)
-        before, roots = roots, _roots(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        discard(some, *([before] if before is not None else []))
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = _roots(links)
+        discard(some)
     return roots
 
 
@@ -206,24 +213,27 @@ def _components(docs: DataFrame, key: str, text: str, size: int, percent: int) -
     with recorded() as paths:
         listed = written(_listed(slim, size), "nd-listed")
         members = _members(_keys(slim, size, percent))
-        wanted = listed.select("c", "id", "t").join(members.select("c").distinct(), "c", "left_semi").groupBy("id").agg(F.min("t").alias("t")).select("t")
-        sets = written(_sets(slim, written(wanted, "nd-wanted"), size), "nd-sets")
-        each = written(members.join(sets.select("c", "id", "n"), "c").select("key", "id", "n"), "nd-units")
+        wanted = listed.select("c", "id", "t", "doc_id").join(members.select("c").distinct(), "c", "left_semi")
+        wanted = wanted.groupBy("id").agg(F.min(F.struct("t", "doc_id")).alias("r")).select("r.t", F.col("r.doc_id").alias("k"))
+        sets = _sets(slim, written(wanted, "nd-wanted"), size)
+        each = written(members.join(sets.select("c", "num", "n"), "c").select("key", "num", "n"), "nd-units")
         discard(members)
         # Sketches thin out what shares a block; what they leave together is compared exactly, each set once, or block by
         # block where a group is too large for one unit.
-        near = _contracted(each, ["key"], sets, percent, exact=False)
-        near = near.select(F.col("node").alias("id"), F.col("root").alias("group")).join(sets.select("id", "n"), "id")
+        near = _contracted(each, ["key"], sets, percent, exact=False).select(F.col("node").alias("num"), F.col("root").alias("group"))
+        near = near.join(sets.select("num", "n"), "num")
         sizes = near.groupBy("group").agg(((F.count("*") > UNIT) | (F.sum("n") > UNIT_MEMBERS)).alias("large"))
         near = written(near.join(sizes, "group"), "nd-near")
-        few = near.filter(~F.col("large")).select(F.xxhash64("group").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "id", F.col("id").alias("root"))
+        few = near.filter(~F.col("large")).select(F.xxhash64("group").alias("unit"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "num", F.col("num").alias("root"))
         roots = _roots(_links(few, sets, percent, exact=True))
         if near.filter("large").limit(1).count():
-            many = written(each.join(near.filter("large").select("id", "group"), "id"), "nd-many")
+            many = written(each.join(near.filter("large").select("num", "group"), "num"), "nd-many")
             discard(each)
-            roots = written(roots.unionByName(_contracted(many, ["key", "group"], sets, percent, exact=True)), "nd-all")
+            roots = roots.unionByName(_contracted(many, ["key", "group"], sets, percent, exact=True))
+        named = sets.select("num", "id")
+        roots = roots.join(named.withColumnRenamed("num", "node"), "node").select("id", F.col("root").alias("num")).join(named.select("num", F.col("id").alias("root")), "num").select("id", "root")
+        known = broadcast_if_small(written(roots, "nd-linked"), BROADCAST_NODES)
         rows = listed.select("doc_id", "t", F.col("n").alias("n_shingles"), "id")
-        known = broadcast_if_small(roots.select(F.col("node").alias("id"), "root"), BROADCAST_NODES)
         rows = rows.join(known, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
         least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
         least = written(least.select("root", "least"), "nd-least")
