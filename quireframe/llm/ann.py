@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by adaptive dimension scan (operator 3).
 
-Vectors are turned by a random rotation and dealt to the lists of a coarse quantizer. No inner product of a query with a
-vector of a list exceeds q.centre + |q| * radius, nor |q| times the longest vector's norm. The groups of
-lists with the largest bounds are read first; then every list whose bound reaches the query's k-th best score. Within a list the scan reads column
-blocks of the rotated vectors: after each block the partial distance, scaled up to all dimensions, is tested against the
-query's current k-th best, and candidates that fail the test are abandoned. What is left gets its exact inner product on
-the original vectors.
+Vectors are turned by a random rotation and dealt to the lists of a coarse quantizer. Each query first reads the few lists
+whose bounds are largest, then every list whose bound reaches the k-th best score that these gave. A bound is a test at
+``DEVIATIONS``: a list's vectors lie around its centre in all directions, so that their inner products with q spread about
+q.centre by |q| * radius / sqrt(d); what certainly is no less, q.centre + |q| * radius and |q| times the longest vector's
+norm, bounds it too. Within a list the scan reads column blocks of the rotated vectors: after each block the partial
+distance, scaled up to all dimensions, is tested against the query's current k-th best, and candidates that fail the test
+are abandoned. What is left gets its exact inner product on the original vectors.
 
 Inner products are searched as distances between directions: for unit q and x, |q - x|^2 = 2 - 2 q.x, so that the norms
 set the distance within which a candidate would beat the k-th best.
@@ -26,20 +27,22 @@ from quireframe.session import ship_code
 
 K = 20
 #: Vectors per list aimed at; the number of lists is bounded, as each task holds their centres.
-LIST_SIZE = 100
+LIST_SIZE = 32
 MAX_LISTS = 4_096
 #: The coarse quantizer is fitted on so many vectors at most, drawn by a hash of the id. All vectors are indexed.
 SAMPLE = 20_000
-ROUNDS = 12
-#: Lists of the largest bounds whose groups are read first; they give the threshold that the others' bounds are compared
-#: with and their vectors scanned with.
-FIRST_PROBES = 4
+ROUNDS = 6
+#: Lists of the largest bounds, which are read first; they give the threshold that the others' bounds are compared with and
+#: their vectors scanned with.
+FIRST_PROBES = 8
+#: Deviations from the centre at which a list is given up; more read more lists.
+DEVIATIONS = 3.0
 #: Candidates and queries in one unit of work at most; longer lists are cut into several units, short ones share one. So
 #: that small tables have work for many tasks, UNITS are aimed at, of no fewer than LEAST_UNIT_ROWS candidates.
 UNIT_ROWS = 4_096
 LEAST_UNIT_ROWS = 512
 UNITS = 32
-UNIT_QUERIES = 512
+UNIT_QUERIES = 4_096
 #: Dimensions of a column block, and the significance of the test: larger abandons less.
 BLOCK = 16
 EPSILON = 1.2
@@ -104,10 +107,11 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def _bounds(q: np.ndarray, index: Index) -> np.ndarray:
-    """What no inner product of a query (row) with a vector of a list (column) exceeds; a hair more for rounding."""
+    """What hardly an inner product of a query (row) with a vector of a list (column) exceeds; a hair more for rounding."""
     lengths = np.linalg.norm(q, axis=1)[:, None]
+    spread = index.radii * min(1.0, DEVIATIONS / np.sqrt(index.dimension))
     hair = 1e-9 * lengths * (np.linalg.norm(index.centers, axis=1) + np.maximum(index.radii, 0))
-    return np.where(index.norms == -np.inf, -np.inf, np.minimum(q @ index.centers.T + lengths * index.radii, lengths * index.norms) + hair)
+    return np.where(index.norms == -np.inf, -np.inf, np.minimum(q @ index.centers.T + lengths * spread, lengths * index.norms) + hair)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -145,33 +149,38 @@ def _measured(index: Index, base: DataFrame, total: int) -> Index:
     return index._replace(radii=radii, norms=norms, groups=groups, parts=np.array([max(1, -(-x // most)) for x in sizes]))
 
 
-def _foremost(bounds: np.ndarray, index: Index) -> list[np.ndarray]:
-    """The groups of the lists of the largest bounds, of those that have vectors, for each query."""
-    return [np.unique(index.groups[most[b[most] > -np.inf]]) for b in bounds for most in [np.argsort(-b, kind="stable")[:FIRST_PROBES]]]
-
-
 def _reaching(bounds: np.ndarray, kth: np.ndarray) -> np.ndarray:
     """Whether a list's bound (column) reaches the k-th best score of a query (row; minus infinity: none)."""
     return (bounds >= kth[:, None]) & (bounds > -np.inf) | np.isnan(bounds)
 
 
 def _asking(queries: DataFrame, index: Index, first: bool) -> DataFrame:
-    """``queries`` with the groups to read: ``first`` the foremost ones, then those of all other lists that the bounds
-    leave."""
+    """``queries`` with the groups to read: ``first`` those of the foremost lists, which ``lists`` then holds; after that
+    those of all other lists that the bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
             bounds = _bounds(_matrix(b.column("v")), index)
             if first:
-                groups = _foremost(bounds, index)
+                lists = [most[x[most] > -np.inf] for x in bounds for most in [np.argsort(-x, kind="stable")[:FIRST_PROBES]]]
+                groups = [np.unique(index.groups[x]) for x in lists]
             else:
-                reach = _reaching(bounds, b.column("kth").to_numpy())
-                groups = [np.setdiff1d(index.groups[x], read) for x, read in zip(reach, b.column("groups").to_pylist(), strict=True)]
-            groups = pa.array([x.astype(np.int32) for x in groups], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("kth"), groups], ["vec_id", "v", "kth", "groups"])
+                lists = [np.array(x, dtype=int) for x in b.column("lists").to_pylist()]
+                reach = _reaching(bounds, b.column("kth").to_numpy()) & ~_chosen(lists, index)
+                groups = [np.unique(index.groups[x]) for x in reach]
+            lists, groups = (pa.array([y.astype(np.int32) for y in x], pa.list_(pa.int32())) for x in (lists, groups))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("kth"), lists, groups], ["vec_id", "v", "kth", "lists", "groups"])
 
     kind = queries.schema["vec_id"].dataType.simpleString()
-    return queries.mapInArrow(run, f"vec_id {kind}, v array<double>, kth double, groups array<int>")
+    return queries.mapInArrow(run, f"vec_id {kind}, v array<double>, kth double, lists array<int>, groups array<int>")
+
+
+def _chosen(lists: list, index: Index) -> np.ndarray:
+    """Whether a list (column) is among those named for a query (row)."""
+    out = np.zeros((len(lists), len(index.centers)), dtype=bool)
+    for row, named in zip(out, lists, strict=True):
+        row[named] = True
+    return out
 
 
 def scan(qid: np.ndarray, q: np.ndarray, kth: np.ndarray, xid: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -227,7 +236,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
 
     Score is the inner product in double precision; ties go to the smaller vec_id. A list that holds many vectors (a
     vector repeated at will) or is probed by many queries is cut into units of bounded size. Rows that repeat an id are
-    candidates each, save for the query of that id. Rows that take no part give no rows; so does an empty table.
+    one query, by the vector that comes first in order, and candidates each for the queries of other ids. Rows that take
+    no part give no rows; so does an empty table.
     """
     spark = vectors.sparkSession
     ship_code(spark)
@@ -240,21 +250,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
     index = fit(v, total)
     base = written(_dealt(v, index), "ann-lists")
     index = _measured(index, base, total)
-    asked = written(_asking(v.filter(is_query).withColumn("kth", F.lit(float("-inf"))), index, True), "ann-probes")
-    first = written(_scanned(asked, base, index, k, schema), "ann-first")
+    queries = v.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = written(_asking(queries.withColumn("kth", F.lit(float("-inf"))), index, True), "ann-probes")
+    first = written(_scanned(asked, base, index, k, schema, True), "ann-first")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    known = asked.drop("kth").join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "groups")
+    known = asked.drop("kth").join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "lists")
     rest = written(_asking(known, index, False), "ann-rest")
-    found = first.unionByName(_scanned(rest, base, index, k, schema))
+    found = first.unionByName(_scanned(rest, base, index, k, schema, False))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scanned(asked: DataFrame, base: DataFrame, index: Index, k: int, schema: str) -> DataFrame:
+def _scanned(asked: DataFrame, base: DataFrame, index: Index, k: int, schema: str, first: bool) -> DataFrame:
     """The ``k`` best of each query within each unit of the groups it reads: query_id, vec_id and score. Of a unit's lists
-    those are scanned whose bound reaches kth, which rises with what the unit has given."""
+    the ``first`` time those named for the query are scanned, then the others whose bound reaches kth, which rises with
+    what the unit has given."""
     spark = asked.sparkSession
-    per = asked.select("vec_id", "v", "kth", F.explode("groups").alias("group"))
+    per = asked.select("vec_id", "v", "kth", "lists", F.explode("groups").alias("group"))
     sizes = [(r["group"], int(index.parts[r["group"]]), -(-r["n"] // UNIT_QUERIES)) for r in per.groupBy("group").agg(F.count("*").alias("n")).collect()]
     sizes = spark.createDataFrame(sizes, "group int, n_part int, n_turn int")
     of = spark.createDataFrame(list(enumerate(index.groups.tolist())), "list int, group int")
@@ -268,8 +280,11 @@ def _scanned(asked: DataFrame, base: DataFrame, index: Index, k: int, schema: st
         q, x = _matrix(queries["v"].combine_chunks()), _matrix(rows["v"].combine_chunks())
         qid, kth, xid, of = ids.to_numpy(), queries["kth"].to_numpy().copy(), xs.to_numpy(), rows["list"].to_numpy()
         bounds, top, found = _bounds(q, index), np.full((len(q), k), -np.inf), []
+        named = _chosen(queries["lists"].to_pylist(), index)
         for one in np.unique(of):
-            asks, own = np.nonzero(_reaching(bounds[:, [one]], kth))[0], np.nonzero(of == one)[0]
+            asks, own = np.nonzero(named[:, one] if first else _reaching(bounds[:, [one]], kth)[:, 0] & ~named[:, one])[0], np.nonzero(of == one)[0]
+            if not len(asks):
+                continue
             step = max(64, (1 << 18) // len(own))
             for a in range(0, len(asks), step):
                 some = asks[a : a + step]
