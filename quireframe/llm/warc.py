@@ -9,25 +9,29 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm.shared import broadcast_if_small, new_path, written
+from quireframe.llm.shared import broadcast_if_small, delete, new_path, recorded, written
 from quireframe.session import ship_code
 
-#: Captures in a file at most, so that a reader's task holds a bounded file.
-CAPTURES_PER_FILE = 10_000
+#: Bytes after which a file ends, and after which a split of it does, so that a reader's task holds a bounded part of one.
+FILE_BYTES = 256 << 20
+SPLIT_BYTES = 16 << 20
 #: Payloads with copies up to this number are broadcast (about 70 bytes each); more are joined by shuffle.
 BROADCAST_PAYLOADS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The digits of base 32 in numbers and in digests.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-END = "\r\n\r\n"
+SPLIT = "file string, start long, length long, captures long"
 
 RECORD = (
     "record_type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, "
@@ -47,48 +51,95 @@ def _urn(kind: str, row: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def _record(headers: list[tuple[str, Column | str]], head: Column, body: Column | None = None) -> Column:
-    """A WARC record. Its block is ``head`` and ``body``; a header whose value is null is left out."""
-    lines = [F.concat(F.lit(f"{k}: "), v if isinstance(v, Column) else F.lit(v), F.lit("\r\n")) for k, v in headers]
-    n = F.octet_length(head) + (F.octet_length(body) if body is not None else 0)
-    block = F.concat(head, body) if body is not None else head
-    return F.concat(F.lit("WARC/1.1\r\n"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit("Content-Length: "), n.cast("string"), F.lit(END), block)
+def _record(kind: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+    """A WARC record as a gzip member of its own. A header whose value is null is left out."""
+    lines = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *headers, ("WARC-Date", DATE), ("Content-Length", str(len(block)))] if v is not None)
+    whole = b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31) if len(whole) > 1024 else zlib.compressobj(6, zlib.DEFLATED, 26, 3)
+    return pack.compress(whole) + pack.flush()
 
 
-def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write each row of ``pages`` as a capture into gzip files under ``path``.
+def _capture(k: str | None, uri: str | None, payload: bytes, digest: str, of: str | None, ids: tuple[str, str, str]) -> bytes:
+    """The request, response (revisit of ``of``) and metadata records of a page."""
+    request, answer, metadata = ids
+    _, host, at = re.match(r"([a-z]+://([^/?#]*)|)([^#]*)", uri or "", re.DOTALL).groups() if re.match("[a-z]+://", uri or "") else (None, "", "")
+    get = f"GET {at if at.startswith('/') else '/' + at} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    target, same, kind = ("WARC-Target-URI", uri), ("WARC-Concurrent-To", answer), ("Content-Type", "application/http; msgtype=response")
+    sha = ("WARC-Payload-Digest", f"sha1:{digest}")
+    if of is None:
+        second = _record("response", [("WARC-Record-ID", answer), target, sha, kind], http + payload)
+    else:
+        second = _record("revisit", [("WARC-Record-ID", answer), target, sha, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", of), kind], http)
+    first = _record("request", [("WARC-Record-ID", request), target, same, ("Content-Type", "application/http; msgtype=request")], get)
+    last = _record("metadata", [("WARC-Record-ID", metadata), target, same, ("Content-Type", "application/warc-fields")], b"" if k is None else f"page-id: {k}\r\n".encode())
+    return first + second + last
+
+
+def _at(uri: str) -> tuple[FileSystem, str]:
+    """The file system and path of a URI; that of a plain path is the local one."""
+    return FileSystem.from_uri(re.sub(r"^(?:file:)?/+", "file:///", uri))
+
+
+def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Write each row of ``pages`` as a capture into gzip files under ``path``, a member for each record, and return their
+    splits: file, start, length and captures.
 
     Payloads are the UTF-8 bytes of ``html`` (null: none). Of the rows with equal payloads the one with the largest key
     is written as response, the others as revisit of it; among rows that share that key too, one is the response. A
-    null key is the smallest. Rows are numbered once, in a written table, and told apart by that number.
+    null key is the smallest. Rows are numbered once, in a written table, and told apart by that number. An empty table
+    gives no files.
+
+    Tasks write files of their own, named by attempt, where pyarrow's file systems reach; the splits that a task returns
+    when it ends tell which files count, so that a lost or repeated attempt leaves nothing that is read.
     """
+    ship_code(pages.sparkSession)
     payload = F.coalesce(pages[f"`{html}`"], F.lit(""))
     uri = F.regexp_replace(F.regexp_replace(pages[f"`{url}`"], "\r", "%0D"), "\n", "%0A")
-    rows = pages.select(pages[f"`{key}`"].alias("k"), uri.alias("uri"), payload.alias("p"), base32_sha1(payload).alias("d"), F.octet_length(payload).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select(pages[f"`{key}`"].alias("k"), uri.alias("uri"), payload.cast("binary").alias("p"), base32_sha1(payload).alias("d"), F.octet_length(payload).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "warc-pages")
     same = rows.groupBy("d", "n").agg(F.max(F.struct("k", "row")).alias("top"), F.count("*").alias("c")).filter("c > 1")
     same = written(same.select("d", "n", F.col("top.row").alias("of")), "warc-copies")
     both = rows.join(broadcast_if_small(same, BROADCAST_PAYLOADS), ["d", "n"], "left")
-    revisit = F.col("of").isNotNull() & (F.col("of") != F.col("row"))
-    rid = _urn("response", F.col("row"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
-    host = F.regexp_extract(F.coalesce("uri", F.lit("")), "^[a-z]+://([^/?#]*)", 1)
-    at = F.regexp_extract(F.coalesce("uri", F.lit("")), "^[a-z]+://[^/?#]*([^#]*)", 1)
-    get = F.concat(F.lit("GET "), F.when(at.startswith("/"), at).otherwise(F.concat(F.lit("/"), at)), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
-    date, target, sha = ("WARC-Date", DATE), ("WARC-Target-URI", F.col("uri")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("d")))
-    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _urn("request", F.col("row"))), date, target, ("WARC-Concurrent-To", rid), ("Content-Type", "application/http; msgtype=request")], get)
-    kind = ("Content-Type", "application/http; msgtype=response")
-    response = _record([("WARC-Type", "response"), ("WARC-Record-ID", rid), date, target, sha, kind], http, F.col("p"))
-    again = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", rid), date, target, sha, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn("response", F.col("of"))), kind], http)
-    page = F.coalesce(F.concat(F.lit("page-id: "), F.col("k").cast("string"), F.lit("\r\n")), F.lit(""))
-    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", F.col("row"))), date, target, ("WARC-Concurrent-To", rid), ("Content-Type", "application/warc-fields")], page)
-    capture = F.concat(request, F.lit(END), F.when(revisit, again).otherwise(response), F.lit(END), metadata)
-    both.select(capture.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
-
-
-def _blocks(content: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record of a file, gzip (one or many members) or plain, read as it unpacks."""
-    stream = io.BufferedReader(_Unpacked(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    revisit = F.when(F.col("of") != F.col("row"), _urn("response", F.col("of")))
+    each = both.select(F.col("k").cast("string"), "uri", "p", "d", revisit.alias("of"), *[_urn(x, F.col("row")).alias(x) for x in ("request", "response", "metadata")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _at(path)
+        fs.create_dir(root, recursive=True)
+        out, name, task = None, "", TaskContext.get().taskAttemptId()
+        files = at = start = n = 0
+
+        def split() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "start": [start], "length": [at - start], "captures": [n]})
+
+        for b in batches:
+            for k, u, p, d, of, *ids in zip(*(b.column(c).to_pylist() for c in ("k", "uri", "p", "d", "of", "request", "response", "metadata")), strict=True):
+                if out is None:
+                    name, at, start, n = f"{task:08d}-{files:05d}.warc.gz", 0, 0, 0
+                    out, files = fs.open_output_stream(f"{root}/{name}", compression=None), files + 1
+                made = _capture(k, u, p, d, of, ids)
+                out.write(made)
+                at, n = at + len(made), n + 1
+                if at >= FILE_BYTES:
+                    out.close()
+                    out = None
+                if out is None or at - start >= SPLIT_BYTES:
+                    yield split()
+                    start, n = at, 0
+        if out is not None:
+            out.close()
+            if n:
+                yield split()
+
+    return written(each.mapInArrow(run, SPLIT), "warc-splits")
+
+
+def _blocks(source: io.RawIOBase) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of each record of a file or split, gzip (one or many members) or plain, read as it unpacks."""
+    stream = io.BufferedReader(source, 1 << 16)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(_Unpacked(stream), 1 << 16)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue  # the empty lines between records
@@ -100,11 +151,28 @@ def _blocks(content: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         yield headers, stream.read(length)
 
 
+class _Split(io.RawIOBase):
+    """``length`` bytes of an open file from ``start``."""
+
+    def __init__(self, file, start: int, length: int):
+        self.file, self.left = file, length
+        file.seek(start)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        got = self.file.read(min(len(buffer), self.left)) if self.left else b""
+        buffer[: len(got)] = got
+        self.left -= len(got)
+        return len(got)
+
+
 class _Unpacked(io.RawIOBase):
-    """The plain bytes of a gzip file, a buffer at a time."""
+    """The plain bytes of a gzip stream, a buffer at a time."""
 
-    def __init__(self, content: bytes):
-        self.left, self.at, self.unpack = memoryview(content), 0, zlib.decompressobj(31)
+    def __init__(self, packed: io.BufferedReader):
+        self.packed, self.unpack, self.rest = packed, zlib.decompressobj(31), b""
 
     def readable(self) -> bool:
         return True
@@ -112,17 +180,13 @@ class _Unpacked(io.RawIOBase):
     def readinto(self, buffer) -> int:
         while True:
             if self.unpack.eof:
-                rest = self.unpack.unused_data
-                self.at -= len(rest)
-                if self.at >= len(self.left):
-                    return 0
-                self.unpack = zlib.decompressobj(31)
-            give = self.unpack.unconsumed_tail or bytes(self.left[self.at : self.at + 65536])
-            if not self.unpack.unconsumed_tail:
-                self.at += len(give)
+                self.rest, self.unpack = self.unpack.unused_data, zlib.decompressobj(31)
+            give = self.rest or self.packed.read1(1 << 16)
             if not give:
                 return 0
-            if out := self.unpack.decompress(give, len(buffer)):
+            out = self.unpack.decompress(give, len(buffer))
+            self.rest = self.unpack.unconsumed_tail
+            if out:
                 buffer[: len(out)] = out
                 return len(out)
 
@@ -145,29 +209,37 @@ def _parsed(headers: list[tuple[str, str]], block: bytes, with_payload: bool) ->
     return out
 
 
-def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, with_payload: bool = True, splits: DataFrame | None = None) -> DataFrame:
     """One row per record of the files under ``path``: its type, identifiers, links, declared fields and, for responses,
-    bytes and SHA-1 of the payload as read (revisits: as declared), and the payload if asked for."""
+    bytes and SHA-1 of the payload as read (revisits: as declared), and the payload if asked for.
+
+    With ``splits`` (as ``write_archive`` gives them) these are read, a task each; else each file is a task's, which reads it
+    as a stream."""
     ship_code(spark)
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    if splits is None:
+        splits = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("start"), "length")
+    tasks = max(1, min(splits.count(), 100_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content"):
+            for file, start, length in zip(*(b.column(c).to_pylist() for c in ("file", "start", "length")), strict=True):
+                fs, at = _at(file)
                 held, size = [], 0
-                for headers, block in _blocks(content.as_py()):
-                    held.append(_parsed(headers, block, with_payload))
-                    size += len(held[-1].get("payload") or b"")
-                    if len(held) >= 5000 or size > 1 << 24:
-                        yield _batch(held)
-                        held, size = [], 0
+                with fs.open_input_file(at) as f:
+                    for headers, block in _blocks(_Split(f, start, length)):
+                        held.append(_parsed(headers, block, with_payload))
+                        size += len(held[-1].get("payload") or b"")
+                        if len(held) >= 5000 or size > 1 << 24:
+                            yield _batch(held)
+                            held, size = [], 0
                 yield _batch(held)
 
     def _batch(held: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in held], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return splits.select("file", "start", "length").repartition(tasks).mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -195,7 +267,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def capture_digests(captures: DataFrame, key_type: str = "long") -> DataFrame:
     """Per capture: page_id, payload_bytes, payload_digest, record_type and refers_to, the page of the response that a
-    revisit names (null for responses, and where that response is in no archive)."""
+    revisit names (null for responses, and where that response is in no archive). Captures without a response give no
+    row, a null key comes back null, and rows that repeat keep a row each; no captures give no rows."""
     page = F.get(F.filter("metadata.fields", lambda x: x["key"] == "page-id"), 0)["value"].cast(key_type)
     slim = captures.filter(F.col("response").isNotNull()).select("capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("_refers"))
     first = slim.filter(F.col("record_type") == "response").select(F.col("capture_id").alias("_refers"), F.col("page_id").alias("refers_to"))
@@ -203,9 +276,16 @@ def capture_digests(captures: DataFrame, key_type: str = "long") -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write ``pages`` as WARC archives in the shared folder, read them back and assemble their captures."""
+    """Write ``pages`` as WARC archives in the shared folder, read them back and assemble their captures.
+
+    A null html is an empty payload, a null url and a null key are left out of the records; rows that repeat are captures
+    each. An empty table gives no rows. What lies in the shared folder goes but for the captures.
+    """
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
-    write_archive(pages, path, key, url, html)
-    records = written(read_archive(spark, path, with_payload=False), "warc-records")
-    return written(assemble(records), "warc-captures")
+    with recorded() as paths:
+        path = new_path(spark, "warc")
+        splits = write_archive(pages, path, key, url, html)
+        records = written(read_archive(spark, path, with_payload=False, splits=splits), "warc-records")
+        captures = written(assemble(records), "warc-captures")
+    delete(spark, [p for p in paths if p != captures._written_to])
+    return captures
