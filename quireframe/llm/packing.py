@@ -104,7 +104,8 @@ def cut(stream: DataFrame, length: int = LENGTH) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """All documents, concatenated in the order in which they are stored and cut every ``length`` ids: the pieces.
 
-    Rows that repeat or share a key are packed once each. An empty table gives no rows. Only the last sequence can be
+    A null text is an empty one, whose only id is the end's. Rows that repeat or share a key, null ones too, are packed once
+    each. An empty table gives no rows. Only the last sequence can be
     short; it is the one that ``sequences`` pads.
     """
     return cut(with_offsets(written(token_stream(docs, path, key, text), "tokens")), length)

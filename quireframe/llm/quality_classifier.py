@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quireframe.session import ship_code
 
 #: Bounds of the sample that the model is fitted on, drawn by a hash of the key: labelled rows of each class, how many
-#: of them go into its dictionary at most, and the bytes beyond which a text is no sample. Scoring has no such bound.
+#: of them go into its dictionary at most, and the bytes of a text that are sampled at most. Scoring has no such bound.
 SAMPLE_ROWS = 3_000
 DICTIONARY_ROWS = 1_000
 SAMPLE_BYTES = 16_384
@@ -96,10 +96,12 @@ def _regress(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """The model of the labelled rows outside the held-out fold.
+    """The model of the labelled rows outside the held-out fold: ``SAMPLE_ROWS`` of each class at most, and of each text
+    one part of ``SAMPLE_BYTES`` bytes at most, at a place that a hash of the key picks.
 
-    The labels are sampled first and joined to the texts after, so that texts that are no sample are not moved. With
-    fewer than two usable rows of a class the model is the share of good labels (a half without labels).
+    The labels are sampled first and joined to the texts after, so that texts that are no sample are not moved. Null
+    texts, null keys and labels other than 0 and 1 are no sample; rows that repeat a key are one each, up to twice the
+    sample. With fewer than two usable rows of a class the model is the share of good labels (a half without labels).
     """
     known = labels.select(labels[f"`{key}`"].alias("k"), labels[f"`{label}`"].alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     known = known.filter(~held_out(F.col("k")))
@@ -108,8 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = F.xxhash64("k", F.lit(SEED))
     drawn = [known.filter(F.col("y") == y).orderBy(order, "k").limit(SAMPLE_ROWS) for y in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # SAMPLE_ROWS rows of each class at most
-    t = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
-    rows = t.join(drawn, "k").select(F.col("y"), F.encode("t", "UTF-8").alias("t"), order.alias("o"), "k").orderBy("o", "k", "t").limit(2 * SAMPLE_ROWS).collect()
+    t = docs.select(docs[f"`{key}`"].alias("k"), F.encode(docs[f"`{text}`"], "UTF-8").alias("t")).filter("t IS NOT NULL")
+    begin = F.pmod(F.xxhash64("k", F.lit(SEED + 1)), F.greatest(F.octet_length("t") - SAMPLE_BYTES + 1, F.lit(1))) + 1
+    rows = t.join(drawn, "k").select(F.col("y"), F.substring("t", begin.cast("int"), F.lit(SAMPLE_BYTES)).alias("t"), order.alias("o"), "k").orderBy("o", "k", "t").limit(2 * SAMPLE_ROWS).collect()
     of = [[bytes(r["t"]) for r in rows if r["y"] == y] for y in (0, 1)]
     if min(map(len, of)) < 2:
         return Model(b"", b"", [], [], [], share)
@@ -142,7 +145,11 @@ def score(text: Column, model: Model) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs``: doc_id, held_out, score and predicted (1 from a score of 0.5). No shuffle of texts."""
+    """Every row of ``docs``: doc_id, held_out, score and predicted (1 from a score of 0.5). No shuffle of texts.
+
+    A null text counts as empty and has a score; rows that repeat have the same; a null key is not held out. An empty
+    table gives no rows.
+    """
     ship_code(docs.sparkSession)
     k = docs[f"`{key}`"]
     scored = docs.select(k.alias("doc_id"), held_out(k).alias("held_out"), score(docs[f"`{text}`"], fit(docs, labels, key, text)).alias("score"))

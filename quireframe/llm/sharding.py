@@ -112,14 +112,19 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Records are ordered by a hash of their text, then key, then a hash of all columns: equal texts lie side by side
     and so share a shard unless a shard ends among them, and a group of copies of any size is cut between its keys.
-    Rows equal in every column stay in one range. Size is the UTF-8 bytes plus 1; a null text counts as empty.
+    Rows equal in every column are told apart by a number that a written table fixes, so that repeats at will are cut too.
+    Keys of any type are taken (those that are no whole numbers by a hash). Shard ends come from exact prefix sums; the
+    sampled splitters deal out the ranges in which these are taken. Size is the UTF-8 bytes plus 1; a null text counts
+    as empty, a null key comes before all others. An empty table gives no rows.
     """
     t, k = docs[f"`{text}`"], docs[f"`{key}`"]
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = k.cast("long") if whole else F.xxhash64(k)
     slim = docs.select(
         k.alias("doc_id"),
         F.crc32(F.coalesce(t, F.lit(""))).alias("text_crc32"),
         (n_bytes(t) + 1).alias("_size"),
-        F.struct(F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), k.cast("long").alias("d"), F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns if c != text]).alias("r")).alias("_key"),
+        F.struct(F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), number.alias("d"), F.monotonically_increasing_id().alias("r")).alias("_key"),
     )
     out = range_shards(slim, F.col("_key"), F.col("_size"), shards).drop("_size", "_key")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
