@@ -91,23 +91,30 @@ def formula(text: str) -> Column:
     return out
 
 
+def cron_values(field: str, low: int, high: int) -> list[int]:
+    """The values of a cron field: ``*``, numbers, ranges, and steps over a range or from a number on, parted by commas."""
+    values: set[int] = set()
+    for item in ["*/1"] if field == "*" else field.split(","):
+        if m := re.fullmatch(r"(\*|\d+)(?:-(\d+))?/(\d+)", item):
+            a, b, step = low if m[1] == "*" else int(m[1]), int(m[2] or high), int(m[3])
+        elif m := re.fullmatch(r"(\d+)(?:-(\d+))?", item):
+            a, b, step = int(m[1]), int(m[2] or m[1]), 1
+        else:
+            raise ValueError(f"bad field {item}")
+        if step < 1 or a < low or b > high or a > b:
+            raise ValueError(f"out of range: {item}")
+        values |= set(range(a, b + 1, step))
+    return sorted(values)
+
+
 def cron_matches(spec: str, ts: Column) -> Column:
-    """Whether a moment matches five cron fields: minute, hour, day, month, weekday (Sunday is 0)."""
+    """Whether a moment matches five cron fields: minute, hour, day, month, weekday (Sunday is 0 or 7)."""
     fields = spec.split()
     if len(fields) != 5:
         raise ValueError("five fields are needed")
     parts = [F.minute(ts), F.hour(ts), F.dayofmonth(ts), F.month(ts), F.dayofweek(ts) - 1]
     out = F.lit(True)
-    for field, part, (low, high) in zip(fields, parts, [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)], strict=True):
-        values: set[int] = set()
-        for item in field.split(","):
-            m = re.fullmatch(r"(\*|\d+)(?:-(\d+))?(?:/(\d+))?", item)
-            if not m:
-                raise ValueError(f"bad field {item}")
-            a = low if m[1] == "*" else int(m[1])
-            b = high if m[1] == "*" or (m[3] and not m[2]) else int(m[2] or a)
-            values |= set(range(a, b + 1, int(m[3] or 1)))
-        if not values or min(values) < low or max(values) > high:
-            raise ValueError(f"out of range: {field}")
-        out = out & part.isin(*sorted(values))
+    for field, part, bounds in zip(fields, parts, [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)], strict=True):
+        values = cron_values(field, *bounds)
+        out = out & part.isin(*sorted({v % 7 for v in values} if bounds == (0, 7) else values))
     return out

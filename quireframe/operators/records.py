@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -27,11 +28,12 @@ def sorted_as_text(rows: DataFrame, by: str, key: str, descending: bool = False)
 
 
 def keyed_diff(left: DataFrame, right: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """Full outer join of two snapshots: key and status added, deleted, changed or unchanged."""
-    a = left.select(F.col(key).alias("_a"), F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"}).alias("_pa"))
-    b = right.select(F.col(key).alias("_b"), F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"}).alias("_pb"))
-    status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "deleted").when(F.col("_pa") == F.col("_pb"), "unchanged").otherwise("changed")
-    return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), status.alias("status"))
+    """Full outer join of two snapshots: key and status added, deleted, changed or unchanged. A null key is a key."""
+    json = lambda: F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"})
+    a = left.select(F.col(key).alias("_a"), json().alias("_pa"), F.lit(True).alias("_la"))
+    b = right.select(F.col(key).alias("_b"), json().alias("_pb"), F.lit(True).alias("_lb"))
+    status = F.when(F.col("_la").isNull(), "added").when(F.col("_lb").isNull(), "deleted").when(F.col("_pa") == F.col("_pb"), "unchanged").otherwise("changed")
+    return a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full_outer").select(F.coalesce("_a", "_b").alias(key), status.alias("status"))
 
 
 def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,23 +44,37 @@ def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
     return sets.select(facet.alias("facet"), value.alias("value"), "n")
 
 
+def digest_sum(member: Column) -> Column:
+    """A digest of a group's members that adds up, so that no task gathers them: the sum of the first 60 bits of each
+    one's SHA-256, as text. Their order does not matter, repeats do."""
+    return F.sum(F.conv(F.substring(F.sha2(member.cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def legend(rows: DataFrame, keys: list[str], value: str, member: str) -> DataFrame:
-    """Groups by ``keys`` with count, sum (to six places) and a digest of the members in order of their text."""
-    each = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.sort_array(F.collect_list(F.col(member).cast("string"))).alias("m"))
-    return each.select(*keys, "n", "total", F.sha2(F.array_join("m", ","), 256).alias("provenance"))
+    """Groups by ``keys`` with count, sum (to six places) and ``digest_sum`` of the members; null is a group."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), digest_sum(F.col(member)).alias("provenance"))
+
+
+def legend_members(rows: DataFrame, keys: list[str], value: str, member: str) -> DataFrame:
+    """A row for each member with its place (from 1) in its group, in order of the members' text, then of their values."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(member).cast("string"), value)))
 
 
 def status_counts(rows: DataFrame, status: str, domain: list[str]) -> DataFrame:
-    """Counts of each status of a fixed domain, zeros included, and the overall verdict: fail over review over pass."""
+    """Counts of each status of a fixed domain, zeros included, and the overall verdict: fail, or review-required where
+    there is a warning or a check that was not made, or pass."""
     counts = rows.agg(*[F.count_if(F.col(status) == s).alias(s.replace("-", "_")) for s in domain])
-    overall = F.when(F.col("fail") > 0, "fail").when(F.col("warning") > 0, "review").otherwise("pass")
+    overall = F.when(F.col("fail") > 0, "fail").when((F.col("warning") > 0) | (F.col("not_checked") > 0), "review-required").otherwise("pass")
     return counts.withColumn("overall", overall)
 
 
 def section_ends(starts: DataFrame, of: str, start: str, last: Column) -> DataFrame:
-    """Each section's end: one before the next start of the same document, the last page for the last."""
-    w = Window.partitionBy(of).orderBy(start)
-    return starts.withColumn("end", F.coalesce(F.lead(start).over(w) - 1, last))
+    """Each section's end: one before the next start of the same document, the last page for the last. ``valid`` tells
+    whether the document's starts begin at 1, rise and lie within its pages."""
+    w, whole = Window.partitionBy(of).orderBy(start), Window.partitionBy(of)
+    here, before = F.col(start), F.lag(start).over(w)
+    each = starts.withColumns({"end": F.coalesce(F.lead(start).over(w) - 1, last), "_ok": F.coalesce((here > F.coalesce(before, F.lit(0))) & (before.isNotNull() | (here == 1)) & (here <= last), F.lit(False))})
+    return each.withColumn("valid", F.bool_and("_ok").over(whole)).drop("_ok")
 
 
 def runs(rows: DataFrame, of: str, order: str, kind: str) -> DataFrame:
@@ -69,19 +85,45 @@ def runs(rows: DataFrame, of: str, order: str, kind: str) -> DataFrame:
     return each.groupBy(of, "run").agg(F.first(kind).alias(kind), F.min(order).alias("begins"), F.count("*").alias("n"))
 
 
-def numbered(rows: DataFrame, of: str, order: str, prefix: str, start: int, width: int) -> DataFrame:
-    """A label per row in order: prefix and number, padded with zeros."""
-    n = F.row_number().over(Window.partitionBy(of).orderBy(order)) + F.lit(start - 1)
-    return rows.withColumn("label", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+def numbered(rows: DataFrame, of: str, order: str, prefix: str, start: int, width: int, suffix: str = "") -> DataFrame:
+    """A label per row in order: prefix, number and suffix. Numbers are padded with zeros and never cut."""
+    n = (F.row_number().over(Window.partitionBy(of).orderBy(order)) + F.lit(start - 1)).cast("string")
+    return rows.withColumn("label", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.length(n), F.lit(width)), F.lit("0")), F.lit(suffix)))
+
+
+#: Roman numerals from the largest.
+ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
+
+
+def roman(n: Column) -> Column:
+    """A positive number in roman numerals."""
+    rest, out = n.cast("long"), F.lit("")
+    for value, numeral in ROMAN:
+        out, rest = F.concat(out, F.repeat(F.lit(numeral), F.floor(rest / value).cast("int"))), rest % value
+    return out
+
+
+def letters(n: Column) -> Column:
+    """A positive number in letters: A to Z, then AA to ZZ, AAA and so on."""
+    at = n.cast("long") - 1
+    return F.repeat(F.char(F.lit(65) + at % 26), (F.floor(at / 26) + 1).cast("int"))
+
+
+def styled(n: Column, style: Column) -> Column:
+    """A number in the style of page labels: D decimal, R and r roman, A and a letters; any other style has no number."""
+    return F.when(style == "D", n.cast("string")).when(style == "R", roman(n)).when(style == "r", F.lower(roman(n))).when(style == "A", letters(n)).when(style == "a", F.lower(letters(n))).otherwise("")
 
 
 def page_labels(pages: DataFrame, ranges: DataFrame, of: str = "doc_id") -> DataFrame:
-    """Each page's label from the range with the greatest start at or below it: a fill forward over both in order."""
-    both = pages.select(of, "page", F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("int").alias("first"), F.lit(1).alias("k"))
-    both = both.unionByName(ranges.select(of, F.col("start").alias("page"), "prefix", "first", F.lit(0).alias("k")))
+    """Each page's label from the range (start, style, prefix, first) with the greatest start at or below it: a fill forward
+    over both in order. Pages before the first range have none and are left out."""
+    kinds = {"style": "string", "prefix": "string", "first": "int"}
+    both = pages.select(of, "page", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()], F.lit(1).alias("k"))
+    both = both.unionByName(ranges.select(of, F.col("start").alias("page"), *kinds, F.lit(0).alias("k")))
     w = Window.partitionBy(of).orderBy("page", "k").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("r", F.last(F.when(F.col("k") == 0, F.struct("page", "prefix", "first")), ignorenulls=True).over(w)).filter("k = 1 AND r IS NOT NULL")
-    return got.select(of, "page", F.concat(F.col("r.prefix"), (F.col("r.first") + F.col("page") - F.col("r.page")).cast("string")).alias("label"))
+    got = both.withColumn("r", F.last(F.when(F.col("k") == 0, F.struct("page", *kinds)), ignorenulls=True).over(w)).filter("k = 1 AND r IS NOT NULL")
+    number = F.col("r.first") + F.col("page") - F.col("r.page")
+    return got.select(of, "page", F.concat(F.coalesce("r.prefix", F.lit("")), F.coalesce(styled(number, F.col("r.style")), F.lit(""))).alias("label"))
 
 
 def interleave(a: DataFrame, b: DataFrame, of: str = "doc_id") -> DataFrame:
@@ -153,8 +195,46 @@ def tree_parents(rows: DataFrame, of: str, order: str, depth: str) -> DataFrame:
     return rows.repartition(of).sortWithinPartitions(of, order).mapInArrow(run, out)
 
 
-def verified_chain(log: DataFrame, sequence: str, previous: str, digest: str, of: str) -> DataFrame:
-    """Per log: whether each record's previous digest is that of the record before."""
+def chained_log(rows: DataFrame, of: str, order: str, content: Column) -> DataFrame:
+    """``rows`` as logs, one for each ``of``, in order: sequence (from 1), previous (the digest of the record before, GENESIS
+    for the first) and digest, the SHA-256 of previous, a bar and ``content``. Logs are dealt out, sorted and read record
+    by record; all that is held is the last digest."""
+    ship_code(rows.sparkSession)
+    names = [f.name for f in rows.schema]
+    at_of, made = names.index(of), [T.StructField("sequence", T.LongType()), T.StructField("previous", T.StringType()), T.StructField("digest", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, n, last = object(), 0, ""
+        for b in batches:
+            sequence, previous, digest = [], [], []
+            for k, text in zip(b.column(at_of).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if k != log:
+                    log, n, last = k, 0, "GENESIS"
+                n += 1
+                sequence.append(n)
+                previous.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                digest.append(last)
+            columns = [*b.columns[:-1], pa.array(sequence, pa.int64()), pa.array(previous, pa.string()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in made)])
+
+    dealt = rows.withColumn("_content", content).repartition(of).sortWithinPartitions(of, order)
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *made]))
+
+
+def verified_chain(log: DataFrame, sequence: str, previous: str, digest: str, of: str, content: Column) -> DataFrame:
+    """Per log: whether it is intact. Each record's sequence is one more than that of the record before, from 1; its
+    previous digest is that record's (GENESIS for the first), and its digest is the SHA-256 of ``content``. A null breaks
+    the log, as does a sequence that repeats."""
     w = Window.partitionBy(of).orderBy(sequence)
-    ok = F.col(previous) == F.coalesce(F.lag(digest).over(w), F.lit("GENESIS"))
+    ok = F.col(previous).eqNullSafe(F.coalesce(F.lag(digest).over(w), F.lit("GENESIS"))) & F.col(digest).eqNullSafe(F.sha2(content, 256)) & F.col(digest).isNotNull()
+    ok = ok & F.col(sequence).eqNullSafe(F.coalesce(F.lag(sequence).over(w), F.lit(0)) + 1)
     return log.withColumn("_ok", ok).groupBy(of).agg(F.bool_and("_ok").alias("intact"), F.count("*").alias("n"))
+
+
+def retained(pages: DataFrame, gone: Column, of: str) -> DataFrame:
+    """The pages of each document but those that ``gone`` holds for. A document that would keep none is refused: it keeps
+    all, with kept false. A null condition keeps the page."""
+    each = pages.withColumn("_gone", F.coalesce(gone, F.lit(False)))
+    each = each.withColumn("kept", ~F.bool_and("_gone").over(Window.partitionBy(of)))
+    return each.filter(~F.col("_gone") | ~F.col("kept")).drop("_gone")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireframe.operators.records import digest_sum
+
 
 def paired_pages(left: DataFrame, right: DataFrame, of: str) -> DataFrame:
     """Pages (of, page, text) of two sources side by side, whichever has more: presence on each side and status
@@ -33,15 +35,29 @@ def calculated(operands: DataFrame, of: str, value: str) -> DataFrame:
 
 
 def form_errors(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """One row (key, code) per rule that a row breaks; a rule's condition that is null is not broken."""
+    """One row (key, code) per rule that a row breaks; a rule's condition that is null is not broken. Whether a value that
+    must be there is missing is for the condition to say: ``missing`` does."""
     codes = F.array_compact(F.array(*[F.when(broken, code) for code, broken in rules.items()]))
     return rows.select(key, F.explode(codes).alias("code"))
 
 
+def missing(value: Column) -> Column:
+    """Whether a required value is not there: null, an empty text or false."""
+    return value.isNull() | value.cast("string").isin("", "false")
+
+
 def takeoff(rows: DataFrame, chosen: DataFrame, key: str, unit: str, value: str) -> DataFrame:
-    """Per unit of the chosen rows: sum (to six places), count and a digest of the sorted keys."""
-    each = rows.join(chosen, key, "left_semi").groupBy(unit).agg(F.round(F.sum(value), 6).alias("total"), F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("k"))
-    return each.select(unit, "total", "n", F.sha2(F.array_join(F.transform("k", lambda x: x.cast("string")), ","), 256).alias("members"))
+    """Per unit of the chosen rows: sum (to six places), count and a digest of the keys that adds up."""
+    each = rows.join(chosen.select(key).distinct(), key, "left_semi")
+    return each.groupBy(unit).agg(F.round(F.sum(value), 6).alias("total"), F.count("*").alias("n"), digest_sum(F.col(key)).alias("members"))
+
+
+def takeoff_checks(rows: DataFrame, chosen: DataFrame, key: str, source: str) -> DataFrame:
+    """What a takeoff asks of its choice, in one row: how many keys are chosen, how many of them repeat or are unknown, from
+    how many sources they are, and whether all is well: one source, none repeated, none unknown."""
+    each = chosen.groupBy(key).agg(F.count("*").alias("_n")).join(rows.select(key, source, F.lit(True).alias("_here")), key, "left")
+    out = each.agg(F.count("*").alias("chosen"), F.count_if(F.col("_n") > 1).alias("repeated"), F.count_if(F.col("_here").isNull()).alias("unknown"), F.count_distinct(source).alias("sources"))
+    return out.withColumn("valid", (F.col("repeated") == 0) & (F.col("unknown") == 0) & (F.col("sources") == 1))
 
 
 def processing_report(jobs: DataFrame, of: str, status: str, completed: str, failed: str) -> DataFrame:
@@ -75,8 +91,9 @@ def heading_violations(rows: DataFrame, of: str, order: str, level: str) -> Data
 
 
 def ascending(rows: DataFrame, of: str, order: str, value: str) -> DataFrame:
-    """Whether each group's values rise strictly."""
-    rises = F.coalesce(F.col(value) > F.lag(value).over(Window.partitionBy(of).orderBy(order)), F.lit(True))
+    """Whether each group's values rise strictly; a null does not."""
+    w = Window.partitionBy(of).orderBy(order)
+    rises = F.when(F.row_number().over(w) == 1, F.col(value).isNotNull()).otherwise(F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(False)))
     return rows.select(of, rises.alias("_r")).groupBy(of).agg(F.bool_and("_r").alias("ascending"))
 
 

@@ -1,4 +1,5 @@
-"""Text operators over pages: search, patterns, terms, summaries and extraction. All are column expressions."""
+"""Text operators over pages: search, patterns, terms, summaries and extraction. Column expressions, but for the counts of
+a text's terms, which an Arrow function takes where the text lies."""
 
 from __future__ import annotations
 
@@ -6,21 +7,25 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quireframe.session import ship_code
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-AMOUNT = r"\$[0-9][0-9,]*(?:\.[0-9]{2})?"
 #: White space of any script, and what no word character (ASCII letters, digits, underscore) lies before or after.
 SPACES = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 EDGES = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
-#: Amounts as the reference tells them: white space may follow the dollar sign, commas part groups of three.
-AMOUNT_SPACED = r"\$" + SPACES + r"?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?"
-#: Words that carry no topic.
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+#: White space may follow the dollar sign, commas part groups of three.
+AMOUNT = r"\$" + SPACES + r"?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?"
+#: Words that carry no topic, and a glossary.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "was", "were", "be", "as", "by", "with", "that", "this", "it", "from", "at")
+GLOSSARY = {"document": "documento", "page": "página", "form": "formulario", "signature": "firma", "review": "revisión", "accessibility": "accesibilidad", "redaction": "redacción", "print": "impresión", "measurement": "medición", "project": "proyecto", "summary": "resumen", "contract": "contrato", "value": "valor", "safety": "seguridad", "valve": "válvula"}
+#: Values of a kind that an extraction lists at most.
+LISTED = 50
 
 
 def pages_of(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n") -> DataFrame:
@@ -28,6 +33,11 @@ def pages_of(docs: DataFrame, key: str = "doc_id", text: str = "text", separator
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), separator, -1)).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page"), "text")
 
 
+def trimmed(text: Column) -> Column:
+    """``text`` without white space of any script at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{SPACES}+", ""), f"{SPACES}+$", "")
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches of a pattern that cannot be empty, left to right without overlap: array of start (from 0) and match.
 
@@ -45,7 +55,7 @@ def located(text: Column, pattern: str) -> Column:
 
 def match_rows(pages: DataFrame, pattern: str) -> DataFrame:
     """A row per match: doc_id, page, match number on the page, start, end (from 0) and the matching text."""
-    hit = pages.filter(F.col("text").rlike(pattern))
+    hit = pages.filter(F.col("text").rlike(pattern))  # so that gaps are made only where there is a match
     each = hit.select("doc_id", "page", F.posexplode(located(F.col("text"), pattern)).alias("n", "m"))
     return each.select("doc_id", "page", (F.col("n") + 1).alias("match_no"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.match")).alias("end"), F.col("m.match").alias("match"))
 
@@ -81,102 +91,187 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s.-]", " "), r"\s+"), "")
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, position and term of all terms of three letters or more that are no stop words."""
-    t = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return t.filter((F.length("term") >= 3) & ~F.col("term").isin(*STOP_WORDS))
+_TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("first_pos", T.IntegerType())]))
+
+
+def _plain(text: Column) -> Column:
+    """``text`` with what separates terms as spaces."""
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9\s.-]", " ")
+
+
+def term_counts(text: Column) -> Column:
+    """A text's terms of three letters or more that are no stop words: array of term, tf and first_pos (among all its
+    tokens), in order of occurrence. A text is counted where it lies: its terms dealt out are several times its size."""
+    stop = frozenset(STOP_WORDS)
+
+    def count(texts: pa.Array) -> pa.Array:
+        terms, tf, first, ends = [], [], [], [0]
+        for t in texts.to_pylist():
+            at: dict[str, int] = {}
+            n: Counter[str] = Counter()
+            for i, w in enumerate((t or "").split()):
+                if len(w) >= 3 and w not in stop:
+                    n[w] += 1
+                    at.setdefault(w, i)
+            terms += n
+            tf += n.values()
+            first += at.values()
+            ends.append(len(terms))
+        rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(first, pa.int32())], ["term", "tf", "first_pos"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return F.arrow_udf(count, _TERMS)(_plain(text))
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
-    return term_rows(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    """doc_id, term, tf and first_pos of each document's terms; no shuffle."""
+    ship_code(docs.sparkSession)
+    return docs.select("doc_id", F.explode(term_counts(F.col("text"))).alias("t")).select("doc_id", "t.*")
 
 
 def document_frequency(docs: DataFrame, least: int = 2) -> DataFrame:
-    t = term_rows(docs).filter(F.length("term") > 3)
-    return t.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).filter(F.col("df") >= least)
+    """Terms of more than three letters that ``least`` documents have, and how many do."""
+    t = term_frequency(docs).filter(F.length("term") > 3)
+    return t.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+
+
+def ranked_terms(text: Column, n: int) -> Column:
+    """The ``n`` most frequent terms of a text, ties by first occurrence: array of term and tf."""
+    order = F.sort_array(F.transform(term_counts(text), lambda t: F.struct((-t["tf"]).alias("less"), t["first_pos"].alias("at"), t["term"].alias("term"))))
+    return F.transform(F.slice(order, 1, n), lambda t: F.struct(t["term"].alias("term"), (-t["less"]).alias("tf")))
 
 
 def top_terms(docs: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most frequent terms of each document; ties by first occurrence."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("tf"), "first_pos")
-    return term_frequency(docs).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("doc_id", "rank", "term", "tf")
+    """doc_id, rank (from 1), term and tf of each document's ``n`` most frequent terms."""
+    ship_code(docs.sparkSession)
+    each = docs.select("doc_id", F.posexplode(ranked_terms(F.col("text"), n)).alias("i", "t"))
+    return each.select("doc_id", (F.col("i") + 1).alias("rank"), "t.term", "t.tf")
+
+
+def sentence_array(text: Column) -> Column:
+    """The sentences of a text, trimmed; a sentence ends at white space after a full stop, exclamation or question mark."""
+    return F.filter(F.transform(F.split(text, f"(?<=[.!?]){SPACES}+", -1), trimmed), lambda s: s != "")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, idx (from 0) and sentence; a sentence ends at white space after a full stop, exclamation or question mark."""
-    marked = F.regexp_replace("text", r"([.!?])\s+", "$1\u0001")
-    return docs.select("doc_id", F.posexplode(F.split(marked, "\u0001", -1)).alias("idx", "sentence")).filter(F.trim("sentence") != "")
+    """doc_id, idx (from 0) and sentence."""
+    return docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("idx", "sentence"))
+
+
+def summary_places(text: Column, n: int) -> Column:
+    """Places (from 0, rising) of the ``n`` sentences of a text whose terms are most frequent on average, the first of
+    equals. Stop words do not count; terms of fewer than three letters count as never occurring."""
+    stop = frozenset(STOP_WORDS)
+
+    def pick(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for t, sents in zip(texts.to_pylist(), parts.to_pylist(), strict=True):
+            tf = Counter(w for w in (t or "").split() if len(w) >= 3 and w not in stop)
+            scores = []
+            for s in sents or []:
+                words = [w for w in s.split() if w not in stop]
+                scores.append(round(sum(tf[w] for w in words) / len(words), 9) if words else 0.0)
+            out.append(sorted(sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:n]))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(pick, T.ArrayType(T.IntegerType()))(_plain(text), F.transform(sentence_array(text), _plain))
 
 
 def summary(docs: DataFrame, n: int) -> DataFrame:
-    """The ``n`` sentences whose terms are most frequent on average, in their order: doc_id, idx, sentence."""
-    s = sentences(docs)
-    words = s.select("doc_id", "idx", F.explode(tokens(F.col("sentence"))).alias("term")).filter(~F.col("term").isin(*STOP_WORDS))
-    tf = term_frequency(docs).select("doc_id", "term", "tf")
-    score = words.join(tf, ["doc_id", "term"], "left").groupBy("doc_id", "idx").agg((F.sum(F.coalesce("tf", F.lit(0))) / F.count("*")).alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "idx")
-    ranked = s.join(score, ["doc_id", "idx"], "left").withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= n).select("doc_id", "idx", "sentence")
+    """The ``n`` best sentences of each document in their order: doc_id, idx, sentence. No shuffle."""
+    ship_code(docs.sparkSession)
+    each = docs.select("doc_id", sentence_array(F.col("text")).alias("s"), summary_places(F.col("text"), n).alias("p"))
+    return each.select("doc_id", "s", F.explode("p").alias("idx")).select("doc_id", "idx", F.get("s", F.col("idx")).alias("sentence"))
 
 
-def ask(docs: DataFrame, question: list[str]) -> DataFrame:
-    """The sentence of each document that has most of the question's terms (the first of equals) and the confidence."""
-    hit = F.size(F.filter(tokens(F.col("sentence")), lambda t: t.isin(*question)))
-    s = sentences(docs).withColumn("score", hit).filter("score > 0")
-    best = s.groupBy("doc_id").agg(F.max_by(F.struct("sentence", "score"), F.struct("score", -F.col("idx"))).alias("b"))
-    return best.select("doc_id", F.col("b.sentence").alias("answer"), F.least(F.lit(1.0), F.col("b.score") / F.lit(float(len(question)))).alias("confidence"))
+def question_terms(question: str) -> list[str]:
+    """The terms that a question asks for: its distinct tokens that are no stop words. A question without any is refused."""
+    found = [t for t in re.split(r"\s+", re.sub(r"[^a-z0-9\s.-]", " ", question.lower())) if t and t not in STOP_WORDS]
+    if not found:
+        raise ValueError("the question has no terms")
+    return list(dict.fromkeys(found))
 
 
-def extracted(docs: DataFrame) -> DataFrame:
-    """The distinct e-mail addresses, dates and amounts of each document, joined by commas in order of occurrence."""
-    get = lambda p: F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), ",")
-    return docs.select("doc_id", get(EMAIL).alias("emails"), get(DATE).alias("dates"), get(AMOUNT).alias("amounts"))
+def best_answer(text: Column, question: str) -> Column:
+    """The sentence of a text in which most tokens are terms of the question, the first of equals, and the confidence:
+    their share of the question's terms, 1 at most. No such sentence: null and 0."""
+    q = question_terms(question)
+    scored = F.transform(sentence_array(text), lambda s, i: F.struct(F.size(F.filter(tokens(s), lambda t: t.isin(*q))).alias("score"), (-i).alias("less"), s.alias("s")))
+    best = F.array_max(scored)
+    hit = F.coalesce(best["score"] > 0, F.lit(False))
+    return F.struct(F.when(hit, best["s"]).alias("answer"), F.when(hit, F.least(F.lit(1.0), best["score"] / F.lit(float(len(q))))).otherwise(0.0).alias("confidence"))
+
+
+def ask(docs: DataFrame, question: str) -> DataFrame:
+    """doc_id, answer and confidence: a row for every document."""
+    return docs.select("doc_id", best_answer(F.col("text"), question).alias("a")).select("doc_id", "a.*")
 
 
-def extracted_data(docs: DataFrame) -> DataFrame:
-    """The distinct e-mail addresses, dates and amounts of each document in order of occurrence, and its 20 most frequent
-    terms with their counts (term:count), each list joined by bars, which none of them can hold."""
-    get = lambda p: F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), "|")
-    date = EDGES[0] + DATE + EDGES[1]
-    keywords = _frequent_terms(docs, 20)(F.regexp_replace(F.lower("text"), r"[^a-z0-9\s.-]", " "))
-    return docs.select("doc_id", get(EMAIL).alias("emails"), get(date).alias("dates"), get(AMOUNT_SPACED).alias("amounts"), keywords.alias("keywords"))
+def distinct_values(text: Column, pattern: str, most: int = LISTED) -> Column:
+    """The first ``most`` distinct matches of a pattern, in order of occurrence."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), 1, most)
 
 
-def _frequent_terms(docs: DataFrame, n: int) -> Callable[[Column], Column]:
-    """The ``n`` most frequent terms of a cleaned text as ``top_terms`` ranks them. A text is counted where it lies, as its
-    terms dealt out by document are several times its size."""
+def extracted(docs: DataFrame) -> DataFrame:
+    """The first distinct e-mail addresses, dates and amounts of each document, joined by bars in order of occurrence, and
+    its 20 most frequent terms with their counts (term:count). No list holds a bar otherwise."""
     ship_code(docs.sparkSession)
-    stop = frozenset(STOP_WORDS)
+    get = lambda p: F.array_join(distinct_values(F.col("text"), p), "|")
+    keywords = F.array_join(F.transform(ranked_terms(F.col("text"), 20), lambda t: F.concat(t["term"], F.lit(":"), t["tf"].cast("string"))), "|")
+    return docs.select("doc_id", get(EMAIL).alias("emails"), get(EDGES[0] + DATE + EDGES[1]).alias("dates"), get(AMOUNT).alias("amounts"), keywords.alias("keywords"))
 
-    def count(text: str | None) -> str:
-        found = Counter(t for t in (text or "").split() if len(t) >= 3 and t not in stop)
-        return "|".join(f"{t}:{k}" for t, k in found.most_common(n))
 
-    return F.udf(count, "string", useArrow=True)
+def translated(text: Column) -> Column:
+    """The tokens of a text, those of the glossary translated, joined by spaces."""
+    words = F.create_map(*[F.lit(x) for kv in GLOSSARY.items() for x in kv])
+    return F.array_join(F.transform(tokens(text), lambda t: F.coalesce(F.try_element_at(words, t), t)), " ")
 
 
 def proofread(text: Column) -> Column:
     """White space collapsed, none before punctuation, and a lone i in upper case. Texts of any language are taken: an i
     is alone if no ASCII letter, digit or underscore is beside it."""
-    one = F.trim(F.regexp_replace(text, SPACES + "+", " "))
-    return F.regexp_replace(F.regexp_replace(one, r" ([,.;:!?])", "$1"), "i".join(EDGES), "I")
+    one = F.regexp_replace(F.regexp_replace(text, SPACES + "+", " "), " ([,.!?;:])", "$1")
+    return F.trim(F.regexp_replace(one, "i".join(EDGES), "I"))
+
+
+#: A word: letters, marks and digits, with apostrophes inside.
+WORD = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*"
 
 
 def unknown_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """doc_id, word and how often, of words (letters and digits, folded) that ``dictionary`` (word) has not. The join is
-    an anti-join on the word after counting, so that a frequent word is one row a document."""
-    w = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
+    """doc_id, word and how often, of folded words that ``dictionary`` (word) has not. The join is an anti-join on the
+    word after counting, so that a frequent word is one row a document."""
+    w = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
     return w.groupBy("doc_id", "word").agg(F.count("*").alias("n")).join(dictionary, "word", "left_anti").select("doc_id", "word", "n")
 
 
+def spelling_findings(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """A row per word of a page that ``dictionary`` (word, folded) has not: doc_id, page, offset (from 0), length and the
+    word's SHA-256. Frequent words of the dictionary are the smaller side of the anti-join."""
+    found = match_rows(pages, WORD)
+    each = found.select("doc_id", "page", F.col("start").alias("offset"), F.length("match").alias("length"), F.sha2("match", 256).alias("digest"), F.lower("match").alias("word"))
+    return each.join(dictionary.select("word").distinct(), "word", "left_anti").drop("word")
+
+
+#: What is done to markup in turn: pattern and replacement.
+MARKUP = (
+    (r"(?i)</?(?:html|head|body|title)\b[^>]*>", ""),
+    (r"(?i)<(?:text:|w:)?(?:p|h|tr|br|cr)\b[^>]*>", "\n"),
+    (r"(?i)<(?:text:)?(?:tab|s)\b[^>]*/?>(?:</[^>]+>)?", "\t"),
+    (r"<[^>]*>", ""),
+)
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def html_text(html: Column) -> Column:
-    """Text of HTML: block ends become line breaks, cells tabs, other tags go, five entities are read, and three or
-    more line breaks become two."""
-    t = F.regexp_replace(html, r"(?i)</(p|div|h[1-6]|li|tr|section)>|<br */?>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)</(td|th)>", "\t"), r"<[^>]*>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Text of markup: what opens a paragraph, heading, row or line becomes a line break, tabs tabs, other tags go, five
+    entities are read, carriage returns and blanks that begin a line go, and three or more line breaks become two."""
+    for pattern, plain in MARKUP:
+        html = F.regexp_replace(html, pattern, plain)
+    for entity, plain in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(plain))
+    html = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "\r", ""), r"\n[\t ]+", "\n"), r"\n{3,}", "\n\n")
+    return trimmed(html)
 
 
 def spreadsheet_safe(cell: Column) -> Column:
@@ -185,7 +280,7 @@ def spreadsheet_safe(cell: Column) -> Column:
 
 
 def export_text(pages: DataFrame) -> DataFrame:
-    """One text per document: each page under a heading with its number."""
-    part = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("text"))
+    """One text per document: each page, without white space at its end, under a heading with its number."""
+    part = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.regexp_replace("text", SPACES + "+$", ""))
     each = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", part.alias("part")))).alias("p"))
     return each.select("doc_id", F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("export"))

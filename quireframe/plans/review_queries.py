@@ -68,22 +68,28 @@ def form_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_type END AS kind, p_brand, p_size FROM part)
-SELECT p_partkey, 'required' AS code FROM f WHERE trim(kind) = '' UNION ALL SELECT p_partkey, 'pattern' FROM f WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]?$')
+    """WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 9 = 1 THEN NULL ELSE p_type END AS kind, p_brand, p_size FROM part)
+SELECT p_partkey, 'required' AS code FROM f WHERE kind IS NULL OR kind = '' UNION ALL SELECT p_partkey, 'pattern' FROM f WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]?$')
 UNION ALL SELECT p_partkey, 'min' FROM f WHERE p_size < 5 UNION ALL SELECT p_partkey, 'max' FROM f WHERE p_size > 40"""
 )
 def form_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.col("p_type"))
-    rules = {"required": F.trim(kind) == "", "pattern": ~F.col("p_brand").rlike("^Brand#[1-3][0-9]?$"), "min": F.col("p_size") < 5, "max": F.col("p_size") > 40}
+    kind = F.when(F.col("p_partkey") % 9 == 0, "").when(F.col("p_partkey") % 9 != 1, F.col("p_type"))
+    rules = {"required": V.missing(kind), "pattern": ~F.col("p_brand").rlike("^Brand#[1-3][0-9]?$"), "min": F.col("p_size") < 5, "max": F.col("p_size") > 40}
     return V.form_errors(_t(spark, sf_dir, "part"), "p_partkey", rules)
 
 
-@query("SELECT o_orderpriority, round(sum(o_totalprice), 6) AS total, count(*) AS n, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS members FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48) GROUP BY 1")
+@query("SELECT o_orderpriority, round(sum(o_totalprice), 6) AS total, count(*) AS n, sum(('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 15))::BIGINT)::VARCHAR AS members FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48) GROUP BY 1")
 def takeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = _t(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"))
     return V.takeoff(_t(spark, sf_dir, "orders"), chosen, "o_orderkey", "o_orderpriority", "o_totalprice")
 
 
+@query("WITH c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1), j AS (SELECT c.*, o_orderstatus AS s, o_orderkey FROM c LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 97 <> 0) ON k = o_orderkey) SELECT count(*) AS chosen, count_if(n > 1)::BIGINT AS repeated, count_if(o_orderkey IS NULL)::BIGINT AS unknown, count(DISTINCT s) AS sources, count_if(n > 1) = 0 AND count_if(o_orderkey IS NULL) = 0 AND count(DISTINCT s) = 1 AS valid FROM j")
+def takeoff_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = _t(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"))
+    return V.takeoff_checks(_t(spark, sf_dir, "orders").filter("o_orderkey % 97 <> 0"), chosen, "o_orderkey", "o_orderstatus")
+
+
 @query("SELECT user_id, count(*) AS jobs, count_if(event_type = 'purchase')::BIGINT AS completed, count_if(event_type = 'error')::BIGINT AS failed, round(count_if(event_type = 'purchase') / count(*), 6) AS success_rate FROM events GROUP BY 1")
 def processing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.processing_report(_t(spark, sf_dir, "events"), "user_id", "event_type", "purchase", "error")
@@ -121,24 +127,45 @@ def heading_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.heading_violations(rows, "user_id", "event_id", "level")
 
 
-@query("WITH r AS (SELECT user_id, event_type, coalesce(value > lag(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id), true) AS r FROM events) SELECT user_id || event_type AS series, bool_and(r) AS ascending FROM r GROUP BY 1")
+@query("WITH r AS (SELECT user_id, event_type, CASE WHEN row_number() OVER o = 1 THEN v IS NOT NULL ELSE coalesce(v > lag(v) OVER o, false) END AS r FROM (SELECT *, CASE WHEN event_id % 11 <> 0 THEN value END AS v FROM events) WINDOW o AS (PARTITION BY user_id, event_type ORDER BY event_id)) SELECT user_id || event_type AS series, bool_and(r) AS ascending FROM r GROUP BY 1")
 def ascending_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), "event_type").alias("series"), "event_id", "value")
+    rows = _t(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), "event_type").alias("series"), "event_id", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"))
     return V.ascending(rows, "series", "event_id", "value")
 
 
+_CHAIN = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+log(user_id, event_id, event_type, seq, previous, digest) AS (
+  SELECT user_id, event_id, event_type, seq, 'GENESIS', sha256('GENESIS|' || event_id || '|' || event_type) FROM e WHERE seq = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.event_type, e.seq, log.digest, sha256(log.digest || '|' || e.event_id || '|' || e.event_type) FROM log JOIN e ON e.user_id = log.user_id AND e.seq = log.seq + 1)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return R.chained_log(events, "user_id", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
+
+
+@query(f"{_CHAIN} SELECT user_id, event_id, event_type, seq AS sequence, previous, digest FROM log")
+def chained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir)
+
+
 @query(
-    """WITH d AS (SELECT user_id, event_id, sha256(event_id::VARCHAR || event_type) AS digest FROM events),
-p AS (SELECT *, coalesce(lag(digest) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') AS want FROM d)
-SELECT user_id, bool_and(event_id % 500 <> 499 OR want = 'x') AS intact, count(*) AS n FROM p GROUP BY 1"""
+    f"""{_CHAIN}, d AS (SELECT user_id, seq, CASE WHEN event_id % 500 = 40 THEN seq + 1 ELSE seq END AS sequence, CASE event_id % 500 WHEN 499 THEN 'x' WHEN 250 THEN NULL ELSE previous END AS previous,
+CASE WHEN event_id % 500 = 333 THEN NULL ELSE digest END AS digest, event_id, CASE WHEN event_id % 500 = 120 THEN 'other' ELSE event_type END AS event_type FROM log),
+c AS (SELECT a.user_id, coalesce(a.sequence = a.seq AND a.previous = CASE WHEN a.seq = 1 THEN 'GENESIS' ELSE b.digest END AND a.digest = sha256(a.previous || '|' || a.event_id || '|' || a.event_type), false) AS ok FROM d a LEFT JOIN d b ON a.user_id = b.user_id AND b.seq = a.seq - 1)
+SELECT user_id, bool_and(ok) AS intact, count(*) AS n FROM c GROUP BY 1"""
 )
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    log = _t(spark, sf_dir, "events").select("user_id", "event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "event_type"), 256).alias("digest"))
-    before = F.coalesce(F.lag("digest").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit("GENESIS"))
-    broken = F.col("event_id") % 500 == 499
-    return R.verified_chain(log.withColumn("previous", F.when(broken, "x").otherwise(before)), "event_id", "previous", "digest", "user_id")
+    """A log whose records are damaged in five ways: sequence, previous digest (wrong, null), digest and content."""
+    k = F.col("event_id") % 500
+    damaged = _log(spark, sf_dir).withColumns({
+        "sequence": F.col("sequence") + (k == 40).cast("long"),
+        "previous": F.when(k == 499, "x").when(k != 250, F.col("previous")),
+        "digest": F.when(k != 333, F.col("digest")),
+        "event_type": F.when(k == 120, "other").otherwise(F.col("event_type")),
+    })
+    content = F.concat(F.col("previous"), F.lit("|"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
+    return R.verified_chain(damaged, "sequence", "previous", "digest", "user_id", content)
 
 
 @query("SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS ordinal, count(*) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) > 5 AS truncated FROM events) WHERE ordinal <= 5")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,15 @@ def ship_code(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(at))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names, so that its lineage ends there. Where
+    a session names none, one is made if driver and executors are one process; on a cluster that is an error."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quireframe-"))
+    return df.checkpoint()
