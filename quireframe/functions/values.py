@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quireframe.functions import measures as M
+from quireframe.session import ship_to_active
 
 EPSILON = 1e-9
 
@@ -186,6 +187,8 @@ def _no_constant(name: str):
 def canonical(text: Column) -> Column:
     """The canonical form of a JSON text; null where it is none or holds a number that is not finite."""
 
+    ship_to_active()
+
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
@@ -220,6 +223,8 @@ def json_fault(text: Column, depth: int = 8, keys: int = 100, length: int = 10_0
     """What makes a JSON text unsafe to keep: malformed, too-deep, too-many-keys, unsafe-key, secret-key, path-value or too-long;
     null if nothing does. The first of these that is met from the root down counts."""
 
+    ship_to_active()
+
     def fault(v, level: int) -> str | None:
         if level > depth:
             return "too-deep"

@@ -27,6 +27,12 @@ def ship_code(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(at))
 
 
+def ship_to_active() -> None:
+    """``ship_code`` for what makes columns and has no frame to tell its session by."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship_code(spark)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names, so that its lineage ends there. Where
     a session names none, one is made if driver and executors are one process; on a cluster that is an error."""
