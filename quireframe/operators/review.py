@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quireframe.operators.records import digest_sum
+from quireframe.session import ship_code
 
 
 def paired_pages(left: DataFrame, right: DataFrame, of: str) -> DataFrame:
@@ -34,6 +41,61 @@ def calculated(operands: DataFrame, of: str, value: str) -> DataFrame:
     return operands.groupBy(of).agg(*[F.round(F.when(whole, x), 6).alias(k) for k, x in made.items()], F.when(whole, F.product(v)).alias("product"))
 
 
+CALCULATION = r"^(sum|average|min|max|product)\(([A-Za-z0-9._-]+(?:,[A-Za-z0-9._-]+)*)\)$"
+
+
+def calculated_fields(fields: DataFrame, of: str) -> DataFrame:
+    """Fields (of, at, name, value, calculation) of forms with the value that calculations give: sum, average, min, max or
+    product of named fields. They are taken in order of ``at``, so that later ones see what earlier ones gave; one that lacks
+    a finite operand leaves its field as it is. Of fields with one name the first is meant. A form's fields are one group,
+    which a form keeps small."""
+
+    ship_code(fields.sparkSession)
+    out = fields.select(of, "at", "name", F.col("value").cast("double").alias("value"), "calculation")
+    functions = {"sum": sum, "average": lambda y: sum(y) / len(y), "min": min, "max": max, "product": math.prod}
+
+    def form(rows: list[dict]) -> list[dict]:
+        first = {r["name"]: r for r in reversed(rows)}
+        for r in rows:
+            m = re.fullmatch(CALCULATION, r["calculation"] or "")
+            x = [first[n]["value"] if n in first else None for n in m[2].split(",")] if m else []
+            if x and all(v is not None and math.isfinite(v) for v in x):
+                r["value"] = float(functions[m[1]](x))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        rows = (r for b in batches for r in b.to_pylist())
+        for _, group in groupby(rows, key=lambda r: r[of]):
+            done += form(list(group))
+            if len(done) >= 10_000:
+                yield pa.RecordBatch.from_pylist(done, kind)
+                done = []
+        yield pa.RecordBatch.from_pylist(done, kind)
+
+    kind = to_arrow_schema(out.schema)
+    return out.repartition(of).sortWithinPartitions(of, "at", "name").mapInArrow(run, out.schema)
+
+
+def bound_measurements(measurements: DataFrame, calibrations: DataFrame, binding: list[str]) -> DataFrame:
+    """Measurements (id, calibration, points, ``binding``) with the scale of their calibration (id, scale, ``binding``) and
+    status: bound, uncalibrated (they name none), missing (no such calibration) or other-source (a field of the binding
+    differs). Only bound ones have a scale."""
+    c = calibrations.select(F.col("id").alias("_c"), "scale", F.struct(*binding).alias("_cb"))
+    both = measurements.withColumn("_mb", F.struct(*binding)).join(c, F.col("calibration") == F.col("_c"), "left")
+    status = F.when(F.col("calibration").isNull(), "uncalibrated").when(F.col("_c").isNull(), "missing").when(F.col("_mb").eqNullSafe(F.col("_cb")), "bound").otherwise("other-source")
+    return both.withColumn("status", status).withColumn("scale", F.when(F.col("status") == "bound", F.col("scale"))).drop("_c", "_cb", "_mb")
+
+
+def closure(capabilities: DataFrame, coverage: DataFrame, proofs: DataFrame, key: str = "id") -> DataFrame:
+    """Every identifier of three catalogs with status: proven (known, covered and proven), covered, bare, or stray: covered or
+    proven but not known."""
+    parts = [d.select(F.col(key)).distinct().withColumn(f"_{i}", F.lit(True)) for i, d in enumerate((capabilities, coverage, proofs))]
+    each = parts[0].join(parts[1], key, "full_outer").join(parts[2], key, "full_outer")
+    here = lambda i: F.coalesce(F.col(f"_{i}"), F.lit(False))
+    return each.select(key, F.when(~here(0), "stray").when(here(1) & here(2), "proven").when(here(1), "covered").otherwise("bare").alias("status"))
+
+
 def form_errors(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One row (key, code) per rule that a row breaks; a rule's condition that is null is not broken. Whether a value that
     must be there is missing is for the condition to say: ``missing`` does."""

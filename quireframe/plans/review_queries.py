@@ -211,3 +211,41 @@ count(*) FILTER (d.o_orderkey IS NULL) = 0 AND count(*) FILTER (s.o_orderkey IS
 def review_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
     return V.cover(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 5 <> 0"), "o_orderkey", "o_orderstatus")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS form, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n, l_quantity AS q FROM lineitem), s AS (SELECT form, max(q) FILTER (n = 1) AS a, max(q) FILTER (n = 2) AS b FROM l GROUP BY 1)
+SELECT form, 'total' AS name, a + b AS value FROM s UNION ALL SELECT form, 'mean', round((a + b + a) / 2, 6) FROM s UNION ALL SELECT form, 'early', NULL FROM s UNION ALL SELECT form, 'odd', 1.0 FROM s""")
+def calculated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A total of two lines, a mean of it and a line, a product that comes before the total, and no calculation at all."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("form"), n.alias("at"), F.col("l_quantity").alias("value")).filter("at <= 2")
+    lines = lines.select("form", "at", F.concat(F.lit("line"), F.col("at").cast("string")).alias("name"), "value", F.lit(None).cast("string").alias("calculation"))
+    made = [(10, "total", None, "sum(line1,line2)"), (11, "mean", None, "average(total,line1)"), (0, "early", None, "product(total,line1)"), (12, "odd", 1.0, "sum(line1;line2)")]
+    extra = F.broadcast(spark.createDataFrame(made, "at int, name string, value double, calculation string"))  # four fields
+    fields = lines.unionByName(lines.select("form").distinct().crossJoin(extra))
+    out = V.calculated_fields(fields, "form").filter("name NOT LIKE 'line%'")
+    return out.select("form", "name", F.round("value", 6).alias("value"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'uncalibrated' WHEN p_partkey % 4 = 1 THEN 'missing' WHEN p_size % 2 = 0 THEN 'bound' ELSE 'other-source' END AS status, CASE WHEN p_partkey % 4 > 1 AND p_size % 2 = 0 THEN 0.5 + p_partkey % 10 END::DOUBLE AS scale FROM part")
+def bound_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    m = _t(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 4 == 1, -1).when(k % 4 > 1, k % 10).alias("calibration"), F.when(F.col("p_size") % 2 == 0, "a").alias("sha256"), F.lit(1).alias("page"))
+    c = spark.range(10).select("id", (F.col("id") + 0.5).alias("scale"), F.lit("a").alias("sha256"), F.lit(1).alias("page"))
+    return V.bound_measurements(m, c, ["sha256", "page"]).select("id", "status", "scale")
+
+
+@query("SELECT id, CASE WHEN id > (SELECT max(p_partkey) FROM part) THEN 'stray' WHEN id % 2 = 0 AND id % 3 = 0 THEN 'proven' WHEN id % 2 = 0 THEN 'covered' ELSE 'bare' END AS status FROM (SELECT p_partkey AS id FROM part UNION SELECT p_partkey * 2 FROM part WHERE p_partkey * 2 > (SELECT max(p_partkey) FROM part))")
+def capability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return V.closure(p, p.select(F.col("id") * 2).toDF("id"), p.filter("id % 3 = 0"))
+
+
+@query("SELECT event_type AS type, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1")
+def markup_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireframe.operators import inventory as I
+
+    h = R.histograms(I.selected(_t(spark, sf_dir, "events"), user_id=7), ["event_type"])
+    return h.filter("facet = 'event_type'").select(F.col("value").alias("type"), "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireframe.functions import bounded as B
 from quireframe.operators import diff as D
 from quireframe.operators import sensitive as S
 from quireframe.operators import structure as C
@@ -205,3 +206,31 @@ _FLAT = lambda c: f"trim(regexp_replace({c}, '{X.SPACES}+', ' ', 'g'))"  # noqa:
 def redacted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = X.pages_of(_docs(spark, sf_dir))
     return C.regions_present(pages.select("doc_id", "page", F.expr(_REGION).alias("region")), pages, "doc_id")
+
+
+@query(_located_sql(r"(?i)(?:[a-c][0-9]{2,4}|t(?:ion|he))"))
+def bounded_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a bounded expression; as its alternatives exclude each other, the first is the longest."""
+    pages = X.pages_of(_docs(spark, sf_dir))
+    each = pages.select("doc_id", "page", "text", F.posexplode(B.bounded_matches(F.col("text"), "([a-c][0-9]{2,4}|t(ion|he))", ignore_case=True)).alias("i", "m"))
+    return each.select("doc_id", "page", (F.col("i") + 1).alias("match_no"), "m.start", "m.end", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("match"))
+
+
+@query("SELECT p_partkey, regexp_matches(p_brand, '^Brand#[1-3][0-9]?$') AS whole, regexp_matches(p_name, 'bl(ue|ack)|w.d') AS part FROM part")
+def bounded_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", B.bounded_test(F.col("p_brand"), "^Brand#[1-3][0-9]?$").alias("whole"), B.bounded_test(F.col("p_name"), "bl(ue|ack)|w.d").alias("part"))
+
+
+@query(rf"""WITH m AS ({_located_sql("[0-9]+")}), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, start, "end") AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM m) SELECT doc_id, 'match-' || k AS id, page, start, "end", 'number' AS kind, 'Number' AS label, c >= 500 AS truncated FROM n WHERE k <= 500""")
+def own_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireframe.registry import detected
+
+    find = lambda p: X.match_rows(p, "[0-9]+").select("doc_id", "page", "start", "end", F.lit("number").alias("kind"), F.lit("Number").alias("label"))
+    return detected(X.pages_of(_docs(spark, sf_dir)), find)
+
+
+@query(_located_sql("ment"))
+def delivered_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireframe.registry import deliver
+
+    return deliver("text.match_rows", deliver("text.pages_of", _docs(spark, sf_dir)), "ment")

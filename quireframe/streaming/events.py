@@ -17,20 +17,30 @@ def hourly(events: DataFrame, late: str | None = None) -> DataFrame:
     return g.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 
-def stable_files(snapshots: DataFrame) -> DataFrame:
+def stable_files(snapshots: DataFrame, processed: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Watch folder: poll and name of files whose signature is that of the poll before and was no candidate yet. A file
-    that vanishes for a poll starts anew."""
+    that vanishes for a poll starts anew. Files that are ``processed`` with that signature (name, signature) are left out,
+    and of a poll's files the first ``most`` by name are taken."""
     w = Window.partitionBy("name").orderBy("poll")
     same = (F.lag("signature").over(w) == F.col("signature")) & (F.lag("poll").over(w) == F.col("poll") - 1)
     run = F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w)
     each = snapshots.withColumn("_run", run).withColumn("_n", F.row_number().over(Window.partitionBy("name", "_run").orderBy("poll")))
-    return each.filter("_n = 2").select("poll", "name", "signature")
+    found = each.filter("_n = 2").select("poll", "name", "signature")
+    if processed is not None:
+        found = found.join(processed.select("name", "signature"), ["name", "signature"], "left_anti").select("poll", "name", "signature")
+    if most is not None:
+        found = found.withColumn("_k", F.row_number().over(Window.partitionBy("poll").orderBy("name"))).filter(F.col("_k") <= most).drop("_k")
+    return found
 
 
 def stable_files_stream(snapshots: DataFrame) -> DataFrame:
-    """The same on a stream: state per name is the last poll, its signature and whether it was reported."""
+    """The same on a stream: state per name is the last poll, its signature and whether it was reported. A name that gives no
+    poll for an hour of processing time is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         poll, signature, reported = state.get if state.exists else (-2, "", False)
         out = []
         for rows in batches:
@@ -40,6 +50,7 @@ def stable_files_stream(snapshots: DataFrame) -> DataFrame:
                     out.append((r.poll, key[0], r.signature))
                 poll, signature, reported = r.poll, r.signature, same
         state.update((int(poll), signature, bool(reported)))
+        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame(out, columns=["poll", "name", "signature"])
 
-    return snapshots.groupBy("name").applyInPandasWithState(step, "poll int, name string, signature string", "poll int, signature string, reported boolean", "append", GroupStateTimeout.NoTimeout)
+    return snapshots.groupBy("name").applyInPandasWithState(step, "poll int, name string, signature string", "poll int, signature string, reported boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
