@@ -51,7 +51,7 @@ def schedule_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.schedule_ticks(_sql(spark, sf_dir, _TICKS.replace("{ms}", "unix_seconds(CAST(ts AS TIMESTAMP)) * 1000"), "events")).select("schedule", "now", "due", "scheduled_at", "occurrence", "next_at", "runs")
 
 
-_LOCKS = "SELECT l_orderkey AS document, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS seq, CASE WHEN l_quantity > 25 THEN 'checkin' ELSE 'checkout' END AS action, l_suppkey % 2 AS owner FROM lineitem"
+_LOCKS = "SELECT l_orderkey AS document, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, CASE WHEN l_quantity > 25 THEN 'checkin' ELSE 'checkout' END AS action, l_suppkey % 2 AS owner FROM lineitem"
 
 
 @query(
@@ -88,13 +88,13 @@ def mention_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS s FROM lineitem),
+    """WITH l AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS s FROM lineitem),
 f AS (SELECT *, first_value(s) OVER (PARTITION BY k ORDER BY n) AS one FROM e)
 SELECT f.k, f.n, CASE WHEN coalesce(l.s, CASE WHEN n > 1 THEN one END) IS NULL THEN 'appended' WHEN coalesce(l.s, one) = f.s THEN 'same' ELSE 'conflict' END AS status FROM f LEFT JOIN l ON l.k = f.k"""
 )
 def audit_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _t(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
-    events = _sql(spark, sf_dir, "SELECT l_orderkey AS k, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS BIGINT) AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS s FROM lineitem", "lineitem")
+    events = _sql(spark, sf_dir, "SELECT l_orderkey AS k, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS s FROM lineitem", "lineitem")
     return J.appended(log, events, "k", "n", ["s"])
 
 

@@ -387,7 +387,11 @@ def schedule_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", M.catch_up(F.col("event_id") * 1000, F.lit(60_000), F.lit(7_230_000)).alias("next_at"))
 
 
-_CARDS = f"""SELECT doc_id, page, start, "end" FROM (SELECT *, regexp_replace("match", '[ -]', '', 'g') AS d FROM ({_located_sql("[0-9](?:[ -]?[0-9])*[ -]?")})) WHERE length(d) BETWEEN 13 AND 19
+#: A card's digits and a character after them, or else a whole group of digits, so that no match begins within one. Pages get
+#: a letter at their end, so that there always is one.
+_CARD = "(?:[0-9][ -]?){13,19}[^0-9]|[0-9]+"
+_CARD_RUNS = _located_sql(_CARD).replace("unnest(p) AS text", "unnest(p) || 'x' AS text")
+_CARDS = f"""SELECT doc_id, page, start, (start + length(body))::INT AS "end" FROM (SELECT *, regexp_replace(body, '[ -]', '', 'g') AS d FROM (SELECT doc_id, page, start, regexp_replace("match", '[^0-9]$', '') AS body FROM ({_CARD_RUNS}))) WHERE length(d) BETWEEN 13 AND 19
 AND list_sum([CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN x::INT > 4 THEN 2 * x::INT - 9 ELSE 2 * x::INT END ELSE x::INT END for x, i in string_split(d, '')]) % 10 = 0"""
 
 

@@ -343,7 +343,7 @@ def declared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.inherited(tree, [], total="n").select("node", "leaves", "declared")
 
 
-_NEEDS = "SELECT p_partkey AS node, p_partkey * 3 % (SELECT max(p_partkey) FROM part) + 1 AS needed FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 9"
+_NEEDS = "SELECT p_partkey AS node, p_partkey * 3 % (SELECT max(p_partkey) FROM part) + 1 AS needed FROM part WHERE p_partkey % 12 = 5 UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 9"
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED ({_NEEDS}), n AS MATERIALIZED (SELECT p_partkey AS node FROM part), r(node, needed) AS (SELECT node, needed FROM e UNION SELECT r.node, e.needed FROM r JOIN e ON e.node = r.needed),
