@@ -50,7 +50,8 @@ def polygon_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, w, h, zero = F.col("p_partkey") % 4, F.col("p_size"), F.lit(7), F.lit(0)
     tie, line = _points((zero, zero), (w, h), (w, zero), (zero, h)), _points((zero, zero), (w, zero), (w * 2, zero))
     twice, square = _points((zero, zero), (zero, zero), (w, zero), (w, h)), _points((zero, zero), (w, zero), (w, h), (zero, h))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, V.polygon_fault(tie)).when(k == 1, V.polygon_fault(line)).when(k == 2, V.polygon_fault(twice)).otherwise(V.polygon_fault(square)).alias("fault"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, tie).when(k == 1, line).when(k == 2, twice).otherwise(square).alias("p"))
+    return rows.select("p_partkey", V.polygon_fault(F.col("p")).alias("fault"))
 
 
 @query("""WITH e AS (SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, a.l_quantity AS ax, 10 - a.l_linenumber AS ay, b.l_quantity AS bx, b.l_linenumber * 2 AS by_ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
