@@ -11,27 +11,32 @@ from quireframe.operators import sensitive as S
 from quireframe.operators import structure as C
 from quireframe.operators import text as X
 from quireframe.plans.queries import _CARDS, _PAGES, _SENT, _STOP, _TERMS, _TOKENS, _TRIM, _located_sql, _t, query
-from quireframe.plans.review_queries import _two
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents")
 
 
+def _talks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations with even and odd numbers, as the pages of the two sides of a pair."""
+    t = _t(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL").select("conv_id", F.expr("conv_id div 2").alias("pair"), F.col("turn").alias("page"), "text")
+    return t.filter("conv_id % 2 = 0"), t.filter("conv_id % 2 = 1")
+
+
 # The longest common subsequence is beyond SQL on whole tables; tests compare with a plain table of lengths.
 @query()
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.diff_rows(D.page_diffs(*_two(spark, sf_dir), "pair"), "pair")
+    return D.diff_rows(D.page_diffs(*_talks(spark, sf_dir), "pair"), "pair")
 
 
 @query()
 def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.diff_totals(D.page_diffs(*_two(spark, sf_dir), "pair"), "pair")
+    return D.diff_totals(D.page_diffs(*_talks(spark, sf_dir), "pair"), "pair")
 
 
 @query()
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.page_diffs(*_two(spark, sf_dir), "pair")
+    p = D.page_diffs(*_talks(spark, sf_dir), "pair")
     return D.comparison_report(p, F.sha2((F.col("pair") * 2).cast("string"), 256), F.sha2((F.col("pair") * 2 + 1).cast("string"), 256), "pair")
 
 
