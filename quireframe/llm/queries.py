@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import ann, bpe, chat, host_quality, mixing, near_duplicates, packing, quality_classifier, sharding, warc
+from quireframe.llm import ann, bpe, chat, hard_negatives, host_quality, mixing, near_duplicates, packing, periodic_runs, quality_classifier, sharding, token_table, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -64,8 +64,21 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table.digest_documents(token_table.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+def op12_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = hard_negatives.mine(hard_negatives.relabelled(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_runs(periodic_runs.document_runs(periodic_runs.with_repeats(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_quality, op2_sampled_splitters, op3_adaptive_scan, op4_warc_transactions, op5_concat_and_cut, op6_parity_sketch_join, op7_pivotal_mix, op8_compression_classifier, op9_heap_bpe_counts, op10_incremental_chat)
+    f.__name__: f for f in (op1_host_quality, op2_sampled_splitters, op3_adaptive_scan, op4_warc_transactions, op5_concat_and_cut, op6_parity_sketch_join, op7_pivotal_mix, op8_compression_classifier, op9_heap_bpe_counts, op10_incremental_chat, op11_distinct_words, op12_bit_sliced_negatives, op13_periodic_runs)
 }
 
 SQL: dict[str, str] = {
@@ -109,4 +122,22 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        (NOT base_failed) AND host_kept AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source""",
+    # Every anchor's products with all rows; a list of whole numbers below 2^53 has an exact inner product of doubles.
+    "op12_bit_sliced_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label AS anchor_label, b.rid AS other, b.vec_id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.rid <> b.rid
+), p AS (
+  SELECT rid, anchor_id, anchor_label, other AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.rid = s.rid AND s.label <> p.anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.rid, positive ORDER BY score DESC, vec_id, other)
+QUALIFY row_number() OVER w <= 3""",
 }
