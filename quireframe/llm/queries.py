@@ -65,7 +65,8 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_table.digest_documents(token_table.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+    path = public_tokenizers.path(TOKENIZER)
+    return token_table.digest_documents(token_table.decode_documents(token_table.encode_documents(_table(spark, sf_dir, "documents"), path), path))
 
 
 def op12_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
