@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quireframe.llm.bpe import Vocabulary, split_words
-from quireframe.llm.shared import written
+from quireframe.llm.shared import new_path
 from quireframe.session import ship_code
 
 #: A block ends with the row that brings it to so many words or distinct words.
-BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
+BLOCK_WORDS, BLOCK_DISTINCT = 2_000_000, 250_000
 #: Words of all blocks that a cell has, about.
-CELL_WORDS = 400_000
+CELL_WORDS = 200_000
 #: Longer texts are split into words a stretch at a time.
 STRETCH = 1 << 20
 
@@ -144,7 +144,18 @@ def blocks(rows: DataFrame, path: str, most: int = BLOCK_WORDS, distinct: int =
         if keys:
             yield block()
 
-    return written(rows.select("key", "text").mapInArrow(cut, schema), "blocks", "none")
+    return _dealt_by(rows.select("key", "text").mapInArrow(cut, schema), "block")
+
+
+def _dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder that is dealt into buckets by ``key`` as a shuffle would be, so that what is joined
+    on it comes to it and it need not be shuffled itself."""
+    spark = df.sparkSession
+    path = new_path(spark, "blocks")
+    name = "blocks_" + path[-12:]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def cells(cut: DataFrame, n: int) -> DataFrame:
@@ -190,15 +201,16 @@ def encoded_cells(dealt: DataFrame, path: str) -> DataFrame:
 def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """How many each list has, and all of them one after the other."""
     many = np.fromiter(map(len, ids), np.int64, len(ids))
-    return many, np.fromiter((i for some in ids for i in some), np.int64, int(many.sum()))
+    return many, np.fromiter((i for some in ids for i in some), np.uint32, int(many.sum()))
 
 
 def _taken(many: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists ``which`` of those that ``many`` and ``flat`` tell, in the same form."""
     n = many[which]
     begins = np.cumsum(many) - many
-    ends = np.cumsum(n)
-    return n, flat[np.repeat(begins[which] - (ends - n), n) + np.arange(int(n.sum()))]
+    at = np.repeat(begins[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return n, flat[at]
 
 
 def joined_back(cut: DataFrame, encoded: DataFrame) -> DataFrame:
@@ -207,19 +219,19 @@ def joined_back(cut: DataFrame, encoded: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", key), T.StructField("ids", T.BinaryType())])
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        places, many, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        places, many, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for p, x in zip(right.column("places").to_pylist(), right.column("ids").to_pylist(), strict=True):
             (n,), rest = unpacked(x)
             places.append(np.cumsum(unpacked(p)[0][0], dtype=np.int64))
             many.append(n.astype(np.int64))
-            flat.append(unpacked(rest)[0][0].astype(np.int64))
+            flat.append(unpacked(rest)[0][0])
         order = np.argsort(np.concatenate(places))
         (numbers,), _ = unpacked(left.column("numbers")[0].as_py())
         n, ids = _taken(np.concatenate(many), np.concatenate(flat), order[numbers])
         counts = np.array(left.column("counts")[0].as_py(), dtype=np.int64)
         # Bytes up to the end of each word, and so up to the end of each row.
         words_end = np.concatenate(([0], np.cumsum(n) * 4))
-        data, offsets = ids.astype("<u4").tobytes(), words_end[np.concatenate(([0], np.cumsum(counts)))]
+        data, offsets = ids.tobytes(), words_end[np.concatenate(([0], np.cumsum(counts)))]
         out = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         return pa.table([left.column("keys").combine_chunks().flatten(), pa.array(out, pa.binary())], ["key", "ids"])
 
