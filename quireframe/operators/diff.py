@@ -1,10 +1,12 @@
-"""Token differences of paired pages. A pair is compared where it lies, in Arrow batches; one bit a cell is what its table takes."""
+"""Token differences of paired pages. A pair is compared where it lies, in Arrow batches, by operations on whole rows of bits and in
+memory that grows with its tokens."""
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,46 +20,88 @@ _TOKEN = re.compile("[^\\s\x1c-\x1f\x85\ufeff]+|[\x1c-\x1f\x85]+")
 REPORT = ("primary_sha256", "secondary_sha256", "kind", "page", "status", "added", "deleted", "unchanged", "changed_pixels", "compared_pixels")
 
 
+class _Lengths:
+    """The lengths of longest common subsequences of what follows places i of ``a`` and j of ``b``.
+
+    A row, all j of one i, is a whole number of a bit for each j, and the next one up comes of it by an addition. Rows are kept
+    at intervals of the root of their number; those between are made again when they are asked for, so that memory grows with
+    the tokens and not with their product."""
+
+    def __init__(self, a: list, b: list):
+        self.a, self.b, self.full = a, b, (1 << len(b)) - 1
+        known = set(a)
+        self.at: dict = {}
+        for p, t in enumerate(reversed(b)):
+            if t in known:
+                self.at[t] = self.at.get(t, 0) | 1 << p
+        self.step = max(1, math.isqrt(len(a)))
+        self.kept, row = {0: self.full}, self.full
+        for k in range(1, len(a) + 1):
+            row = self._above(row, k)
+            if k % self.step == 0:
+                self.kept[k] = row
+        self.base, self.rows = -1, []
+
+    def _above(self, row: int, k: int) -> int:
+        if mask := self.at.get(self.a[len(self.a) - k]):
+            met = row & mask
+            return (row + met | row - met) & self.full
+        return row
+
+    def row(self, i: int) -> int:
+        """Bit p is off where one token more of ``b``, the p-th from its end, makes what follows i longer."""
+        k = len(self.a) - i
+        base = k // self.step * self.step
+        if base != self.base:
+            self.base, self.rows = base, [self.kept[base]]
+        while len(self.rows) <= k - base:
+            self.rows.append(self._above(self.rows[-1], base + len(self.rows)))
+        return self.rows[k - base]
+
+    def length(self, i: int, j: int) -> int:
+        left = len(self.b) - j
+        return left - (self.row(i) & (1 << left) - 1).bit_count()
+
+
 def token_runs(before: str, after: str) -> list[tuple[str, str, int]]:
     """The runs that lead from one text's tokens to the other's by a longest common subsequence: (kind, text, count). Equal
     tokens are taken as soon as they meet; where adding and deleting do as well, what is added comes first."""
     left, right = _TOKEN.findall(before), _TOKEN.findall(after)
-    ids: dict[str, int] = {}
-    a, b = (np.fromiter((ids.setdefault(t, len(ids)) for t in x), dtype=np.int64, count=len(x)) for x in (left, right))
     same = 0
-    while same < min(len(a), len(b)) and a[same] == b[same]:
+    while same < min(len(left), len(right)) and left[same] == right[same]:
         same += 1
-    n, m = len(a) - same, len(b) - same
-    # better_add[i] has a bit for each j: whether the rest after adding right[j] is no worse than after deleting left[i].
-    below, better_add = np.zeros(m + 1, dtype=np.int64), []
-    for i in range(n - 1, -1, -1):
-        own = np.zeros(m + 1, dtype=np.int64)
-        own[:m] = np.maximum.accumulate(np.maximum(below[:-1], np.where(b[same:] == a[same + i], below[1:] + 1, 0))[::-1])[::-1]
-        better_add.append(np.packbits(own[1:] >= below[:-1]))
-        below = own
-    better_add.reverse()
-    runs: list[tuple[str, list[str]]] = []
-
-    def add(kind: str, token: str) -> None:
-        if runs and runs[-1][0] == kind:
-            runs[-1][1].append(token)
-        else:
-            runs.append((kind, [token]))
-
-    for t in left[:same]:
-        add("unchanged", t)
+    a, b = left[same:], right[same:]
+    kinds = ["unchanged"] * same
+    tokens = left[:same]
+    lengths = _Lengths(a, b)
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[same + i] == b[same + j]:
-            add("unchanged", left[same + i])
-            i, j = i + 1, j + 1
-        elif j < m and (i == n or better_add[i][j >> 3] >> (7 - (j & 7)) & 1):
-            add("added", right[same + j])
-            j += 1
+    deleted = None  # what is to come once the next of ``a`` is deleted
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            kinds.append("unchanged")
+            tokens.append(a[i])
+            i, j, deleted = i + 1, j + 1, None
+            continue
+        if deleted is None:
+            here, deleted = lengths.length(i, j), lengths.length(i + 1, j)
+            own, below = lengths.row(i), lengths.row(i + 1)
+        p = len(b) - j - 1
+        added = here - (not own >> p & 1)
+        if added >= deleted:
+            kinds.append("added")
+            tokens.append(b[j])
+            here, deleted, j = added, deleted - (not below >> p & 1), j + 1
         else:
-            add("deleted", left[same + i])
-            i += 1
-    return [(k, " ".join(t), len(t)) for k, t in runs]
+            kinds.append("deleted")
+            tokens.append(a[i])
+            i, deleted = i + 1, None
+    kinds += ["added"] * (len(b) - j) + ["deleted"] * (len(a) - i)
+    tokens += b[j:] + a[i:]
+    runs = []
+    for kind, group in groupby(zip(kinds, tokens, strict=True), key=lambda x: x[0]):
+        own = [t for _, t in group]
+        runs.append((kind, " ".join(own), len(own)))
+    return runs
 
 
 def diff_runs(before: Column, after: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quireframe.functions.bounded import bounded_test_of
 from quireframe.operators.records import digest_sum
 from quireframe.session import ship_code
 
@@ -96,11 +97,21 @@ def closure(capabilities: DataFrame, coverage: DataFrame, proofs: DataFrame, key
     return each.select(key, F.when(~here(0), "stray").when(here(1) & here(2), "proven").when(here(1), "covered").otherwise("bare").alias("status"))
 
 
-def form_errors(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """One row (key, code) per rule that a row breaks; a rule's condition that is null is not broken. Whether a value that
-    must be there is missing is for the condition to say: ``missing`` does."""
-    codes = F.array_compact(F.array(*[F.when(broken, code) for code, broken in rules.items()]))
-    return rows.select(key, F.explode(codes).alias("code"))
+def form_errors(values: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """One row (key, field, code) per rule that a value breaks. ``values`` has a key, field and value (text); ``rules``, a row for
+    each field, has type, required, pattern (a bounded expression of 120 characters at most), low and high. A value that is
+    required breaks ``required`` if it is missing; one that is there breaks ``pattern`` if no part of it matches; a finite number
+    in a field of that type breaks ``min`` below low and ``max`` above high. A rule that is null or empty is not broken, and a
+    field without rules breaks none."""
+    ship_code(values.sparkSession)
+    both = values.select(key, "field", "value").join(rules.select("field", "type", "required", "pattern", "low", "high"), "field")
+    v = F.col("value")
+    asked = F.when((v != "") & (F.col("pattern") != ""), v)
+    number = F.when(F.col("type") == "number", v.try_cast("double"))
+    number = F.when(F.abs(number) < float("inf"), number)
+    tested = both.withColumn("_matches", bounded_test_of(asked, F.nullif("pattern", F.lit("")), longest=120)).withColumn("_number", number)
+    codes = F.array_compact(F.array(F.when(F.col("required") & missing(v), "required"), F.when(~F.col("_matches"), "pattern"), F.when(F.col("_number") < F.col("low"), "min"), F.when(F.col("_number") > F.col("high"), "max")))
+    return tested.select(key, "field", F.explode(codes).alias("code"))
 
 
 def missing(value: Column) -> Column:

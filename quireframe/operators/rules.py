@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireframe.functions import values as V
+from quireframe.functions.bounded import bounded_test_of
 from quireframe.operators import inventory as I
+from quireframe.operators import text as X
+from quireframe.session import ship_code
 
 STATUSES = ("pass", "warning", "fail", "not-checked")
 #: The roles of tagged text, and the parents that lists and tables ask for.
@@ -205,13 +208,20 @@ def unknown_values(fields: DataFrame, values: DataFrame, key: str = "id") -> Dat
 
 
 def value_errors(rows: DataFrame, of: str) -> DataFrame:
-    """A row (of, field, code) per rule that a value breaks. ``rows`` has field, value (text), required (boolean, null is
-    true), min_length, max_length and pattern (null: none; an expression that the whole or a part must match). A blank value
-    that is required breaks that rule only."""
-    v = F.col("value")
-    blank = F.coalesce(F.col("required"), F.lit(True)) & (F.coalesce(F.trim(v), F.lit("")) == "")
-    codes = F.array_compact(F.array(F.when(F.length(v) < F.col("min_length"), "MIN_LENGTH"), F.when(F.length(v) > F.col("max_length"), "MAX_LENGTH"), F.when(~F.regexp(v, F.col("pattern")), "PATTERN")))
-    return rows.select(of, "field", F.explode(F.when(blank, F.array(F.lit("REQUIRED"))).otherwise(codes)).alias("code"))
+    """A row (of, field, code) per rule that a value breaks. ``rows`` has field, value (text), value_type (string or boolean, null
+    is string) and the rules: required (null is true), type, min_length, max_length and pattern (null: none; a bounded expression
+    of 200 characters at most, which the value or a part of it must match). A blank text that is required breaks that rule
+    only, a value of another type than asked for that one only, and a boolean has no length and no pattern. An expression that
+    the grammar refuses is an error, as a rule that cannot be checked must not pass."""
+    ship_code(rows.sparkSession)
+    v, is_text = F.col("value"), F.coalesce(F.col("value_type"), F.lit("string")) == "string"
+    blank = is_text & F.coalesce(F.col("required"), F.lit(True)) & (F.coalesce(X.trimmed(v), F.lit("")) == "")
+    other_type = F.coalesce(F.col("type") != F.coalesce(F.col("value_type"), F.lit("string")), F.lit(False))
+    # Only what the rule applies to leaves the JVM.
+    asked = F.when(is_text & ~blank & ~other_type & F.col("pattern").isNotNull(), v)
+    tested = rows.withColumn("_matches", bounded_test_of(asked, F.col("pattern"), longest=200, allow_empty=True))
+    codes = F.when(is_text, F.array_compact(F.array(F.when(F.length(v) < F.col("min_length"), "MIN_LENGTH"), F.when(F.length(v) > F.col("max_length"), "MAX_LENGTH"), F.when(~F.col("_matches"), "PATTERN"))))
+    return tested.select(of, "field", F.explode(F.when(blank, F.array(F.lit("REQUIRED"))).when(other_type, F.array(F.lit("TYPE"))).otherwise(codes)).alias("code"))
 
 
 def workflow(facts: DataFrame, steps: list[dict], of: str) -> DataFrame:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireframe.functions.bounded import bounded_matches
 from quireframe.operators import text as X
+from quireframe.session import ship_code
 
 #: Between a word character (ASCII letters, digits, underscore) and any other.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -31,18 +33,26 @@ def payment_cards(pages: DataFrame) -> DataFrame:
     return X.match_rows(pages, CARD).filter(X.luhn_valid(F.col("match")))
 
 
+def bounded_rows(pages: DataFrame, expression: str) -> DataFrame:
+    """doc_id, page, start and end of the matches of a bounded expression in any case."""
+    ship_code(pages.sparkSession)
+    return pages.select("doc_id", "page", F.explode(bounded_matches(F.col("text"), expression, ignore_case=True)).alias("m")).select("doc_id", "page", "m.start", "m.end")
+
+
 def kinds(pages: DataFrame, custom: list[tuple[str, str, bool]] = ()) -> DataFrame:
     """Places of all kinds on each page: doc_id, page, start, end, kind and label, never the text. ``custom`` patterns are
-    (label, pattern, whether it is an expression): literals are found as they are, expressions in any case. Kinds are
-    searched apart, so that matches of several may overlap."""
+    (label, pattern, whether it is an expression): literals are found as they are, expressions, which are bounded ones, in any
+    case, leftmost and longest. Kinds are searched apart, so that matches of several may overlap."""
     found = [
         (X.match_rows(pages, EMAIL), "email", "Email"),
         (X.match_rows(pages, PHONE).filter(F.length(digits(F.col("match"))) <= PHONE_DIGITS), "phone", "Phone"),
         (payment_cards(pages), "payment-card", "Payment card"),
     ]
     for label, pattern, expression in custom:
-        body = f"(?i){pattern}" if expression else X.literal_pattern(pattern, case_sensitive=True)
-        found.append((X.match_rows(pages, body), "custom-regex" if expression else "custom-literal", label))
+        if expression:
+            found.append((bounded_rows(pages, pattern), "custom-regex", label))
+        else:
+            found.append((X.match_rows(pages, X.literal_pattern(pattern, case_sensitive=True)), "custom-literal", label))
     return reduce(DataFrame.unionByName, [m.select("doc_id", "page", "start", "end", F.lit(kind).alias("kind"), F.lit(label).alias("label")) for m, kind, label in found])
 
 

@@ -67,15 +67,24 @@ def form_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.calculated(rows, "l_orderkey", "v").withColumn("product_log10", F.round(F.log10("product"), 9)).drop("product")
 
 
+_FORM_VALUES = "SELECT p_partkey, unnest(['kind', 'brand', 'size']) AS field, unnest([CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 9 > 1 THEN p_type END, p_brand, CASE WHEN p_partkey % 11 = 0 THEN 'NaN' ELSE p_size::VARCHAR END]) AS value FROM part"
+
+
+# The rules come of the parts too: a field's pattern and bounds are what brands and sizes of the first parts tell.
 @query(
-    """WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 9 = 1 THEN NULL ELSE p_type END AS kind, p_brand, p_size FROM part)
-SELECT p_partkey, 'required' AS code FROM f WHERE kind IS NULL OR kind = '' UNION ALL SELECT p_partkey, 'pattern' FROM f WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]?$')
-UNION ALL SELECT p_partkey, 'min' FROM f WHERE p_size < 5 UNION ALL SELECT p_partkey, 'max' FROM f WHERE p_size > 40"""
+    f"""WITH v AS ({_FORM_VALUES}), r AS (SELECT min(p_size) + 4 AS low, max(p_size) - 10 AS high, min(p_brand) AS least FROM part WHERE p_partkey <= 100)
+SELECT p_partkey, field, 'required' AS code FROM v WHERE field = 'kind' AND (value IS NULL OR value = '') UNION ALL SELECT p_partkey, field, 'pattern' FROM v, r WHERE field = 'brand' AND NOT regexp_matches(value, '^Brand#[1-3][0-9]?$|' || r.least)
+UNION ALL SELECT p_partkey, field, 'min' FROM v, r WHERE field = 'size' AND value <> 'NaN' AND TRY_CAST(value AS INT) < low UNION ALL SELECT p_partkey, field, 'max' FROM v, r WHERE field = 'size' AND value <> 'NaN' AND TRY_CAST(value AS INT) > high"""
 )
 def form_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
     kind = F.when(F.col("p_partkey") % 9 == 0, "").when(F.col("p_partkey") % 9 != 1, F.col("p_type"))
-    rules = {"required": V.missing(kind), "pattern": ~F.col("p_brand").rlike("^Brand#[1-3][0-9]?$"), "min": F.col("p_size") < 5, "max": F.col("p_size") > 40}
-    return V.form_errors(_t(spark, sf_dir, "part"), "p_partkey", rules)
+    size = F.when(F.col("p_partkey") % 11 == 0, "NaN").otherwise(F.col("p_size").cast("string"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("kind", kind), ("brand", F.col("p_brand")), ("size", size))])
+    values = part.select("p_partkey", F.explode(each).alias("v")).select("p_partkey", "v.*")
+    told = part.filter("p_partkey <= 100").agg(F.concat(F.lit("^Brand#[1-3][0-9]?$|"), F.min("p_brand")).alias("pattern"), (F.min("p_size") + 4).alias("low"), (F.max("p_size") - 10).alias("high"))
+    rules = told.select(F.expr("inline(array(named_struct('field', 'kind', 'type', 'text', 'required', true, 'pattern', '', 'low', cast(null as int), 'high', cast(null as int)), named_struct('field', 'brand', 'type', 'text', 'required', false, 'pattern', pattern, 'low', cast(null as int), 'high', cast(null as int)), named_struct('field', 'size', 'type', 'number', 'required', true, 'pattern', '', 'low', low, 'high', high)))"))
+    return V.form_errors(values, rules, "p_partkey")
 
 
 @query("SELECT o_orderpriority, round(sum(o_totalprice), 6) AS total, count(*) AS n, sum(('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 15))::BIGINT)::VARCHAR AS members FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48) GROUP BY 1")

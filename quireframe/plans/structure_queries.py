@@ -11,32 +11,27 @@ from quireframe.operators import sensitive as S
 from quireframe.operators import structure as C
 from quireframe.operators import text as X
 from quireframe.plans.queries import _CARDS, _PAGES, _SENT, _STOP, _TERMS, _TOKENS, _TRIM, _located_sql, _t, query
+from quireframe.plans.review_queries import _two
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents")
 
 
-def _talks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Turns of conversations with even and odd numbers, as the pages of the two sides of a pair."""
-    t = _t(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL").select("conv_id", F.expr("conv_id div 2").alias("pair"), F.col("turn").alias("page"), "text")
-    return t.filter("conv_id % 2 = 0"), t.filter("conv_id % 2 = 1")
-
-
 # The longest common subsequence is beyond SQL on whole tables; tests compare with a plain table of lengths.
 @query()
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.diff_rows(D.page_diffs(*_talks(spark, sf_dir), "pair"), "pair")
+    return D.diff_rows(D.page_diffs(*_two(spark, sf_dir), "pair"), "pair")
 
 
 @query()
 def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.diff_totals(D.page_diffs(*_talks(spark, sf_dir), "pair"), "pair")
+    return D.diff_totals(D.page_diffs(*_two(spark, sf_dir), "pair"), "pair")
 
 
 @query()
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.page_diffs(*_talks(spark, sf_dir), "pair")
+    p = D.page_diffs(*_two(spark, sf_dir), "pair")
     return D.comparison_report(p, F.sha2((F.col("pair") * 2).cast("string"), 256), F.sha2((F.col("pair") * 2 + 1).cast("string"), 256), "pair")
 
 
@@ -56,10 +51,10 @@ def swapped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EMAILS = f"""SELECT doc_id, page, start, "end", 'email' AS kind, 'Email' AS label FROM ({_located_sql(chr(92) + "b" + X.EMAIL + chr(92) + "b")})"""
 _LITERAL = f"""SELECT doc_id, page, start, "end", 'custom-literal' AS kind, 'The' AS label FROM ({_located_sql("The")})"""
-_REGEX = f"""SELECT doc_id, page, start, "end", 'custom-regex' AS kind, 'Code' AS label FROM ({_located_sql("(?i)[a-c][0-9][0-9]")})"""
+_REGEX = f"""SELECT doc_id, page, start, "end", 'custom-regex' AS kind, 'Code' AS label FROM ({_located_sql("(?i)abl|[a-c][0-9][0-9]|ab|a")})"""
 
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.kinds(X.pages_of(_docs(spark, sf_dir)), [("The", "The", False), ("Code", "[a-c][0-9][0-9]", True)])
+    return S.kinds(X.pages_of(_docs(spark, sf_dir)), [("The", "The", False), ("Code", "a|ab|[a-c][0-9][0-9]|abl", True)])
 
 
 @query(f"""WITH a AS ({_EMAILS}), b AS ({_LITERAL}), c AS ({_REGEX}), d AS (SELECT *, 'payment-card' AS kind, 'Payment card' AS label FROM ({_CARDS})) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""")
@@ -213,11 +208,12 @@ def redacted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.regions_present(pages.select("doc_id", "page", F.expr(_REGION).alias("region")), pages, "doc_id")
 
 
-@query(_located_sql(r"(?i)(?:[a-c][0-9]{2,4}|t(?:ion|he))"))
+# Of a leftmost-first engine the longest alternatives come first.
+@query(_located_sql(r"(?i)(?:[a-c][0-9]{2,4}|tion[as]l|tions?|the(?:rein|re)|the|th|t)"))
 def bounded_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of a bounded expression; as its alternatives exclude each other, the first is the longest."""
+    """Matches of a bounded expression whose alternatives overlap."""
     pages = X.pages_of(_docs(spark, sf_dir))
-    each = pages.select("doc_id", "page", "text", F.posexplode(B.bounded_matches(F.col("text"), "([a-c][0-9]{2,4}|t(ion|he))", ignore_case=True)).alias("i", "m"))
+    each = pages.select("doc_id", "page", "text", F.posexplode(B.bounded_matches(F.col("text"), "([a-c][0-9]{2,4}|t|th(e|ere|erein)?|tion|tion(s|(a|s)l))", ignore_case=True)).alias("i", "m"))
     return each.select("doc_id", "page", (F.col("i") + 1).alias("match_no"), "m.start", "m.end", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("match"))
 
 

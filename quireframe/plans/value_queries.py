@@ -280,11 +280,16 @@ def unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.unknown_values(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), values)
 
 
-@query("""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN '  ' ELSE p_name END AS value, p_partkey % 12 <> 0 AS required, p_size % 20 AS lo, p_size % 15 + 3 AS hi FROM part), b AS (SELECT *, required AND trim(value) = '' AS blank FROM v)
-SELECT p_partkey, 'name' AS field, 'REQUIRED' AS code FROM b WHERE blank UNION ALL SELECT p_partkey, 'name', 'MIN_LENGTH' FROM b WHERE NOT blank AND length(value) < lo UNION ALL SELECT p_partkey, 'name', 'MAX_LENGTH' FROM b WHERE NOT blank AND length(value) > hi UNION ALL SELECT p_partkey, 'name', 'PATTERN' FROM b WHERE NOT blank AND NOT regexp_matches(value, '^[Pp]art[ -]?#?[0-9]*[02468]$')""")
+_PATTERNS = ("^[Pp]art[ -]?#?[0-9]*[02468]$", "a|al|almond s", "(o|on|ona){1,2} ", "^([a-e]|[c-m])[a-z]+ ")
+_RULED = "SELECT p_partkey, 'name' AS field, CASE WHEN p_partkey % 6 = 0 THEN '  ' WHEN p_partkey % 10 = 5 THEN 'true' ELSE p_name END AS value, CASE WHEN p_partkey % 10 = 5 THEN 'boolean' END AS value_type, p_partkey % 12 <> 0 AS required, CASE WHEN p_partkey % 7 = 1 THEN 'boolean' WHEN p_partkey % 7 = 2 THEN 'string' END AS type, p_size % 20 AS min_length, p_size % 15 + 3 AS max_length, CASE p_size % 5 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATTERNS)) + " END AS pattern FROM part"
+
+
+@query(f"""WITH v AS ({_RULED}), b AS (SELECT *, value_type IS NULL AND required AND trim(value) = '' AS blank, coalesce(type <> coalesce(value_type, 'string'), false) AS other FROM v), t AS (SELECT * FROM b WHERE NOT blank AND NOT other AND value_type IS NULL)
+SELECT p_partkey, 'name' AS field, 'REQUIRED' AS code FROM b WHERE blank UNION ALL SELECT p_partkey, 'name', 'TYPE' FROM b WHERE other AND NOT blank UNION ALL SELECT p_partkey, 'name', 'MIN_LENGTH' FROM t WHERE length(value) < min_length UNION ALL SELECT p_partkey, 'name', 'MAX_LENGTH' FROM t WHERE length(value) > max_length
+UNION ALL SELECT p_partkey, 'name', 'PATTERN' FROM t WHERE """ + " OR ".join(f"(pattern = '{p}' AND NOT regexp_matches(value, '{p}'))" for p in _PATTERNS))
 def value_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "part").select("p_partkey", F.lit("name").alias("field"), F.when(F.col("p_partkey") % 6 == 0, "  ").otherwise(F.col("p_name")).alias("value"), (F.col("p_partkey") % 12 != 0).alias("required"), (F.col("p_size") % 20).alias("min_length"), (F.col("p_size") % 15 + 3).alias("max_length"), F.lit("^[Pp]art[ -]?#?[0-9]*[02468]$").alias("pattern"))
-    return P.value_errors(rows, "p_partkey")
+    _t(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return P.value_errors(spark.sql(_RULED), "p_partkey")
 
 
 _STEPS = [{"field": "pages", "operator": "gte", "value": 20, "then": 2, "otherwise": 0}, {"field": "previousStatus", "operator": "eq", "value": "queued", "then": 1, "otherwise": 3}, {"field": "queuedCount", "operator": "lte", "value": 3, "then": 0, "otherwise": 1}, {"field": "tagged", "operator": "eq", "value": False, "then": 1, "otherwise": 0}]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quireframe import registry
 from quireframe.functions import bounded, measures, rasters, values
-from quireframe.operators import diff, exports, graph, records, review, sensitive, structure
+from quireframe.operators import diff, exports, graph, records, review, rules, sensitive, structure
 from quireframe.operators import text as X
 from quireframe.sources import files, tool_output
 from quireframe.streaming import jobs
@@ -46,7 +46,10 @@ def test_token_runs():
     assert diff.token_runs("", "") == [] and diff.token_runs("x", "x x") == brute_runs("x", "x x")
     long = [str(r.randint(0, 99)) for _ in range(4000)]
     began, runs = time.time(), diff.token_runs(" ".join(long), " ".join(long[5:] + ["end"]))
-    assert sum(n for k, _, n in runs if k == "unchanged") >= 3995 and time.time() - began < 20
+    assert sum(n for k, _, n in runs if k == "unchanged") >= 3995 and time.time() - began < 5
+    far = [[str(r.randint(0, 3_000)) for _ in range(20_000)] for _ in range(2)]
+    began, runs = time.time(), diff.token_runs(*map(" ".join, far))
+    assert sum(n for k, _, n in runs if k != "added") == sum(n for k, _, n in runs if k != "deleted") == 20_000 and time.time() - began < 30
 
 
 def test_page_diffs(spark):
@@ -66,10 +69,16 @@ def test_bounded_expressions():
             bounded.Bounded(bad)
     began = time.time()
     assert not bounded.Bounded("a+a+a+a+a+a+a+$").test("a" * 10_000 + "!")
-    assert time.time() - began < 10
+    assert time.time() - began < 1
+    found = bounded.Bounded("a|ab", ignore_case=True).find_all("zz abab aB")
+    assert found == [(3, 5), (5, 7), (8, 10)]
+    for source, text, want in (("^a|b$|c", "acab", [(0, 1), (1, 2), (3, 4)]), ("(^|x)a", "aaxa", [(0, 1), (2, 4)]), ("k", "K\u212a\u0130", [(0, 1), (1, 2)]), ("[A-C]+", "xabC", [(1, 4)]), (r"\W", "a\u212ab", []), ("^$", "", []), (".", "\n\U0001f600", [(0, 1), (1, 2)])):
+        assert bounded.Bounded(source, ignore_case=True).find_all(text) == want, source
     r = random.Random(4)
-    for _ in range(200):
-        source = "".join(r.choice(["a", "b", "c", ".", "[ab]", "[^a]", "(a|ab)", "(bc|b)", "a?", "b*", "c+", "(ab){1,2}"]) for _ in range(r.randint(1, 4)))
+    for _ in range(600):
+        source = "".join(r.choice(["a", "b", "c", ".", "[ab]", "[^a]", "(a|ab)", "(bc|b|)", "a?", "b*", "c+", "(ab){1,2}", "(a|b|cab){2,3}", "b{2,}", "c{0}"]) for _ in range(r.randint(1, 4)))
+        if len(source) == 4 and source == "c{0}":
+            continue
         t = "".join(r.choice("abc") for _ in range(9))
         got = bounded.Bounded(source).find(t)
         spans = [(i, j) for i in range(10) for j in range(i + 1, 10) if re.fullmatch(source, t[i:j])]
@@ -99,8 +108,24 @@ def test_forms_and_labels(spark):
     assert got == {"Date_of_birth": ("date", True, ""), "Total_amount": ("number", False, ""), "I_agree": ("checkbox", False, "false")}
     d = spark.createDataFrame([(1, "Name: Ada\nDate: 2026-07-01\nAmount: $20.00")], "doc_id int, text string")
     assert [(r.name, r.value) for r in structure.form_values(d).orderBy("ordinal").collect()] == [("Name", "Ada"), ("Date", "2026-07-01"), ("Amount", "$20.00")]
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "id int, v string")
-    assert sorted(r.id for r in review.form_errors(rows, "id", {"required": review.missing(F.col("v"))}).collect()) == [1, 2]
+    values_ = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, "a", "x"), (4, "b", "7.5"), (5, "b", "NaN"), (6, "b", "1e3"), (7, "c", "no rule"), (8, "d", "abab!"), (9, "d", "")], "id int, field string, value string")
+    rules_ = spark.createDataFrame([("a", "text", True, None, None, None), ("b", "number", False, "", 8.0, 100.0), ("d", "text", None, "^(ab|a){2}$", None, None)], "field string, type string, required boolean, pattern string, low double, high double")
+    assert sorted((r.id, r.code) for r in review.form_errors(values_, rules_, "id").collect()) == [(1, "required"), (2, "required"), (4, "min"), (6, "max"), (8, "pattern")]
+
+
+def test_value_errors(spark):
+    ruled = "id int, field string, value string, value_type string, required boolean, type string, min_length int, max_length int, pattern string"
+    ssn = r"^\d{3}-\d{2}-\d{4}$"
+    rows = [
+        (1, "f", "123-45-6789", None, None, None, None, None, ssn), (2, "f", "bad", None, None, None, None, None, ssn), (3, "f", "anything", None, None, None, None, None, ""), (4, "f", " \u00a0", None, None, "boolean", 9, None, "x"),
+        (5, "f", "", None, False, None, 1, None, None), (6, "f", "true", "boolean", None, "string", 9, None, "x"), (7, "f", "true", "boolean", None, None, 9, None, "x"), (8, "f", "x", None, None, "boolean", 9, None, "y"),
+        (9, "f", "long", None, None, "string", 5, 3, "z"), (10, "f", "a" * 10_000 + "!", None, None, None, None, None, "a+a+a+a+a+a+a+$"), (11, "f", None, None, None, None, 1, 1, "x"), (12, "f", None, None, False, None, 1, 1, "x"),
+    ]
+    began = time.time()
+    assert sorted((r.id, r.code) for r in rules.value_errors(spark.createDataFrame(rows, ruled), "id").collect()) == [(2, "PATTERN"), (4, "REQUIRED"), (5, "MIN_LENGTH"), (6, "TYPE"), (8, "TYPE"), (9, "MAX_LENGTH"), (9, "MIN_LENGTH"), (9, "PATTERN"), (10, "PATTERN"), (11, "REQUIRED")]
+    assert time.time() - began < 20
+    with pytest.raises(Exception, match="repeat"):
+        rules.value_errors(spark.createDataFrame([(1, "f", "v", None, None, None, None, None, "(a+)+$")], ruled), "id").collect()
 
 
 def test_labels_of_numbers(spark):
