@@ -19,6 +19,8 @@ SHARE = 1.5
 MAX_COPIES = 2
 #: Documents folded in one chunk, about; a level of the tree shrinks the residuals by this factor.
 CHUNK = 256
+#: Rows that repeat are numbered so many at a time.
+SHARE_ROWS = 8_192
 #: Sources up to this number are broadcast (about 50 bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 200_000
 #: Rows up to this number are told by a broadcast how often they are taken (12 bytes each), so that texts stay where they
@@ -132,9 +134,20 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
     A null text has no word and, as any row without words, is taken no time; a null source is a source. Rows that repeat
     or have a null key are rows of their own. An empty table gives no rows.
     """
-    slim = docs.select(docs[f"`{key}`"].alias("row"), docs[f"`{source}`"].alias("source"), n_words(docs[f"`{text}`"]).alias("size"))
-    mixed = mix_rows(written(slim, "mix-sizes"))
-    return mixed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    slim = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{source}`"].alias("source"), n_words(docs[f"`{text}`"]).alias("size"))
+    mixed = mix_rows(written(_told_apart(slim), "mix-sizes"))
+    return mixed.select(F.col("row.key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _told_apart(slim: DataFrame) -> DataFrame:
+    """``slim`` (key, source, size) as row (key and number), source and size. Rows that repeat are the same to the mix, so they
+    are counted, which tasks first do each for its own, and numbered from 0; many are numbered a share at a time, the shares
+    dealt out, so that neither a task nor a chunk has all of them."""
+    counted = slim.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
+    shares = counted.withColumn("share", F.explode(F.expr(f"sequence(0, (n - 1) div {SHARE_ROWS})")))
+    dealt = shares.filter(f"n <= {SHARE_ROWS}").unionByName(shares.filter(f"n > {SHARE_ROWS}").repartition("key", "size", "share"))
+    number = F.explode(F.expr(f"sequence(share * {SHARE_ROWS}, least((share + 1) * {SHARE_ROWS}, n) - 1)"))
+    return dealt.select("key", "source", "size", number.alias("number")).select(F.struct("key", "number").alias("row"), "source", "size")
 
 
 def take_documents(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:

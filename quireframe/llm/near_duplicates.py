@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireframe.llm.components import connected
@@ -97,16 +97,19 @@ def _keys(slim: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _members(keys: DataFrame) -> DataFrame:
-    """key and c of the blocks that several sets have; the others are dropped after the one shuffle of all blocks. Of
-    blocks with the same members one stays."""
-    of_key = Window.partitionBy("key")
-    shared = keys.select("key", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi")).filter("lo < hi")
+    """key and c of the blocks that several sets have. All blocks are written; their least and greatest set, which tasks first
+    find each for its own rows, tell the ones that several have, and only these are joined back, so that no task meets all
+    sets of a block. Of blocks with the same members one stays."""
+    every_key = written(keys, "nd-keys")
+    several = every_key.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    several = broadcast_if_small(written(several, "nd-several"), BROADCAST_TEXTS)
+    shared = every_key.join(several, "key", "left_semi")
     every = written(shared.select("key", "c").distinct(), "nd-shared")
     h = lambda seed: F.sum(F.xxhash64("c", F.lit(seed)).cast("decimal(38,0)"))
     blocks = every.groupBy("key").agg(F.count("*").alias("size"), h(0).alias("h1"), h(1).alias("h2"))
     once = blocks.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     members = written(every.join(once, "key", "left_semi"), "nd-members")
-    discard(every)
+    discard(every, every_key)
     return members
 
 

@@ -163,3 +163,39 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     d = spark.createDataFrame([("x" * 1000,)] * 10, "s string")
     assert "broadcast" in shared.broadcast_if_small(d, 100)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in shared.broadcast_if_small(d, 100, 5000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_pipeline_twice(spark):
+    first = corpus_pipeline.run(spark, SF)
+    rows = sorted(map(repr, first.collect()))
+    second = corpus_pipeline.run(spark, SF)
+    assert sorted(map(repr, first.collect())) == rows == sorted(map(repr, second.collect()))
+
+
+def test_mix_of_many_equal_rows(spark):
+    """All in one source, with null keys: in chunks like any other, and no row more than another's share."""
+    n = 100_000
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("one two three").alias("text"))
+    other = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("source"), F.lit("a b").alias("text"))
+    got = mixing.mix_documents(same.unionByName(other))
+    assert got.count() == n + 50
+    taken = {r.target: (r.taken, r.n) for r in got.groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()}
+    for target, (sum_taken, _) in taken.items():
+        assert abs(sum_taken - target) <= 3
+    assert got.filter("taken > 2 * size OR taken < 0").count() == 0
+    parts = mixing._told_apart(same.select(F.col("doc_id").alias("key"), "source", F.lit(3).alias("size")))
+    assert parts.select("row").distinct().count() == n
+    chunks = parts.select(F.pmod(F.xxhash64("row", F.lit(mixing.SEED)), F.lit(-(-n // mixing.CHUNK))).alias("c")).groupBy("c").count()
+    assert chunks.agg(F.max("count")).first()[0] < 2 * mixing.CHUNK
+
+
+def test_near_duplicates_in_shares_and_parts(spark, monkeypatch):
+    """Small bounds: units are contracted share by share, and large groups compared part by part, with the same links."""
+    texts = [" ".join(f"w{g}-{i}" if (i + k) % 97 else f"x{k}" for i in range(120)) for g in range(6) for k in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, texts[0])], "doc_id long, text string")
+    want = sorted(map(tuple, near_duplicates.document_components(docs, size=3, percent=80).select("doc_id", "n_shingles", "component_id").collect()))
+    assert len({w[2] for w in want}) < len(want)
+    for name, value in (("ONE_ROUND", 3), ("UNIT", 4), ("UNIT_MEMBERS", 400)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    got = sorted(map(tuple, near_duplicates.document_components(docs, size=3, percent=80).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == want
