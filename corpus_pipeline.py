@@ -14,26 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireframe.llm import host_quality, mixing, near_duplicates, packing, quality_classifier
-from quireframe.llm.shared import delete, discard, recorded, written
+from quireframe.llm.shared import delete, recorded, shared_folder, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Near duplicates share four fifths of their five-word shingles.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_before: list[str] = []
+_before: dict[str, list[str]] = {}
 
 
 def staged(stage: Stage) -> Stage:
-    """``stage``, which first deletes the intermediate tables of the stage that ran before it: its rows are written and
-    read again by then, so that nothing needs them, and disk holds those of one stage."""
+    """``stage`` for those who call the stages of ``STAGES`` one by one: as each has its rows written before the next is called,
+    it first deletes the intermediate tables of the stage before it. Those of the last stage, which its rows are read from,
+    stay. ``run`` takes the stages as they are, so that it meets no tables but its own."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _before)
+        functions = [f.__name__ for _, f in STAGES]
+        at = functions.index(stage.__name__)
+        if at:
+            delete(spark, _before.pop(functions[at - 1], []))
         with recorded() as paths:
             out = stage(spark, docs, sf_dir)
-        _before[:] = paths
+        if at + 1 < len(functions):
+            _before.setdefault(stage.__name__, []).extend(paths)
         return out
 
     return run
@@ -91,11 +96,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """All stages over the documents of ``sf_dir``. A stage's intermediate tables, and the rows of the one before, are deleted once
+    its own rows are written; those that the returned rows are read from stay until ``clean_up``. Several runs do not meet."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        if held is not None:
-            discard(held)
-        held = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recorded() as paths:
+            docs = written(stage.__wrapped__(spark, docs, sf_dir), f"stage-{name}")
+        delete(spark, held + [p for p in paths if p != docs._written_to])
+        held = [docs._written_to]
+    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder. What was returned before cannot be read afterwards."""
+    delete(spark, [shared_folder(spark)])
