@@ -151,12 +151,26 @@ def duplicated(pages: DataFrame, chosen: Column) -> DataFrame:
 
 
 def overlapping(zones: DataFrame, of: str) -> DataFrame:
-    """Pairs of zones (id, x, y, w, h) of one page that overlap by more than an edge. Zones of a page are few; the join
-    is on the page."""
-    a, b = zones.alias("a"), zones.alias("b")
+    """Pairs of zones (id, x, y, w, h) of one page that overlap by more than an edge: of, left_id and right_id, the lesser first.
+
+    A zone has a level, the power of two that its longer side does not pass, and lies in four cells of that size at most. The
+    zones of a page that are as small or smaller look it up there, so that what is joined are zones that are near each
+    other, however many a page has; a pair is told by the cell that holds the upper left corner of what both cover. A
+    zone that lacks a number meets none."""
+    z = zones.select(F.col(of).alias("of"), "id", *[F.col(c).cast("double").alias(c) for c in "xywh"]).filter("x IS NOT NULL AND y IS NOT NULL AND w >= 0 AND h >= 0")
+    z = z.withColumn("level", F.ceil(F.log2(F.greatest("w", "h", F.lit(2.0**-20)))).cast("int"))
+    cells = lambda low, size: F.explode(F.sequence(F.floor(low / F.pow(F.lit(2.0), F.col("at"))), F.floor((low + size) / F.pow(F.lit(2.0), F.col("at")))))
+    laid = lambda t: t.withColumn("i", cells(F.col("x"), F.col("w"))).withColumn("j", cells(F.col("y"), F.col("h")))
+    levels = z.groupBy("of").agg(F.collect_set("level").alias("levels"))
+    looking = z.join(levels, "of").withColumn("at", F.explode(F.filter("levels", lambda v: v >= F.col("level")))).drop("levels")
+    a, b = laid(looking).alias("a"), laid(z.withColumn("at", F.col("level"))).alias("b")
     c = lambda t, k: F.col(f"{t}.{k}")
     meet = (c("a", "x") < c("b", "x") + c("b", "w")) & (c("b", "x") < c("a", "x") + c("a", "w")) & (c("a", "y") < c("b", "y") + c("b", "h")) & (c("b", "y") < c("a", "y") + c("a", "h"))
-    return a.join(b, (c("a", of) == c("b", of)) & (c("a", "id") < c("b", "id")) & meet).select(c("a", of), c("a", "id").alias("left_id"), c("b", "id").alias("right_id"))
+    once = (c("a", "level") < c("b", "level")) & (c("a", "id") != c("b", "id")) | (c("a", "level") == c("b", "level")) & (c("a", "id") < c("b", "id"))
+    size = F.pow(F.lit(2.0), c("a", "at"))
+    here = (F.floor(F.greatest(c("a", "x"), c("b", "x")) / size) == c("a", "i")) & (F.floor(F.greatest(c("a", "y"), c("b", "y")) / size) == c("a", "j"))
+    same = [c("a", k) == c("b", k) for k in ("of", "at", "i", "j")]
+    return a.join(b, reduce(Column.__and__, [*same, meet, once, here])).select(c("a", "of").alias(of), F.least(c("a", "id"), c("b", "id")).alias("left_id"), F.greatest(c("a", "id"), c("b", "id")).alias("right_id"))
 
 
 def tree_parents(rows: DataFrame, of: str, order: str, depth: str) -> DataFrame:

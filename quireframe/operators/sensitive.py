@@ -17,8 +17,8 @@ EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 EMAIL = EDGE + X.EMAIL + EDGE
 PHONE = r"(?<![A-Za-z0-9_])(?:\+?[0-9][0-9 .()\-]{6,}[0-9])(?![A-Za-z0-9_])"
 CARD = r"(?<![0-9])(?:[0-9][ -]?){13,19}(?![0-9])"
-SSN = EDGE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + EDGE
-US_PHONE = EDGE + "[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}" + EDGE
+SSN = X.EDGES[0] + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + X.EDGES[1]
+US_PHONE = X.EDGES[0] + "[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}" + X.EDGES[1]
 PHONE_DIGITS = 15
 #: Matches of a report, and findings of a kind, at most.
 MATCHES, FINDINGS = 500, 50

@@ -27,7 +27,7 @@ def line_roles(docs: DataFrame, most: int = ROLE_LINES) -> DataFrame:
     P."""
     each = docs.select("doc_id", F.posexplode(F.slice(_lines(F.col("text"), trim=False), 1, most)).alias("i", "line"))
     line = F.col("line")
-    role = F.when((F.col("i") == 0) & line.rlike(rf"(?i)^(?:#{{1,6}}\s|(?:chapter|section|part){EDGE})"), "H1").when(line.rlike(r"^\s*[-*•]\s"), "LBody").when(line.rlike(r"^[0-9]+[.)]\s"), "LBody")
+    role = F.when((F.col("i") == 0) & line.rlike(rf"(?i)^(?:#{{1,6}}\s|(?:chapter|section|part){X.EDGES[1]})"), "H1").when(line.rlike(r"^\s*[-*•]\s"), "LBody").when(line.rlike(r"^[0-9]+[.)]\s"), "LBody")
     role = role.when((F.length(line) < 48) & line.rlike("^[A-Z]") & ~line.rlike("[.!?]$"), "H2").otherwise("P")
     return each.select("doc_id", (F.col("i") + 1).alias("order"), role.alias("role"), F.substring(line, 1, 200).alias("text"))
 
@@ -44,11 +44,13 @@ def bookmarks(docs: DataFrame, most: int = BOOKMARKS) -> DataFrame:
     or number signs, and short ones of letters, digits and blanks alone. Without any, the best sentence's first 80
     characters. A text without sentences has none."""
     X.ship_code(docs.sparkSession)
-    like = rf"(?i)^(?:chapter{EDGE}|section{EDGE}|#{{1,6}}\s|[A-Z][A-Z0-9 ]{{0,40}}$)"
+    like = rf"(?i)^(?:chapter{X.EDGES[1]}|section{X.EDGES[1]}|#{{1,6}}\s|[A-Z][A-Z0-9 ]{{0,40}}$)"
     titles = F.slice(F.filter(_lines(F.col("text")), lambda x: x.rlike(like)), 1, most)
-    best = F.get(X.sentence_array(F.col("text")), F.get(X.summary_places(F.col("text"), 1), 0))
-    found = F.when(F.size(titles) > 0, titles).otherwise(F.array_compact(F.array(F.substring(best, 1, 80))))
-    each = docs.select("doc_id", F.posexplode(found).alias("i", "title"))
+    # Sentences are made of the texts without headings only.
+    each = docs.select("doc_id", "text", titles.alias("t")).select("doc_id", "t", X.sentence_array(F.when(F.size("t") == 0, F.col("text"))).alias("s"))
+    best = F.get("s", F.get("p", 0))
+    found = F.when(F.size("t") > 0, F.col("t")).otherwise(F.array_compact(F.array(F.substring(best, 1, 80))))
+    each = each.withColumn("p", X.summary_places(F.col("s"), 1)).select("doc_id", F.posexplode(found).alias("i", "title"))
     return each.select("doc_id", (F.col("i") + 1).alias("ordinal"), "title")
 
 
@@ -88,8 +90,8 @@ def accessibility_cues(docs: DataFrame) -> DataFrame:
     """doc_id and cue: no word of language, no word of headings or titles, places of images."""
     t = F.col("text")
     cues = F.array(
-        F.when(~t.rlike(rf"(?i){EDGE}lang(?:uage)?{EDGE}"), "missing-language-cue"),
-        F.when(~t.rlike(rf"(?im)^#|{EDGE}heading{EDGE}|{EDGE}title{EDGE}"), "missing-heading-cue"),
+        F.when(~t.rlike(rf"(?i){X.EDGES[0]}lang(?:uage)?{X.EDGES[1]}"), "missing-language-cue"),
+        F.when(~t.rlike(rf"(?im)^#|{X.EDGES[0]}(?:heading|title){X.EDGES[1]}"), "missing-heading-cue"),
         F.when(t.rlike(r"(?i)\[image\]|\[figure\]"), "image-placeholders"),
     )
     return docs.select("doc_id", F.explode(F.array_compact(cues)).alias("cue"))
@@ -167,13 +169,14 @@ def snippets(matches: DataFrame, pages: DataFrame, context: int) -> DataFrame:
 
 def citations(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """The best sentence of each document for each claim (claim_id and claim; few, their number is checked): doc_id,
-    claim_id, quote and confidence. Claims are put to a document one by one, so that its text is read once."""
+    claim_id, quote and confidence. A text is split into sentences and tokens once, and all claims are put to them."""
     rows = claims.select("claim_id", "claim").limit(65).collect()
     if len(rows) > 64:
         raise ValueError("at most 64 claims")
-    answers = F.array(*[F.struct(F.lit(r["claim_id"]).alias("claim_id"), X.best_answer(F.col("text"), r["claim"]).alias("a")) for r in rows])
-    each = docs.select("doc_id", F.explode(answers).alias("c"))
-    return each.select("doc_id", "c.claim_id", F.col("c.a.answer").alias("quote"), F.col("c.a.confidence").alias("confidence"))
+    best = F.array(*[F.struct(F.lit(r["claim_id"]).alias("claim_id"), X.best_sentence(F.col("s"), F.col("t"), r["claim"]).alias("b"), F.lit(float(len(X.question_terms(r["claim"])))).alias("n")) for r in rows])
+    each = X.with_sentences(docs).select("doc_id", F.explode(best).alias("c")).select("doc_id", "c.*")
+    hit = F.coalesce(F.col("b.score") > 0, F.lit(False))
+    return each.select("doc_id", "claim_id", F.when(hit, F.col("b.s")).alias("quote"), F.when(hit, F.least(F.lit(1.0), F.col("b.score") / F.col("n"))).otherwise(0.0).alias("confidence"))
 
 
 def replaced(text: Column, find: str, by: str) -> Column:

@@ -158,29 +158,27 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("idx", "sentence"))
 
 
-def summary_places(text: Column, n: int) -> Column:
-    """Places (from 0, rising) of the ``n`` sentences of a text whose terms are most frequent on average, the first of
-    equals. Stop words do not count; terms of fewer than three letters count as never occurring."""
+def summary_places(parts: Column, n: int) -> Column:
+    """Places (from 0, rising) of the ``n`` sentences, of ``parts``, whose terms are most frequent in all of them on average, the
+    first of equals. Stop words do not count; terms of fewer than three letters count as never occurring."""
     stop = frozenset(STOP_WORDS)
 
-    def pick(texts: pa.Array, parts: pa.Array) -> pa.Array:
+    def pick(parts: pa.Array) -> pa.Array:
         out = []
-        for t, sents in zip(texts.to_pylist(), parts.to_pylist(), strict=True):
-            tf = Counter(w for w in (t or "").split() if len(w) >= 3 and w not in stop)
-            scores = []
-            for s in sents or []:
-                words = [w for w in s.split() if w not in stop]
-                scores.append(round(sum(tf[w] for w in words) / len(words), 9) if words else 0.0)
+        for sents in parts.to_pylist():
+            words = [[w for w in s.split() if w not in stop] for s in sents or []]
+            tf = Counter(w for own in words for w in own if len(w) >= 3)
+            scores = [round(sum(tf[w] for w in own) / len(own), 9) if own else 0.0 for own in words]
             out.append(sorted(sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:n]))
         return pa.array(out, pa.list_(pa.int32()))
 
-    return F.arrow_udf(pick, T.ArrayType(T.IntegerType()))(_plain(text), F.transform(sentence_array(text), _plain))
+    return F.arrow_udf(pick, T.ArrayType(T.IntegerType()))(F.transform(parts, _plain))
 
 
 def summary(docs: DataFrame, n: int) -> DataFrame:
     """The ``n`` best sentences of each document in their order: doc_id, idx, sentence. No shuffle."""
     ship_code(docs.sparkSession)
-    each = docs.select("doc_id", sentence_array(F.col("text")).alias("s"), summary_places(F.col("text"), n).alias("p"))
+    each = docs.select("doc_id", sentence_array(F.col("text")).alias("s")).withColumn("p", summary_places(F.col("s"), n))
     return each.select("doc_id", "s", F.explode("p").alias("idx")).select("doc_id", "idx", F.get("s", F.col("idx")).alias("sentence"))
 
 
@@ -192,19 +190,32 @@ def question_terms(question: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def best_answer(text: Column, question: str) -> Column:
-    """The sentence of a text in which most tokens are terms of the question, the first of equals, and the confidence:
-    their share of the question's terms, 1 at most. No such sentence: null and 0."""
+def best_sentence(parts: Column, terms: Column, question: str) -> Column:
+    """score, less (the place, negated) and s of the sentence of ``parts`` in which most tokens (``terms``: those of each) are
+    terms of the question, the first of equals."""
     q = question_terms(question)
-    scored = F.transform(sentence_array(text), lambda s, i: F.struct(F.size(F.filter(tokens(s), lambda t: t.isin(*q))).alias("score"), (-i).alias("less"), s.alias("s")))
-    best = F.array_max(scored)
+    # Zipped before, as what a lambda refers to from outside could be made anew for each sentence.
+    both = F.arrays_zip(parts.alias("s"), terms.alias("t"))
+    return F.array_max(F.transform(both, lambda x, i: F.struct(F.size(F.filter(x["t"], lambda t: t.isin(*q))).alias("score"), (-i).alias("less"), x["s"].alias("s"))))
+
+
+def answer_of(best: Column, question: str) -> Column:
+    """The sentence that ``best_sentence`` gives and the confidence: the share of the question's terms, 1 at most. Without a
+    sentence that has a term: null and 0."""
     hit = F.coalesce(best["score"] > 0, F.lit(False))
-    return F.struct(F.when(hit, best["s"]).alias("answer"), F.when(hit, F.least(F.lit(1.0), best["score"] / F.lit(float(len(q))))).otherwise(0.0).alias("confidence"))
+    n = float(len(question_terms(question)))
+    return F.struct(F.when(hit, best["s"]).alias("answer"), F.when(hit, F.least(F.lit(1.0), best["score"] / F.lit(n))).otherwise(0.0).alias("confidence"))
+
+
+def with_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, s (sentences) and t (the tokens of each), columns of their own, so that a text is split once whatever is asked."""
+    return docs.select("doc_id", sentence_array(F.col("text")).alias("s")).withColumn("t", F.transform("s", tokens))
 
 
 def ask(docs: DataFrame, question: str) -> DataFrame:
     """doc_id, answer and confidence: a row for every document."""
-    return docs.select("doc_id", best_answer(F.col("text"), question).alias("a")).select("doc_id", "a.*")
+    best = with_sentences(docs).select("doc_id", best_sentence(F.col("s"), F.col("t"), question).alias("b"))
+    return best.select("doc_id", answer_of(F.col("b"), question).alias("a")).select("doc_id", "a.*")
 
 
 def distinct_values(text: Column, pattern: str, most: int = LISTED) -> Column:
@@ -248,9 +259,8 @@ def unknown_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 def spelling_findings(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
     """A row per word of a page that ``dictionary`` (word, folded) has not: doc_id, page, offset (from 0), length and the
     word's SHA-256. Frequent words of the dictionary are the smaller side of the anti-join."""
-    found = match_rows(pages, WORD)
-    each = found.select("doc_id", "page", F.col("start").alias("offset"), F.length("match").alias("length"), F.sha2("match", 256).alias("digest"), F.lower("match").alias("word"))
-    return each.join(dictionary.select("word").distinct(), "word", "left_anti").drop("word")
+    found = match_rows(pages, WORD).withColumn("word", F.lower("match")).join(dictionary.select("word").distinct(), "word", "left_anti")
+    return found.select("doc_id", "page", F.col("start").alias("offset"), F.length("match").alias("length"), F.sha2("match", 256).alias("digest"))
 
 
 #: What is done to markup in turn: pattern and replacement.
