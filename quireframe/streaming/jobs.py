@@ -110,6 +110,40 @@ def job_states_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job").applyInPandasWithState(step, f"job {kind}, at long, seq long, action string, {JOB}", "status string, attempts int, expires long, not_before long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def job_states_timed(events: DataFrame, late: str = "1 minute") -> DataFrame:
+    """``job_states_stream`` with leases that end by themselves: once the events of any jobs have come so far (``late`` is how much
+    later one may come) that a lease is over, its job goes back to pending, or fails where its attempts are used up, and a row
+    of action expire, at the lease's end and with seq null, tells so. No further event of the job is needed. The state of a
+    job that came to an end is dropped a day of event time later."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(None if v == "" or v == -1 else v for v in state.get) if state.exists else NO_JOB
+        out = []
+        if state.hasTimedOut:
+            if now[0] in TERMINAL:
+                state.remove()
+                return
+            at = now[2]
+            now, (*made, _) = job_step(now, {"at": at, "action": "expire"})
+            out.append((key[0], int(at), None, "expire", *made, True))
+        else:
+            for rows in batches:
+                for r in rows.sort_values(["at", "seq"]).to_dict("records"):
+                    now, made = job_step(now, r)
+                    out.append((key[0], int(r["at"]), int(r["seq"]), r["action"], *made))
+        state.update(tuple(-1 if v is None else v for v in now))
+        mark = state.getCurrentWatermarkMs()
+        if now[0] == "running":
+            state.setTimeoutTimestamp(max(int(now[2]), mark + 1))
+        elif now[0] in TERMINAL:
+            state.setTimeoutTimestamp(mark + 86_400_000)
+        yield pd.DataFrame(out, columns=["job", "at", "seq", "action", "status", "attempts", "expires", "not_before", "accepted"]).astype({"seq": "Int64", "expires": "Int64", "not_before": "Int64"})
+
+    kind = events.schema["job"].dataType.simpleString()
+    timed = events.withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", late)
+    return timed.groupBy("job").applyInPandasWithState(step, f"job {kind}, at long, seq long, action string, {JOB}", "status string, attempts int, expires long, not_before long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def schedule_ticks(ticks: DataFrame, grace: int = GRACE_MS, most: int = RUNS) -> DataFrame:
     """Ticks (schedule, now, first_at, interval_ms; a null interval runs once) with what each schedule does at them: due,
     scheduled_at (late by more than ``grace``, it jumps to the last moment that was missed), occurrence (its key), and next_at
@@ -226,6 +260,20 @@ def append_once(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once_within(rows: DataFrame, key: str, at: str, late: str) -> DataFrame:
+    """``rows`` with each key once. On a stream the first row of a key is taken, and its repeats are told as long as they come
+    no later than ``late`` after it in the time of ``at``, so that what is held is bounded by that; a repeat that is later still
+    is a row of its own. On a batch all repeats are told. Which of rows of one moment is taken is open."""
+    if rows.isStreaming:
+        return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return rows.dropDuplicates([key])
+
+
+def append_within(stream: DataFrame, path: str, key: str, at: str, late: str, checkpoint: str):
+    """Write a stream's rows to a table at ``path``, each key once by ``once_within``; nothing of the table is read again."""
+    return once_within(stream, key, at, late).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_manifest(events: DataFrame, of: str) -> DataFrame:
     """One line of JSON for each watch or batch: its events by status and whether all were done well."""
     each = events.groupBy(of).agg(F.count("*").alias("events"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))

@@ -1,5 +1,6 @@
 """Operators beyond SQL, or at their edges: against brute force, round trips and recorded values."""
 
+import datetime
 import hashlib
 import itertools
 import json
@@ -14,7 +15,7 @@ from quireframe import registry
 from quireframe.functions import bounded, measures, rasters, values
 from quireframe.operators import diff, exports, graph, records, review, rules, sensitive, structure
 from quireframe.operators import text as X
-from quireframe.sources import files, tool_output
+from quireframe.sources import files, office, tool_output
 from quireframe.streaming import jobs
 
 
@@ -234,6 +235,68 @@ def test_jobs_as_batch_and_stream(spark, tmp_path):
     assert [(r.status, r.accepted) for r in sorted(spark.table("jobs").collect(), key=key)] == WANT
 
 
+def test_lease_ends_without_an_event(spark, tmp_path):
+    schema = "job string, at long, seq long, action string, lease_ms long, transient boolean, delay_ms long"
+    event = lambda job, at, action: (job, base + at, at, action, 1_000, True, 0)
+    base = 1_700_000_000_000  # a stream begins with a watermark at the epoch
+    parts = [
+        [event("a", 0, "enqueue"), event("a", 10, "claim"), event("b", 0, "enqueue"), event("b", 10, "claim"), event("b", 500, "complete")],
+        [event("other", 600_000, "enqueue")],
+        [event("a", 600_001, "claim"), event("other", 1_200_000, "cancel")],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = jobs.job_states_timed(stream, "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted(((r.job, r.at - base, r.action, r.status, r.attempts) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert [g for g in got if g[0] == "a"] == [("a", 0, "enqueue", "pending", 0), ("a", 10, "claim", "running", 1), ("a", 1_010, "expire", "pending", 1), ("a", 600_001, "claim", "running", 2), ("a", 601_001, "expire", "pending", 2)]
+    assert [g[2] for g in got if g[0] == "b"] == ["enqueue", "claim", "complete"]
+
+
+def test_once_within(spark, tmp_path):
+    schema = "id string, at timestamp, n int"
+    t = lambda minute: datetime.datetime(2026, 1, 1, 0, minute)
+    parts = [[("a", t(0), 1), ("b", t(1), 1), ("a", t(1), 2)], [("b", t(2), 3), ("c", t(3), 3)], [("d", t(40), 4)], [("e", t(41), 5), ("d", t(42), 5)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.append_within(stream, str(tmp_path / "log"), "id", "at", "10 minutes", str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect())
+    batch = spark.createDataFrame([r for p in parts for r in p], schema)
+    assert got == sorted(r.id for r in jobs.once_within(batch, "id", "at", "10 minutes").collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_office_format(spark, tmp_path):
+    office.register(spark)
+    texts = {i: f"first & <{i}>\nsecond é\tx" for i in range(25)} | {99: ""}
+    rows = spark.createDataFrame(list(texts.items()), "key int, text string").repartition(3)
+    for kind in ("docx", "xlsx"):
+        at = str(tmp_path / kind)
+        rows.write.format("office").mode("append").option("kind", kind).save(at)
+        read = spark.read.format("office").option("partition_bytes", 3_000).load(at)
+        assert {int(re.search(r"(\d+)\.", r.path)[1]): r.text for r in read.collect()} == texts
+        assert read.rdd.getNumPartitions() > 3
+        assert spark.read.format("office").option("contents", "false").load(at).filter("text IS NULL AND size > 0").count() == 26
+        assert json.loads((tmp_path / kind / "_manifest.json").read_text())["files"] == 26
+    for bad in ([(1, "a"), (1, "b")], [(2, "a"), (None, "b")]):
+        with pytest.raises(Exception, match="key"):
+            spark.createDataFrame(bad, "key int, text string").repartition(2).write.format("office").mode("append").save(str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists() or list((tmp_path / "bad").rglob("*.docx")) == []
+
+
+def test_zone_overlaps(spark):
+    r = random.Random(8)
+    rows = [(p, i, r.uniform(-50, 50), r.uniform(-50, 50), r.choice([0.0, 0.1, 1.0, 30.0, 500.0]) * r.random(), r.choice([0.0, 2.0, 40.0]) * r.random()) for p in range(3) for i in range(60)]
+    rows += [(0, 60, None, 1.0, 1.0, 1.0), (None, 1, 0.0, 0.0, 1.0, 1.0), (1, 61, 0.0, 0.0, 4.0, 4.0), (1, 62, 4.0, 0.0, 4.0, 4.0), (1, 63, 2.0, 2.0, 0.0, 0.0)]
+    got = sorted(map(tuple, records.overlapping(spark.createDataFrame(rows, "page int, id int, x double, y double, w double, h double"), "page").collect()))
+    full = [z for z in rows if None not in z]
+    assert got == sorted((a[0], a[1], b[1]) for a in full for b in full if a[0] == b[0] and a[1] < b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5])
+    many = spark.range(100_000).select(F.lit(1).alias("page"), F.col("id"), (F.col("id") % 400 * 10).cast("double").alias("x"), F.floor(F.col("id") / 400 * 1.0).cast("double").alias("row")).withColumn("y", F.floor("row") * 10.0)
+    many = many.select("page", "id", "x", "y", F.lit(10.5).alias("w"), F.lit(9.0).alias("h"))
+    assert records.overlapping(many, "page").count() == 250 * 399
+
+
 def test_append_once(spark, tmp_path):
     for part in ([("a", 1), ("b", 1), ("a", 2)], [("b", 3), ("c", 3)]):
         spark.createDataFrame(part, "id string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
