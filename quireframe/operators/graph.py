@@ -1,5 +1,5 @@
-"""Graphs and hierarchies: reachability, inheritance along trees, dependency order. Each level of a graph is one join; what was
-seen is kept apart, so that a cycle ends."""
+"""Graphs and hierarchies: reachability, inheritance along trees, dependency order. Trees take as many joins as the logarithm of their
+depth; other graphs one a level, and what was seen is kept apart, so that a cycle ends."""
 
 from __future__ import annotations
 
@@ -41,31 +41,25 @@ def inherited(nodes: DataFrame, columns: list[str], total: str | None = None) ->
     With ``total``, a column of declared numbers of leaves, ``declared`` tells whether a node that is no leaf has so many.
     """
     own = checkpointed(nodes.select("node", "parent", *columns, *([total] if total else [])))
-    level = checkpointed(own.filter("parent IS NULL").select("node", "parent", *columns, F.lit(0).alias("depth"), F.col("node").alias("root"), *([total] if total else [])))
-    levels = [level]
-    rest = own.filter("parent IS NOT NULL AND parent != node")
-    while level.limit(1).count():
-        above = level.select(F.col("node").alias("parent"), *[F.col(c).alias(f"_{c}") for c in columns], "depth", "root")
-        below = rest.join(above, "parent").select("node", "parent", *[F.coalesce(c, f"_{c}").alias(c) for c in columns], (F.col("depth") + 1).alias("depth"), "root", *([total] if total else []))
-        level = checkpointed(below)
-        levels.append(level)
-    out = reduce(DataFrame.unionByName, levels)
     parents = own.select(F.col("parent").alias("node")).filter("node IS NOT NULL").distinct().withColumn("_inner", F.lit(True))
-    out = out.join(parents, "node", "left").withColumn("leaf", F.col("_inner").isNull()).drop("_inner")
+    top = F.col("parent").isNull()
+    state = own.join(parents, "node", "left").withColumns({"leaf": F.col("_inner").isNull(), "at": F.col("parent"), "depth": F.when(top, 0).otherwise(1), "root": F.when(top, F.col("node"))}).drop("_inner")
+    state = checkpointed(state.withColumn("leaves", F.col("leaf").cast("long")))
+    # A node knows what it meets on its first so many edges upwards, and the node there; each round joins it with what that one
+    # knows and so doubles the edges. Those that meet no root in a round in which none met one meet none at all.
+    edges, before = 1, None
+    while (open_ := state.filter("root IS NULL AND at IS NOT NULL").count()) not in (0, before):
+        before = open_
+        above = state.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("root").alias("_root"), *[F.col(c).alias(f"_{c}") for c in columns])
+        below = state.filter("at IS NOT NULL").groupBy(F.col("at").alias("node")).agg(F.sum("leaves").alias("_leaves"))
+        kept = [c for c in state.columns if c not in ("at", "depth", "root", "leaves", *columns)]
+        joined = state.join(above, "at", "left").join(below, "node", "left")
+        state = checkpointed(joined.select(*kept, *[F.coalesce(c, f"_{c}").alias(c) for c in columns], F.col("_at").alias("at"), F.when(F.col("at").isNull(), F.col("depth")).otherwise(F.lit(edges) + F.col("_depth")).alias("depth"), F.coalesce("root", "_root").alias("root"), (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("leaves")))
+        edges *= 2
+    out = state.filter("root IS NOT NULL").select("node", "parent", *columns, F.col("depth").cast("int").alias("depth"), "root", *([total] if total else []), "leaf", "leaves")
     if not total:
-        return out
-    # Leaves are counted upwards, a level at a time, so that each row meets its parent only.
-    out = checkpointed(out)
-    counts = None
-    for depth in range(len(levels) - 1, -1, -1):
-        here = out.filter(F.col("depth") == depth).select("node", "parent", F.col("leaf").cast("long").alias("n"))
-        if counts is not None:
-            here = here.join(counts, "node", "left").select("node", "parent", (F.col("n") + F.coalesce("below", F.lit(0))).alias("n"))
-        here = checkpointed(here)
-        counts = here.groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("below"))
-        levels[depth] = here.select("node", F.col("n").alias("leaves"))
-    leaves = reduce(DataFrame.unionByName, levels)
-    return out.join(leaves, "node").withColumn("declared", F.col("leaf") | F.col(total).eqNullSafe(F.col("leaves"))).drop(total)
+        return out.drop("leaves")
+    return out.withColumn("declared", F.col("leaf") | F.col(total).eqNullSafe(F.col("leaves"))).drop(total)
 
 
 def dependency_order(nodes: DataFrame, needs: DataFrame) -> DataFrame:

@@ -196,6 +196,11 @@ def regions_present(regions: DataFrame, pages: DataFrame, of: str) -> DataFrame:
 
 
 def common_terms(docs: DataFrame, most: int = 30) -> DataFrame:
-    """The ``most`` terms that most documents share, two at least: rank, term and documents; ties by the terms' letters."""
-    shared = X.document_frequency(docs).orderBy(F.desc("df"), "term").limit(most)
-    return shared.select(F.row_number().over(Window.orderBy(F.desc("df"), "term")).alias("rank"), "term", F.col("df").alias("documents"))
+    """The ``most`` terms that most documents share, two at least: rank, term and documents; of equals the one that occurs first, by
+    document and place in it."""
+    X.ship_code(docs.sparkSession)
+    t = X.term_frequency(docs).filter(F.length("term") > 3)
+    shared = t.groupBy("term").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "first_pos")).alias("first")).filter("df >= 2")
+    order = [F.desc("df"), "first", "term"]
+    best = shared.orderBy(*order).limit(most)
+    return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "term", F.col("df").alias("documents"))

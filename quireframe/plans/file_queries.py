@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quireframe.functions import rasters as W
 from quireframe.plans.queries import _t, query
-from quireframe.session import ship_to_active
+from quireframe.session import shared_folder, ship_to_active
 from quireframe.sources import files as Z
+from quireframe.sources import office
 
 
 def _raster(width: int, height: int, *pixels: tuple) -> Column:
@@ -147,3 +149,14 @@ def bundle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.expr("substring(b, 1, length(b) - 1)")
     data = F.when(k == 1, F.concat(one("00"), F.col("b"))).when(k == 2, cut).when(k == 3, F.concat(F.col("b"), one("00"))).when(k == 4, F.concat(cut, one("00"))).otherwise(F.col("b"))
     return rows.select("p_partkey", Z.bundles(data)["status"].alias("status"))
+
+
+@query("SELECT p_partkey, p_name || chr(10) || p_type || chr(10) || p_brand AS text FROM part")
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text document of each part, written as files and read back as a format."""
+    office.register(spark)
+    at = f"{shared_folder(spark)}/office-{uuid.uuid4().hex[:12]}"
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat_ws("\n", "p_name", "p_type", "p_brand").alias("text"))
+    part.write.format("office").mode("append").option("kind", "docx").save(at)
+    read = spark.read.format("office").load(at)
+    return read.select(F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long").alias("p_partkey"), "text")

@@ -180,7 +180,8 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.citations(_docs(spark, sf_dir), claims)
 
 
-@query(f"WITH {_TERMS}, f AS (SELECT term, count(DISTINCT doc_id) AS documents FROM terms WHERE length(term) > 3 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2), r AS (SELECT *, row_number() OVER (ORDER BY documents DESC, term) AS rank FROM f) SELECT rank::INT AS rank, term, documents FROM r WHERE rank <= 30")
+# A term's first place is that of its first occurrence among all tokens of the first document that has it.
+@query(f"WITH {_TERMS}, g AS (SELECT term, doc_id, min(pos) AS pos FROM terms WHERE length(term) > 3 GROUP BY 1, 2), f AS (SELECT term, count(*) AS documents, min(doc_id) AS doc, arg_min(pos, doc_id) AS pos FROM g GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (ORDER BY documents DESC, doc, pos, term) AS rank FROM f) SELECT rank::INT AS rank, term, documents FROM r WHERE rank <= 30")
 def common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.common_terms(_docs(spark, sf_dir))
 

@@ -43,3 +43,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quireframe-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application in the one that ``spark.checkpoint.dir`` names; where a session names none, one is made if
+    driver and executors are one process, and on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quireframe-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named}/quireframe-{spark.sparkContext.applicationId}"

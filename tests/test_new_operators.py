@@ -338,3 +338,31 @@ def test_text_pages(spark):
     assert sorted((r.doc_id, r.page, r.text) for r in tool_output.text_pages(o).collect()) == [(1, 1, "a \nb"), (1, 2, ""), (1, 3, "c")]
     assert sorted((r.page, r.text) for r in tool_output.text_pages(o, F.lit(2)).filter("doc_id = 1").collect()) == [(1, "a \nb"), (2, "")]
     assert json.loads(values.canonical_json({"a": 1.25})) == {"a": 1.25}
+
+
+def test_long_trees(spark):
+    """A chain of 10,000, a tree by brute force, cycles and lost parents."""
+    chain = spark.range(10_000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.when(F.col("id") % 1_000 == 0, F.col("id")).alias("v"), F.lit(1).alias("total"))
+    began = time.time()
+    got = {r.node: r for r in graph.inherited(chain, ["v"], "total").collect()}
+    assert time.time() - began < 90 and len(got) == 10_000
+    assert all((r.depth, r.root, r.v, r.leaf, r.declared) == (n, 0, n // 1_000 * 1_000, n == 9_999, True) for n, r in got.items())
+    r = random.Random(6)
+    parent = {0: None, 1: None} | {n: r.randrange(n) for n in range(2, 150)} | {200: 201, 201: 202, 202: 200, 203: 200, 204: 204, 205: 999}
+    value = {n: r.choice([None, n]) for n in parent}
+    under = {n: 0 for n in parent}
+    for n in range(150):
+        if n not in parent.values():
+            at = n
+            while at is not None:
+                under[at] += 1
+                at = parent[at]
+    rows = [(n, p, value[n], under[n] if n % 3 else -1) for n, p in parent.items()]
+    got = {r.node: r for r in graph.inherited(spark.createDataFrame(rows, "node int, parent int, v int, total int"), ["v"], "total").collect()}
+    assert sorted(got) == list(range(150))
+    for n, g in got.items():
+        path = [n]
+        while parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        leaf = n not in parent.values()
+        assert (g.depth, g.root, g.v, g.leaf, g.declared) == (len(path) - 1, path[-1], next((value[x] for x in path if value[x] is not None), None), leaf, leaf or n % 3 > 0)
