@@ -148,6 +148,9 @@ def ink_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.ink_coverage(printed(spark, sf_dir, ["'GPL Ghostscript 10'", "'Page 1'", "' 0.25000  0.5  0.0  1 CMYK OK'", second]))
 
 
-@query("SELECT p_partkey AS doc_id, unnest(['eng', 'chi_sim']) AS language FROM part")
+_LINES = ["'List of available languages (2):'", "p_brand || ' '", "' ' || split_part(lower(p_name), ' ', 1) || ' '", "lower(replace(p_type, ' ', '_'))", "p_name"]
+
+
+@query(f"SELECT p_partkey AS doc_id, language FROM (SELECT p_partkey, trim(unnest([{', '.join(_LINES)}])) AS language FROM part) WHERE regexp_matches(language, '^[a-z0-9_]+$')")
 def recognizer_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.languages(printed(spark, sf_dir, ["'List of available languages (2):'", "'eng '", "'chi_sim'", "'Not-one'"]))
+    return O.languages(printed(spark, sf_dir, _LINES))

@@ -44,14 +44,30 @@ def measured_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", F.round(si, 9).alias("si"), F.round(V.displayed(si, unit), 9).alias("shown"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'self-intersecting' WHEN 1 THEN 'degenerate' WHEN 2 THEN 'degenerate' END AS fault FROM part")
+def _turn_sql(a: str, b: str, c: str) -> str:
+    return f"sign(({b}y - {a}y) * ({c}x - {b}x) - ({b}x - {a}x) * ({c}y - {b}y))"
+
+
+def _on_sql(a: str, b: str, c: str) -> str:
+    """Whether b, which lies on the line through a and c, lies between them."""
+    return f"({_turn_sql(a, c, b)} = 0 AND {b}x BETWEEN least({a}x, {c}x) AND greatest({a}x, {c}x) AND {b}y BETWEEN least({a}y, {c}y) AND greatest({a}y, {c}y))"
+
+
+_MEET_SQL = f"({_turn_sql('u.p', 'u.q', 'v.p')} <> {_turn_sql('u.p', 'u.q', 'v.q')} AND {_turn_sql('v.p', 'v.q', 'u.p')} <> {_turn_sql('v.p', 'v.q', 'u.q')}) OR {_on_sql('u.p', 'v.p', 'u.q')} OR {_on_sql('u.p', 'v.q', 'u.q')} OR {_on_sql('v.p', 'u.p', 'v.q')} OR {_on_sql('v.p', 'u.q', 'v.q')}"
+_CORNER = "floor(l_quantity / 10)::DOUBLE AS x, (l_partkey % 5 * (l_orderkey % 3))::DOUBLE AS y"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, x, y, lag(x) OVER w = x AND lag(y) OVER w = y AS again FROM (SELECT l_orderkey, l_linenumber, {_CORNER} FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y)),
+s AS (SELECT a.l_orderkey, a.i, a.n, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND b.i = (a.i + 1) % a.n),
+c AS (SELECT DISTINCT u.l_orderkey FROM s u JOIN s v ON u.l_orderkey = v.l_orderkey AND v.i > u.i + 1 AND (v.i + 1) % u.n <> u.i WHERE {_MEET_SQL}),
+f AS (SELECT l_orderkey, count(DISTINCT (x, y)) < 3 OR coalesce(bool_or(again), false) AS few FROM p GROUP BY 1), a AS (SELECT l_orderkey, abs(sum(px * qy - qx * py)) / 2 AS area FROM s GROUP BY 1)
+SELECT f.l_orderkey, CASE WHEN few THEN 'degenerate' WHEN c.l_orderkey IS NOT NULL THEN 'self-intersecting' WHEN area <= 1e-9 THEN 'degenerate' END AS fault FROM f JOIN a USING (l_orderkey) LEFT JOIN c USING (l_orderkey)""")
 def polygon_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bow ties, points on a line, points that repeat, and rectangles."""
-    k, w, h, zero = F.col("p_partkey") % 4, F.col("p_size"), F.lit(7), F.lit(0)
-    tie, line = _points((zero, zero), (w, h), (w, zero), (zero, h)), _points((zero, zero), (w, zero), (w * 2, zero))
-    twice, square = _points((zero, zero), (zero, zero), (w, zero), (w, h)), _points((zero, zero), (w, zero), (w, h), (zero, h))
-    rows = _t(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, tie).when(k == 1, line).when(k == 2, twice).otherwise(square).alias("p"))
-    return rows.select("p_partkey", V.polygon_fault(F.col("p")).alias("fault"))
+    """Orders as polygons with a corner for each line, on a coarse grid, so that corners repeat, lie on a line and sides cross."""
+    corner = F.struct("l_linenumber", F.floor(F.col("l_quantity") / 10).cast("double").alias("x"), (F.col("l_partkey") % 5 * (F.col("l_orderkey") % 3)).cast("double").alias("y"))
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(corner)).alias("p"))
+    rows = rows.withColumn("p", F.transform("p", lambda c: F.struct(c["x"], c["y"])))
+    return rows.select("l_orderkey", V.polygon_fault(F.col("p")).alias("fault"))
 
 
 @query("""WITH e AS (SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, a.l_quantity AS ax, 10 - a.l_linenumber AS ay, b.l_quantity AS bx, b.l_linenumber * 2 AS by_ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
-from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -62,7 +61,10 @@ def _zipped(parts: dict[str, str]) -> bytes:
 MAKERS = {"docx": docx, "xlsx": xlsx}
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
+def _at(path: str) -> tuple:
+    """The file system of a path and the place in it. Its module is loaded where files are touched only, as it starts threads."""
+    from pyarrow import fs
+
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -97,8 +99,10 @@ class _Reader(DataSourceReader):
         self.contents = str(options.get("contents", "true")).lower() == "true"
 
     def partitions(self) -> list[_Files]:
+        from pyarrow.fs import FileSelector
+
         where, root = _at(self.path)
-        listed = sorted((f.path, f.size) for f in where.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and not any(x.startswith(("_", ".")) for x in f.path[len(root) :].split("/")))
+        listed = sorted((f.path, f.size) for f in where.get_file_info(FileSelector(root, recursive=True)) if f.is_file and not any(x.startswith(("_", ".")) for x in f.path[len(root) :].split("/")))
         out, held, total = [], [], 0
         for path, size in listed:
             if held and total + size > self.most:
@@ -167,7 +171,7 @@ class _Writer(DataSourceWriter):
 
     def _clear(self) -> None:
         where, root = _at(self.path)
-        if where.get_file_info(f"{root}/{self.aside}").type == fs.FileType.Directory:
+        if where.get_file_info(f"{root}/{self.aside}").type.name == "Directory":
             where.delete_dir(f"{root}/{self.aside}")
 
 
