@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireframe.operators import text as X
+from quireframe.session import checkpointed
 
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: Lines of a text that are read for roles, fields and labels, and what is listed of them, at most.
@@ -167,16 +168,56 @@ def snippets(matches: DataFrame, pages: DataFrame, context: int) -> DataFrame:
     return each.select(*matches.columns, cut(begin, stop).alias("snippet"), begin.alias("snippet_start"), stop.alias("snippet_end"), F.ltrim(flat(cut(begin, F.col("start")))).alias("before"), F.rtrim(flat(cut(F.col("end"), stop))).alias("after"))
 
 
+def claim_terms(claims: DataFrame) -> DataFrame:
+    """claim_id, term and n, the number of its claim's terms, of ``claims`` (claim_id, claim): distinct tokens that are no stop words. A
+    claim without any has no row."""
+    stop = F.array(*[F.lit(w) for w in X.STOP_WORDS])
+    each = claims.select("claim_id", F.array_except(F.array_distinct(X.tokens(F.col("claim"))), stop).alias("q"))
+    return each.select("claim_id", F.size("q").alias("n"), F.explode("q").alias("term"))
+
+
+def sentence_scores(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """doc_id, idx (the sentence, from 0), claim_id, n (the claim's terms) and score: how many tokens of the sentence are terms of the
+    claim, at least one. ``doc_id`` and ``claim_id`` are keys.
+
+    Terms meet by an equi-join, however many claims there are: tokens are counted for each sentence and term before, in the task that
+    holds the text, so that a sentence is one row a term. The join is a broadcast one while the claims' terms are within the
+    session's threshold for that, and a shuffle by term beyond it, where adaptive execution splits frequent terms."""
+    X.ship_code(docs.sparkSession)
+    terms = checkpointed(claim_terms(claims))
+    each = X.with_sentences(docs).select("doc_id", F.posexplode("t").alias("idx", "t"))
+    each = each.select("doc_id", "idx", F.explode("t").alias("term"))
+    return each.join(terms, "term").groupBy("doc_id", "idx", "claim_id").agg(F.count("*").alias("score"), F.first("n").alias("n"))
+
+
+def _quoted(best: DataFrame, docs: DataFrame) -> DataFrame:
+    """``best`` (doc_id, idx, score, n and more) with quote, the sentence itself, and confidence, the share of the claim's terms, 1 at
+    most. Sentences are made again for documents that are quoted."""
+    cited = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    sentences = cited.select("doc_id", F.posexplode(X.sentence_array(F.col("text"))).alias("idx", "quote"))
+    kept = [c for c in best.columns if c not in ("idx", "score", "n")]
+    return best.join(sentences, ["doc_id", "idx"]).select(*kept, "quote", F.least(F.lit(1.0), F.col("score") / F.col("n")).alias("confidence"))
+
+
 def citations(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """The best sentence of each document for each claim (claim_id and claim; few, their number is checked): doc_id,
-    claim_id, quote and confidence. A text is split into sentences and tokens once, and all claims are put to them."""
-    rows = claims.select("claim_id", "claim").limit(65).collect()
-    if len(rows) > 64:
-        raise ValueError("at most 64 claims")
-    best = F.array(*[F.struct(F.lit(r["claim_id"]).alias("claim_id"), X.best_sentence(F.col("s"), F.col("t"), r["claim"]).alias("b"), F.lit(float(len(X.question_terms(r["claim"])))).alias("n")) for r in rows])
-    each = X.with_sentences(docs).select("doc_id", F.explode(best).alias("c")).select("doc_id", "c.*")
-    hit = F.coalesce(F.col("b.score") > 0, F.lit(False))
-    return each.select("doc_id", "claim_id", F.when(hit, F.col("b.s")).alias("quote"), F.when(hit, F.least(F.lit(1.0), F.col("b.score") / F.col("n"))).otherwise(0.0).alias("confidence"))
+    """The sentence of each document that holds most of each claim (claim_id, claim: a table of any size), the first of equals: doc_id,
+    claim_id, quote and confidence. A document without any term of a claim gives no row; ``unquoted`` adds these."""
+    best = sentence_scores(docs, claims).groupBy("doc_id", "claim_id").agg(F.max(F.struct("score", -F.col("idx"), "n")).alias("b"))
+    return _quoted(checkpointed(best.select("doc_id", "claim_id", (-F.col("b.col2")).alias("idx"), "b.score", "b.n")), docs)
+
+
+def unquoted(docs: DataFrame, claims: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` of ``citations`` with a row for every document and claim (the result that is asked for has as many): no quote and
+    confidence 0 where the document has no term of the claim."""
+    each = docs.select("doc_id").join(claims.select("claim_id"), how="cross")
+    return each.join(found, ["doc_id", "claim_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
+def best_sources(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """The sentence of all documents that holds most of each claim: claim_id, doc_id, quote and confidence; of equals the one of the
+    smallest doc_id, and there the first. A claim that no document has a term of gives no row."""
+    best = sentence_scores(docs, claims).groupBy("claim_id").agg(F.max(F.struct("score", -F.col("doc_id"), -F.col("idx"), "n")).alias("b"))
+    return _quoted(checkpointed(best.select("claim_id", (-F.col("b.col2")).alias("doc_id"), (-F.col("b.col3")).alias("idx"), "b.score", "b.n")), docs)
 
 
 def replaced(text: Column, find: str, by: str) -> Column:

@@ -177,7 +177,17 @@ SELECT d.doc_id, c.claim_id::INT AS claim_id, quote, coalesce(confidence, 0) AS
 )
 def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = spark.createDataFrame([(k, c) for k, (c, _) in _CLAIMS.items()], "claim_id int, claim string")
-    return C.citations(_docs(spark, sf_dir), claims)
+    docs = _docs(spark, sf_dir)
+    return C.unquoted(docs, claims, C.citations(docs, claims))
+
+
+# Documents are put to every item of the benchmark at once.
+@query(f"""WITH {_SENT}, q AS (SELECT item_id, unnest(t) AS term, len(t) AS n FROM (SELECT item_id, list_distinct(list_filter({_TOKENS}, lambda x: x NOT IN {_STOP})) AS t FROM benchmark)),
+w AS (SELECT doc_id, idx, text, unnest({_TOKENS}) AS term FROM sent), s AS (SELECT doc_id, idx, item_id, count(*) AS score, any_value(text) AS quote, any_value(n) AS n FROM w JOIN q USING (term) GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, idx) AS r FROM s)
+SELECT item_id AS claim_id, doc_id, quote, least(1.0, score / n)::DOUBLE AS confidence FROM b WHERE r = 1""")
+def benchmark_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.best_sources(_docs(spark, sf_dir), _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")))
 
 
 # A term's first place is that of its first occurrence among all tokens of the first document that has it.
