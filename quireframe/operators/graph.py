@@ -94,16 +94,18 @@ def parent_role(rows: DataFrame, tree: DataFrame, of: str, order: str, role: str
     return tree.join(roles, (F.col(of) == F.col("_of")) & (F.col("parent") == F.col("_at")), "left").drop("_of", "_at")
 
 
-def missing_parents(rows: DataFrame, parts: list[str], level: str, fixed: int = 0) -> DataFrame:
+def missing_parents(rows: DataFrame, parts: list[str], level: str, fixed: int = 0, order: str | None = None) -> DataFrame:
     """Rows of a hierarchy of composite keys that lack their parent or repeat their key: all columns and code, repeated or
-    orphan. After the first ``fixed`` parts, a row of level n is named by n parts, the others being 0, and its parent by one
+    orphan. With ``order``, late is one whose parent is there, but not before it (a parent that repeats counts by its first). After the first ``fixed`` parts, a row of level n is named by n parts, the others being 0, and its parent by one
     part less."""
     keys = [F.col(p).alias(f"_{p}") if i < fixed else F.when(F.col(level) - 1 > i - fixed, F.col(p)).otherwise(0).alias(f"_{p}") for i, p in enumerate(parts)]
-    known = rows.groupBy(*parts).agg(F.count("*").alias("_n"))
-    parents = known.select(*[F.col(p).alias(f"_{p}") for p in parts], F.lit(True).alias("_here"))
-    each = rows.select("*", *keys).join(known, parts).join(parents, [f"_{p}" for p in parts], "left")
+    known = rows.groupBy(*parts).agg(F.count("*").alias("_n"), *([F.min(order).alias("_first")] if order else []))
+    parents = known.select(*[F.col(p).alias(f"_{p}") for p in parts], F.lit(True).alias("_here"), *(["_first"] if order else []))
+    each = rows.select("*", *keys).join(known.drop("_first"), parts).join(parents, [f"_{p}" for p in parts], "left")
     code = F.when(F.col("_n") > 1, "repeated").when((F.col(level) > 1) & F.col("_here").isNull(), "orphan")
-    return each.withColumn("code", code).filter("code IS NOT NULL").drop("_n", "_here", *[f"_{p}" for p in parts])
+    if order:
+        code = code.when((F.col(level) > 1) & (F.col("_first") >= F.col(order)), "late")
+    return each.withColumn("code", code).filter("code IS NOT NULL").drop("_n", "_here", "_first", *[f"_{p}" for p in parts])
 
 
 def depth_faults(rows: DataFrame, of: str, order: str, depth: str, step: int = 2) -> DataFrame:

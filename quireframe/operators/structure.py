@@ -176,17 +176,24 @@ def claim_terms(claims: DataFrame) -> DataFrame:
     return each.select("claim_id", F.size("q").alias("n"), F.explode("q").alias("term"))
 
 
+#: As many distinct terms of claims are put into the plan, so that other tokens leave their sentence before they become rows.
+LISTED_TERMS = 1_000
+
+
 def sentence_scores(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """doc_id, idx (the sentence, from 0), claim_id, n (the claim's terms) and score: how many tokens of the sentence are terms of the
     claim, at least one. ``doc_id`` and ``claim_id`` are keys.
 
-    Terms meet by an equi-join, however many claims there are: tokens are counted for each sentence and term before, in the task that
-    holds the text, so that a sentence is one row a term. The join is a broadcast one while the claims' terms are within the
-    session's threshold for that, and a shuffle by term beyond it, where adaptive execution splits frequent terms."""
+    Terms meet by an equi-join, however many claims there are. The join is a broadcast one while the claims' terms are within the
+    session's threshold for that, and a shuffle by term beyond it, where adaptive execution splits frequent terms. Where all claims
+    have ``LISTED_TERMS`` distinct terms at most, other tokens are left out before."""
     X.ship_code(docs.sparkSession)
     terms = checkpointed(claim_terms(claims))
-    each = X.with_sentences(docs).select("doc_id", F.posexplode("t").alias("idx", "t"))
-    each = each.select("doc_id", "idx", F.explode("t").alias("term"))
+    few = [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    # Outer, as a filter on what is exploded would be inferred otherwise, and would split every text once more. No null has a partner.
+    each = X.with_sentences(docs).select("doc_id", F.posexplode_outer("t").alias("idx", "t"))
+    wanted = F.filter("t", lambda t: t.isin(few)) if len(few) <= LISTED_TERMS else F.col("t")
+    each = each.select("doc_id", "idx", F.explode_outer(wanted).alias("term"))
     return each.join(terms, "term").groupBy("doc_id", "idx", "claim_id").agg(F.count("*").alias("score"), F.first("n").alias("n"))
 
 
@@ -194,14 +201,30 @@ def _quoted(best: DataFrame, docs: DataFrame) -> DataFrame:
     """``best`` (doc_id, idx, score, n and more) with quote, the sentence itself, and confidence, the share of the claim's terms, 1 at
     most. Sentences are made again for documents that are quoted."""
     cited = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
-    sentences = cited.select("doc_id", F.posexplode(X.sentence_array(F.col("text"))).alias("idx", "quote"))
+    sentences = cited.select("doc_id", F.posexplode_outer(X.sentence_array(F.col("text"))).alias("idx", "quote"))
     kept = [c for c in best.columns if c not in ("idx", "score", "n")]
     return best.join(sentences, ["doc_id", "idx"]).select(*kept, "quote", F.least(F.lit(1.0), F.col("score") / F.col("n")).alias("confidence"))
 
 
+#: As many claims are put to a text's sentences in its own row; more are joined.
+IN_ROWS = 64
+
+
+def _in_rows(docs: DataFrame, claims: list) -> DataFrame:
+    """``citations`` of few claims (claim_id and their terms), without a shuffle and with a text split once."""
+    each = [F.struct(F.lit(r["claim_id"]).alias("claim_id"), X.best_sentence(F.col("s"), F.col("t"), " ".join(r["terms"])).alias("b"), F.lit(float(len(r["terms"]))).alias("n")) for r in claims]
+    best = X.with_sentences(docs).select("doc_id", F.explode_outer(F.array(*each)).alias("c")).select("doc_id", "c.*")
+    return best.filter("b.score > 0").select("doc_id", "claim_id", F.col("b.s").alias("quote"), F.least(F.lit(1.0), F.col("b.score") / F.col("n")).alias("confidence"))
+
+
 def citations(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """The sentence of each document that holds most of each claim (claim_id, claim: a table of any size), the first of equals: doc_id,
-    claim_id, quote and confidence. A document without any term of a claim gives no row; ``unquoted`` adds these."""
+    claim_id, quote and confidence. A document without any term of a claim gives no row; ``unquoted`` adds these. Of
+    ``IN_ROWS`` claims or less every text's row is asked; more meet the texts by a join, with the same rows."""
+    X.ship_code(docs.sparkSession)
+    few = claim_terms(claims).groupBy("claim_id").agg(F.collect_list("term").alias("terms")).limit(IN_ROWS + 1).collect()
+    if 0 < len(few) <= IN_ROWS:
+        return _in_rows(docs, few)
     best = sentence_scores(docs, claims).groupBy("doc_id", "claim_id").agg(F.max(F.struct("score", -F.col("idx"), "n")).alias("b"))
     return _quoted(checkpointed(best.select("doc_id", "claim_id", (-F.col("b.col2")).alias("idx"), "b.score", "b.n")), docs)
 

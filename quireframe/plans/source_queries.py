@@ -134,6 +134,16 @@ def ocr_hierarchy_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.missing_parents(nodes, ["doc_id", "page", "block", "paragraph", "line", "word"], "level", fixed=1).select("doc_id", "at", "code")
 
 
+@query("""SELECT user_id, event_id, code FROM (SELECT *, CASE WHEN n > 1 THEN 'repeated' WHEN level > 1 AND "first" IS NULL THEN 'orphan' WHEN level > 1 AND "first" >= event_id THEN 'late' END AS code FROM (
+SELECT a.*, (SELECT count(*) FROM k b WHERE b.user_id = a.user_id AND b.p = a.p AND b.q = a.q AND b.r = a.r) AS n, (SELECT min(event_id) FROM k b WHERE b.user_id = a.user_id AND b.p = a.p AND b.q = CASE a.level WHEN 3 THEN a.q ELSE 0 END AND b.r = 0) AS "first" FROM k a)) WHERE code IS NOT NULL""".replace(" k ", " (SELECT user_id, event_id, event_id % 3 + 1 AS level, floor(value)::BIGINT % 9 + 1 AS p, CASE WHEN event_id % 3 > 0 THEN floor(value)::BIGINT % 4 + 1 ELSE 0 END AS q, CASE WHEN event_id % 3 > 1 THEN event_id % 7 + 1 ELSE 0 END AS r FROM events) "))
+def hierarchy_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nodes of three levels: those that repeat, lack their parent, or come before it."""
+    e, v = _t(spark, sf_dir, "events"), F.floor("value")
+    level = F.col("event_id") % 3 + 1
+    nodes = e.select("user_id", "event_id", level.alias("level"), (v % 9 + 1).alias("p"), F.when(level > 1, v % 4 + 1).otherwise(0).alias("q"), F.when(level > 2, F.col("event_id") % 7 + 1).otherwise(0).alias("r"))
+    return G.missing_parents(nodes, ["user_id", "p", "q", "r"], "level", fixed=1, order="event_id").select("user_id", "event_id", "code")
+
+
 _ALTO = "CASE WHEN p_partkey % 5 = 0 THEN '<alto/>' WHEN p_partkey % 5 = 1 THEN '<!DOCTYPE alto SYSTEM \"x\">' || repeat('-', 60) WHEN p_partkey % 5 = 2 THEN '<page>' || repeat('-', 60) || '</page>' ELSE '<?xml version=\"1.0\"?> <alto xmlns=\"x\"><Layout><Page ID=\"1\">' || p_name || ' and more of the same text</Page></Layout></alto>' END"
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quireframe.functions import rasters as W
+from quireframe.operators import graph as G
 from quireframe.operators import nearest as N
 from quireframe.operators import structure as C
 from quireframe.operators import text as X
@@ -140,7 +141,10 @@ def expected():
     return out
 
 
-def test_claims(spark):
+@pytest.mark.parametrize(("in_rows", "listed"), [(64, 1_000), (0, 1_000), (0, 0)])
+def test_claims(spark, monkeypatch, in_rows, listed):
+    monkeypatch.setattr(C, "IN_ROWS", in_rows)
+    monkeypatch.setattr(C, "LISTED_TERMS", listed)
     docs, claims = spark.createDataFrame(DOCS, "doc_id int, text string"), spark.createDataFrame(CLAIMS, "claim_id int, claim string")
     want = expected()
     found = C.citations(docs, claims)
@@ -161,3 +165,11 @@ def test_more_claims_than_a_plan_could_hold(spark):
     claims = spark.range(2_000).selectExpr("id AS claim_id", "concat('word', id % 100) AS claim")
     rows = C.citations(docs, claims)
     assert rows.count() == 1_000 and rows.filter("quote <> concat('Word', doc_id, ' is here.') OR confidence <> 1").count() == 0
+
+
+def test_parents_that_come_late(spark):
+    rows = [(1, 1, 1, 0), (2, 2, 1, 1), (3, 2, 2, 1), (4, 1, 2, 0), (5, 1, 3, 0), (6, 1, 3, 0), (7, 2, 3, 1), (8, 2, 9, 9)]
+    df = spark.createDataFrame(rows, "at int, level int, p int, q int")
+    found = lambda **k: sorted((r["at"], r["code"]) for r in G.missing_parents(df, ["p", "q"], "level", **k).collect())
+    assert found() == [(5, "repeated"), (6, "repeated"), (8, "orphan")]
+    assert found(order="at") == [(3, "late"), *found()]
