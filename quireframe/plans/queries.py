@@ -407,4 +407,4 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(_t(spark, sf_dir, "events"))
 
 
-from quireframe.plans import export_queries, file_queries, inventory_queries, job_queries, raster_queries, review_queries, source_queries, structure_queries, value_queries  # noqa: E402, F401 (they register their queries here)
+from quireframe.plans import export_queries, file_queries, interchange_queries, inventory_queries, job_queries, raster_queries, review_queries, source_queries, structure_queries, value_queries  # noqa: E402, F401 (they register their queries here)
