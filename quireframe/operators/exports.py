@@ -16,7 +16,9 @@ from quireframe.operators.text import SPACES
 
 #: The kinds of annotations.
 ANNOTATION_TYPES = ("comment", "note", "callout", "textMarkup", "drawingMarkup", "reference", "measurement", "stamp")
+#: The frame of the canonical XFDF form, and the header of a form's CSV.
 XFDF_HEAD, XFDF_TAIL = '<?xml version="1.0" encoding="UTF-8"?>\n<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve"><annots>', "</annots></xfdf>\n"
+FORM_HEADER = "fieldName,currentValue"
 
 
 def _joined(pages: DataFrame, part: Column, between: str) -> DataFrame:
@@ -118,9 +120,6 @@ def forms_lines(fields: DataFrame, values: DataFrame) -> DataFrame:
     return csv_lines(both, "id", [F.col("id"), F.col("name"), F.col("_v")])
 
 
-FORM_HEADER = "fieldName,currentValue"
-
-
 def form_csv(name: Column, value: Column) -> Column:
     """One field as a whole CSV text with a mark of byte order and quoted cells; null if a cell could be a formula, is
     empty-named or holds control characters."""

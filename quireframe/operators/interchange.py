@@ -108,7 +108,8 @@ def imported_forms(docs: DataFrame, form: str, column: str = "json", most: int =
     file = F.array(F.struct(F.lit("file").alias("kind"), F.lit(None).cast("int").alias("at"), none.alias("id"), none.alias("name"), none.alias("type"), none.alias("value"), F.lit("bad-format").alias("code")))
     rows = named.select("doc_id", F.when(F.col("_good"), F.concat(F.transform("_fields", field), F.transform("_values", value))).otherwise(file).alias("_rows"))
     rows = rows.withColumn("accepted", ~F.exists("_rows", lambda r: r["code"].isNotNull()))
-    return rows.select("doc_id", F.explode("_rows").alias("r"), "accepted").select("doc_id", "r.*", "accepted")
+    # An inner explode would have the optimizer test the length of the rows, and so read each file, a second time below.
+    return rows.select("doc_id", F.explode_outer("_rows").alias("r"), "accepted").filter("r.kind IS NOT NULL").select("doc_id", "r.*", "accepted")
 
 
 def comment_envelopes(annotations: DataFrame, sources: DataFrame, chosen: DataFrame | None = None) -> DataFrame:

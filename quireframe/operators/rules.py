@@ -154,18 +154,41 @@ def accessibility(documents: DataFrame, tags: DataFrame, fonts: DataFrame, pages
 LANGUAGE = r"[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})?"
 
 
-def declared_language(custom: Column, xml: Column) -> Column:
-    """The language that metadata declares: that of the first custom entry (array of name and value) named language, lang or
-    dc:language whose value is one; else that of the packet's language list, element or attribute, in this order; else
-    null."""
-    named = F.filter(custom, lambda e: F.lower(e["name"]).isin("language", "lang", "dc:language") & F.trim(e["value"]).rlike(f"^{LANGUAGE}$"))
-    found = lambda p: F.nullif(F.regexp_extract(F.coalesce(xml, F.lit("")), p, 1), F.lit(""))
-    patterns = (
-        rf"(?is)<dc:language(?:\s[^>]*)?>.*?<rdf:li(?:\s[^>]*)?>\s*({LANGUAGE})\s*</rdf:li>",
-        rf"(?i)<(?:dc:language|pdf:Lang|xmp:Language)(?:\s[^>]*)?>\s*({LANGUAGE})\s*</(?:dc:language|pdf:Lang|xmp:Language)>",
-        rf"(?i)(?:xml:lang|language)=[\"']({LANGUAGE})[\"']",
+#: Names of metadata entries, elements and attributes that declare a language, and how far a language list reaches.
+LANGUAGE_ENTRIES = ("language", "lang", "dc:language")
+LANGUAGE_ELEMENTS = ("dc:language", "pdf:lang", "xmp:language")
+LANGUAGE_ATTRIBUTES = ("xml:lang", "language")
+LANGUAGE_LIST, LANGUAGE_ITEM, LANGUAGE_REACH = "dc:language", "rdf:li", 4096
+
+
+def _tags(xml: Column) -> Column:
+    """The tags of ``xml`` in order: name (in small letters, a slash before that of a closing one), code (the language that all
+    text up to the next tag is, else empty), next (the next tag's name), length (with that text) and after (of that text)."""
+    each = F.transform(
+        F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit("<[^<>]*>[^<]*"), F.lit(0)),
+        lambda t: F.struct(F.lower(F.regexp_extract(t, r"^<(/?[^\s/<>]*)", 1)).alias("name"), F.regexp_extract(t, rf">\s*({LANGUAGE})\s*$", 1).alias("code"), F.length(t).alias("length"), (F.length(t) - F.instr(t, F.lit(">"))).alias("after")),
     )
-    return F.coalesce(F.trim(F.get(named, 0)["value"]), *[found(p) for p in patterns])
+    following = F.concat(F.slice(F.transform(each, lambda t: t["name"]), F.lit(2), F.size(each)), F.array(F.lit("")))
+    return F.when(F.size(each) > 0, F.zip_with(each, following, lambda t, n: t.withField("next", n))).otherwise(F.array().cast("array<struct<name:string,code:string,length:int,after:int,next:string>>"))
+
+
+def declared_language(custom: Column, xml: Column) -> Column:
+    """The language that metadata declares: that of the first custom entry (array of name and value) of ``LANGUAGE_ENTRIES``
+    whose value is one; else, of the packet, that of the first item within 4,096 characters of the beginning of a language
+    list, of the first element, or of the first attribute that is one, in this order; else null. The packet is read tag by
+    tag and need not be well-formed."""
+    named = F.filter(custom, lambda e: F.lower(e["name"]).isin(*LANGUAGE_ENTRIES) & F.trim(e["value"]).rlike(f"^{LANGUAGE}$"))
+    tags = _tags(xml)
+
+    def step(s: Column, t: Column) -> Column:
+        item = (s["gap"] <= LANGUAGE_REACH) & (t["name"] == LANGUAGE_ITEM) & (t["next"] == f"/{LANGUAGE_ITEM}") & (t["code"] != "")
+        gap = F.when(t["name"] == LANGUAGE_LIST, t["after"]).otherwise(s["gap"] + t["length"])
+        return F.struct(gap.alias("gap"), F.coalesce(s["code"], F.when(item, t["code"])).alias("code"))
+
+    listed = F.aggregate(tags, F.struct(F.lit(None).cast("int").alias("gap"), F.lit(None).cast("string").alias("code")), step, lambda s: s["code"])
+    elements = F.filter(tags, lambda t: t["name"].isin(*LANGUAGE_ELEMENTS) & t["next"].isin(*[f"/{e}" for e in LANGUAGE_ELEMENTS]) & (t["code"] != ""))
+    attribute = F.regexp_extract(F.coalesce(xml, F.lit("")), rf"(?i)(?:{'|'.join(LANGUAGE_ATTRIBUTES)})=[\"']({LANGUAGE})[\"']", 1)
+    return F.coalesce(F.trim(F.get(named, 0)["value"]), listed, F.get(elements, 0)["code"], F.nullif(attribute, F.lit("")))
 
 
 def issues(documents: DataFrame, pages: DataFrame, images: DataFrame, fields: DataFrame, of: str = "doc_id") -> DataFrame:

@@ -263,7 +263,7 @@ def spelling_findings(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("doc_id", "page", F.col("start").alias("offset"), F.length("match").alias("length"), F.sha2("match", 256).alias("digest"))
 
 
-#: What is done to markup in turn: pattern and replacement.
+#: The tags of markup that go, become a line break or become a tab, in turn, and the entities that are read.
 MARKUP = (
     (r"(?i)</?(?:html|head|body|title)\b[^>]*>", ""),
     (r"(?i)<(?:text:|w:)?(?:p|h|tr|br|cr)\b[^>]*>", "\n"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireframe.functions.values import canonical_json
+from quireframe.operators.text import ENTITIES, MARKUP
 from quireframe.session import ship_to_active
 
 MOST_ENTRY_BYTES = 256 << 20
@@ -41,14 +42,15 @@ def put_results(current: DataFrame, puts: DataFrame) -> DataFrame:
     return both.select("name", "digest", status.alias("status"))
 
 
-_BLOCK, _TAB = re.compile(r"<(?:text:|w:)?(?:p|h|tr|br|cr)\b[^>]*>", re.I | re.A), re.compile(r"<(?:text:)?(?:tab|s)\b[^>]*/?>(?:</[^>]+>)?", re.I | re.A)
-_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+_MARKUP = [(re.compile(pattern, re.A), plain) for pattern, plain in MARKUP]
 
 
 def markup_text(xml: str) -> str:
     """Text of markup, as ``text.html_text`` reads it."""
-    t = re.sub(r"<[^>]*>", "", _TAB.sub("\t", _BLOCK.sub("\n", xml)))
-    t = re.sub("&(?:amp|lt|gt|quot|apos);", lambda m: _ENTITIES[m[0]], re.sub(r"<!\[CDATA\[([\s\S]*?)\]\]>", r"\1", t))
+    t = xml
+    for pattern, plain in _MARKUP:
+        t = pattern.sub(plain, t)
+    t = re.sub("&(?:amp|lt|gt|quot|apos);", lambda m: dict(ENTITIES)[m[0]], re.sub(r"<!\[CDATA\[([\s\S]*?)\]\]>", r"\1", t))
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[\t ]+", "\n", t.replace("\r", ""))).strip()
 
 
@@ -73,7 +75,7 @@ def office_text(data: bytes, ending: str) -> str | None:
     if ending == ".rtf":
         return rtf_text(data.decode("utf-8", "replace").removeprefix("\ufeff"))
     if ending in (".html", ".htm"):
-        return markup_text(re.sub(r"</?(?:html|head|body|title)\b[^>]*>", "", data.decode("utf-8", "replace").removeprefix("\ufeff"), flags=re.I))
+        return markup_text(data.decode("utf-8", "replace").removeprefix("\ufeff"))
     if ending not in (".docx", ".pptx", ".xlsx", ".odt", ".odp", ".ods"):
         return None
     try:

@@ -232,11 +232,14 @@ def alto_envelopes(outputs: DataFrame) -> DataFrame:
     return outputs.select("doc_id", n.cast("long").alias("n_bytes"), F.sha2("output", 256).alias("sha256"), F.when(n < 64, "missing").when(active, "active").when(sound, "sound").otherwise("malformed").alias("status"))
 
 
+#: How the lines of the inking tool begin that are notices.
+NOTICES = r"^(?:GPL Ghostscript |Copyright \(C\)|This software is supplied |see the file |Processing pages [0-9]+ through [0-9]+[.]$|Page [0-9]+$|Loading font )"
+
+
 def ink_coverage(outputs: DataFrame) -> DataFrame:
     """doc_id, page (from 1), cyan, magenta, yellow, black (0 to 1) and total (percent) of the rows that are no notices;
     ``valid`` is whether a row is four shares, CMYK and OK."""
-    notice = r"^(?:GPL Ghostscript |Copyright \(C\)|This software is supplied |see the file |Processing pages [0-9]+ through [0-9]+[.]$|Page [0-9]+$|Loading font )"
-    kept = F.filter(F.split(trimmed(F.col("output")), "\r?\n", -1), lambda x: ~x.rlike(notice))
+    kept = F.filter(F.split(trimmed(F.col("output")), "\r?\n", -1), lambda x: ~x.rlike(NOTICES))
     share = r"(0(?:\.[0-9]+)?|1(?:\.0+)?)"
     pattern = rf"^\s*{share}\s+{share}\s+{share}\s+{share}\s+CMYK\s+OK\s*$"
     rows = outputs.select("doc_id", F.posexplode(kept).alias("i", "line"))
