@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.functions.values import canonical, provenance
+from quireframe.functions.values import canonical
 from quireframe.operators import exports as E
 from quireframe.operators import layout as L
 from quireframe.operators import structure as C
@@ -151,12 +151,14 @@ def check_reports(checks: DataFrame, documents: DataFrame, profile: str, limitat
     n = {s: F.col(f"`_n_{s}`").cast("string") for s in STATUSES}
     status = F.when(F.col("_n_fail") > 0, "fail").when((F.col("_n_warning") > 0) | (F.col("`_n_not-checked`") > 0), "review-required").otherwise("pass")
     limits = F.array(*map(F.lit, limitations)).cast("array<string>")
+    # Members are written in the order of their names, and evidence is canonical already: so is the whole.
     body = F.concat(
-        F.lit('{"kind":"preflight-review","schemaVersion":1,"localOnly":true,"authoritative":false,"profile":'), F.to_json(F.struct(F.lit(profile).alias("id"), F.lit(True).alias("fixed"))),
-        F.lit(',"document":'), F.to_json(F.struct("sha256", F.col("pages").alias("pageCount"))), F.lit(',"status":"'), "status", F.lit('","counts":{'),
-        F.concat_ws(",", *[F.concat(F.lit(f'"{s}":'), n[s]) for s in STATUSES]), F.lit('},"checks":['), F.array_join(F.transform("_c", lambda c: c["_j"]), ","), F.lit('],"limitations":'), F.to_json(limits), F.lit("}"),
+        F.lit('{"authoritative":false,"checks":['), F.array_join(F.transform("_c", lambda c: c["_j"]), ","), F.lit('],"counts":{'),
+        F.concat_ws(",", *[F.concat(F.lit(f'"{s}":'), n[s]) for s in sorted(STATUSES)]), F.lit('},"document":'), F.to_json(F.struct(F.col("pages").alias("pageCount"), "sha256")),
+        F.lit(',"kind":"preflight-review","limitations":'), F.to_json(limits), F.lit(',"localOnly":true,"profile":'), F.to_json(F.struct(F.lit(True).alias("fixed"), F.lit(profile).alias("id"))),
+        F.lit(',"schemaVersion":1,"status":"'), "status", F.lit('"}'),
     )
-    both = both.withColumn("status", status).withColumn("digest", F.when(F.col("_ok"), provenance(body)))
+    both = both.withColumn("status", status).withColumn("digest", F.when(F.col("_ok"), F.sha2(body, 256)))
     lines = "".join(f"    <limitation>{escaped(x)}</limitation>\n" for x in limitations)
     document = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<preflight-review schema-version="1" local-only="true" authoritative="false" report-sha256="'), "digest",
