@@ -99,9 +99,11 @@ def missing_parents(rows: DataFrame, parts: list[str], level: str, fixed: int =
     orphan. With ``order``, late is one whose parent is there, but not before it (a parent that repeats counts by its first). After the first ``fixed`` parts, a row of level n is named by n parts, the others being 0, and its parent by one
     part less."""
     keys = [F.col(p).alias(f"_{p}") if i < fixed else F.when(F.col(level) - 1 > i - fixed, F.col(p)).otherwise(0).alias(f"_{p}") for i, p in enumerate(parts)]
-    known = rows.groupBy(*parts).agg(F.count("*").alias("_n"), *([F.min(order).alias("_first")] if order else []))
-    parents = known.select(*[F.col(p).alias(f"_{p}") for p in parts], F.lit(True).alias("_here"), *(["_first"] if order else []))
-    each = rows.select("*", *keys).join(known.drop("_first"), parts).join(parents, [f"_{p}" for p in parts], "left")
+    own = rows.dropna(subset=parts)
+    parents = own.groupBy(*[F.col(p).alias(f"_{p}") for p in parts]).agg(F.lit(True).alias("_here"), *([F.min(order).alias("_first")] if order else []))
+    counted = own.select("*", *keys, F.count("*").over(Window.partitionBy(*parts)).alias("_n"))
+    # A few small columns look small enough to send to the driver, and are not once they are unpacked: both sides are sorted.
+    each = counted.join(parents.hint("merge"), [f"_{p}" for p in parts], "left")
     code = F.when(F.col("_n") > 1, "repeated").when((F.col(level) > 1) & F.col("_here").isNull(), "orphan")
     if order:
         code = code.when((F.col(level) > 1) & (F.col("_first") >= F.col(order)), "late")
