@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quireframe.operators import exports as E
 from quireframe.operators import layout as L
 from quireframe.operators import text as X
-from quireframe.plans.queries import _PAGES, _TRIM, _t, digest_sum_sql, query  # noqa: F401
+from quireframe.plans.queries import _PAGES, _TRIM, _firsts, _t, digest_sum_sql, query  # noqa: F401
 from quireframe.plans.value_queries import _sql
 
 
@@ -90,7 +90,8 @@ _TALK = "SELECT conv_id AS doc_id, turn AS at, role, text FROM conversations WHE
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as annotations, each with two replies but for those of users."""
-    t = _sql(spark, sf_dir, _TALK, "conversations").dropDuplicates(["doc_id", "at"])
+    _firsts(spark, sf_dir, "conversations", ["conv_id", "turn"], "role", "text").createOrReplaceTempView("first_turns")
+    t = spark.sql(_TALK.replace("FROM conversations", "FROM first_turns"))
     name = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("at").cast("string"))
     reply = lambda i: F.struct(F.concat(name, F.lit(f".{i}")).alias("id"), F.lit("r").alias("author"), F.lit(f"reply {i}").alias("text"))
     replies = F.when(F.col("role") == "user", F.slice(F.array(reply(1)), 1, 0)).otherwise(F.array(reply(1), reply(2)))

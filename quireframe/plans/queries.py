@@ -32,6 +32,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _firsts(spark: SparkSession, sf_dir: str, name: str, keys: list[str], *columns: str) -> DataFrame:
+    """Of a table's rows that share ``keys`` the first, by file and by row in it, whatever the number of tasks."""
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    return _t(spark, sf_dir, name).groupBy(*keys).agg(F.min_by(F.struct(*columns), at).alias("_first")).select(*keys, "_first.*")
+
+
 _TOKENS = r"""list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s.-]', ' ', 'g'), '\s+'), lambda t: t <> '')"""
 _STOP = "(" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
 _TERMS = f"""terms AS (SELECT doc_id, p - 1 AS pos, toks[p] AS term FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS p FROM (SELECT doc_id, {_TOKENS} AS toks FROM documents)) WHERE length(toks[p]) >= 3 AND toks[p] NOT IN {_STOP})"""

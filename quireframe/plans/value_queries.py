@@ -10,7 +10,7 @@ from quireframe.operators import graph as G
 from quireframe.operators import inventory as I
 from quireframe.operators import records as R
 from quireframe.operators import rules as P
-from quireframe.plans.queries import _t, query
+from quireframe.plans.queries import _firsts, _t, query
 
 _FT = 0.3048
 
@@ -206,7 +206,9 @@ _TAGS = "SELECT l_orderkey AS doc_id, l_linenumber AS seq, CASE l_linenumber WHE
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, _TAGS, "lineitem").dropDuplicates(["doc_id", "seq"])
+    """Of lines that share document and place the first of the table counts."""
+    _firsts(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_suppkey").createOrReplaceTempView("tagged_lines")
+    return spark.sql(_TAGS.replace("FROM lineitem", "FROM tagged_lines"))
 
 
 _SUMMARY = f"""WITH t AS (SELECT DISTINCT ON (doc_id, seq) * FROM ({_TAGS}) ORDER BY doc_id, seq), r AS (SELECT *, regexp_extract(value, '^([A-Za-z][A-Za-z0-9]*)(?:\\s|\\(|$)', 1) AS raw, CASE WHEN depth % 2 = 0 THEN depth ELSE 0 END AS d FROM t),
