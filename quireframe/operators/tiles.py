@@ -5,7 +5,7 @@ and no task holds a raster. What is told of a raster is summed from its tiles. A
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireframe.functions import rasters as W
@@ -24,14 +24,25 @@ def tiles_of_lines(lines: DataFrame, tile: int = TILE) -> DataFrame:
     return found.withColumn("pixels", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["p"])), ""))).drop("parts")
 
 
+def tiles_of_bands(bands: DataFrame, tile: int = TILE) -> DataFrame:
+    """Tiles of bands (raster, width, height, row, pixels), each the scan lines of one row of tiles. A band is cut where it lies:
+    nothing is shuffled."""
+    of = F.explode(F.sequence(F.lit(0), F.ceil(F.col("width") / tile).cast("int") - 1)).alias("column")
+    each = bands.filter("width > 0 AND height > 0").select("raster", F.col("width").cast("int"), F.col("height").cast("int"), F.col("row").cast("int"), of, "pixels")
+    wide, high = (F.least(F.lit(tile), F.col(n) - F.col(at) * tile) for n, at in (("width", "column"), ("height", "row")))
+    piece = lambda i: F.hex(F.substring(F.col("pixels"), (i * F.col("width") + F.col("column") * tile) * 4 + 1, wide * 4))
+    return each.withColumn("pixels", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), high - 1), piece), "")))
+
+
 def lines_of_tiles(tiles: DataFrame, tile: int = TILE) -> DataFrame:
-    """Scan lines of tiles: raster, width, height, y and pixels. A line collects its pieces, one of each column of tiles."""
-    wide = F.least(F.lit(tile), F.col("width") - F.col("column") * tile)
+    """Scan lines of tiles: raster, width, height, y and pixels. The tiles of one row meet, whole, in a window, which spills less than
+    an aggregation of pieces of lines."""
+    row = F.sort_array(F.collect_list(F.struct("column", "pixels")).over(Window.partitionBy("raster", "width", "height", "row")))
+    bands = tiles.select("raster", "width", "height", "row", "column", row.alias("_t")).filter("column = 0")
+    piece = lambda t, i: F.hex(F.substring(t["pixels"], i * F.least(F.lit(tile), F.col("width") - t["column"] * tile) * 4 + 1, F.least(F.lit(tile), F.col("width") - t["column"] * tile) * 4))
     high = F.least(F.lit(tile), F.col("height") - F.col("row") * tile)
-    each = tiles.select("*", wide.alias("_w"), F.explode(F.sequence(F.lit(0), high - 1)).alias("_i"))
-    piece = F.substring(F.col("pixels"), F.col("_i") * F.col("_w") * 4 + 1, F.col("_w") * 4)
-    found = each.groupBy("raster", "width", "height", (F.col("row") * tile + F.col("_i")).alias("y")).agg(F.sort_array(F.collect_list(F.struct("column", piece.alias("p")))).alias("parts"))
-    return found.withColumn("pixels", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["p"])), ""))).drop("parts")
+    lines = F.transform(F.sequence(F.lit(0), high - 1), lambda i: F.struct((F.col("row") * tile + i).alias("y"), F.unhex(F.array_join(F.transform("_t", lambda t: piece(t, i)), "")).alias("pixels")))
+    return bands.select("raster", "width", "height", F.explode(lines).alias("l")).select("raster", "width", "height", "l.*")
 
 
 def _own(tile: int, side: str = ""):
@@ -72,27 +83,29 @@ def _luminance(p: np.ndarray) -> np.ndarray:
     return np.floor(q[..., 0] * 0.2126 + q[..., 1] * 0.7152 + q[..., 2] * 0.0722 + 0.5)
 
 
-def _range(t: dict) -> dict:
-    g = _luminance(W._pixels(t))
-    return {"low": int(g.min()), "high": int(g.max())}
+def _grey(t: dict) -> dict:
+    g = _luminance(W._pixels(t)).astype(np.uint8)
+    return {"grey": g.tobytes(), "low": int(g.min()), "high": int(g.max())}
 
 
 def _stretched(t: dict, bounds: dict) -> dict:
-    g, low, high = _luminance(W._pixels(t)), bounds["low"], bounds["high"]
+    g, low, high = np.frombuffer(t["grey"], np.uint8).reshape(t["height"], t["width"]).astype(np.float64), bounds["low"], bounds["high"]
     out = np.where(g >= 128, 255, 0) if low == high else np.floor((g - low) / (high - low) * 255 + 0.5)
     return W._raster(np.concatenate([np.repeat(out[..., None], 3, axis=2), np.full((*g.shape, 1), 255)], axis=2))
 
 
 def tile_cleanup(tiles: DataFrame, preset: str, tile: int = TILE) -> DataFrame:
     """``tiles`` in grey for recognition: bilevel is white from a luminance of 128 on; document stretches the luminances that the
-    whole raster has to all of the range, which takes a pass for their bounds (a row a raster) before."""
+    whole raster has to all of the range. A raster's tiles meet for their bounds as a byte a pixel, in a window that spills."""
     if preset not in ("bilevel", "document"):
         raise ValueError(f"unknown preset {preset}")
     if preset == "bilevel":
         return tiles.select(*KEYS, "width", "height", W.ocr_cleanup(_own(tile), preset)["pixels"].alias("pixels"))
-    bounds = tiles.select("raster", W._by_row(_range, "struct<low:int,high:int>", _own(tile)).alias("r")).groupBy("raster").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
-    each = tiles.join(bounds, "raster")
-    return each.select(*KEYS, "width", "height", W._by_row(_stretched, W.RASTER, _own(tile), F.struct("low", "high"))["pixels"].alias("pixels"))
+    each = tiles.select(*KEYS, "width", "height", W._by_row(_grey, "struct<grey:binary,low:int,high:int>", _own(tile)).alias("g"))
+    w, own = Window.partitionBy("raster"), _own(tile)
+    each = each.select(*KEYS, "width", "height", F.col("g.grey").alias("pixels"), F.min("g.low").over(w).alias("low"), F.max("g.high").over(w).alias("high"))
+    grey = F.struct(own["width"].alias("width"), own["height"].alias("height"), own["pixels"].alias("grey"))
+    return each.select(*KEYS, "width", "height", W._by_row(_stretched, W.RASTER, grey, F.struct("low", "high"))["pixels"].alias("pixels"))
 
 
 def tile_redactions(before: DataFrame, after: DataFrame, boxes: DataFrame, tile: int = TILE) -> DataFrame:

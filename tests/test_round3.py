@@ -32,3 +32,18 @@ def test_first_of_rows_that_share_a_key(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("H3", 300)]
     assert QUERIES["depth_faults"](spark, str(tmp_path)).count() == 300
     assert QUERIES["comment_list"](spark, str(tmp_path)).count() == 900
+
+
+def test_texts_are_cut_into_tiles_without_a_shuffle(spark):
+    from quireframe.operators import tiles as P
+    from quireframe.plans.queries import QUERIES
+
+    lines = spark.range(70).select(F.lit(1).alias("raster"), F.lit(70).alias("width"), F.lit(70).alias("height"), F.col("id").alias("y"), F.unhex(F.repeat(F.lpad(F.hex("id"), 8, "0"), 70)).alias("pixels"))
+    bands = lines.groupBy("raster", "width", "height", F.expr("int(y div 32)").alias("row")).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "pixels"))), lambda s: F.hex(s["pixels"])), "")).alias("pixels"))
+    key = lambda df: sorted(map(tuple, df.select("raster", "width", "height", "row", "column", "pixels").collect()))
+    tiles = P.tiles_of_bands(bands, 32)
+    assert key(tiles) == key(P.tiles_of_lines(lines, 32)) and tiles.count() == 9
+    assert sorted(map(tuple, P.lines_of_tiles(tiles, 32).select("y", "pixels").collect())) == sorted(map(tuple, lines.select("y", "pixels").collect()))
+    for name, most in (("raster_cleanup", 2), ("raster_difference", 3)):
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("Initial Plan")[1]
+        assert plan.count("Exchange ") <= most, name
