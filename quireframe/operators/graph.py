@@ -13,14 +13,15 @@ from quireframe.session import checkpointed
 
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (node, depth) that edges (src, dst) lead to from ``roots`` (node), these included; depth counts the edges of
-    a shortest way. Every level is checkpointed, and joined with none that came before."""
+    a shortest way. Every level is checkpointed, and joined with none that came before. Joins are by sorting, so that no level
+    goes through the driver."""
     edges = checkpointed(edges.select("src", "dst").distinct())
     level = checkpointed(roots.select("node", F.lit(0).alias("depth")).distinct())
     seen = [level]
     while level.limit(1).count():
-        ahead = edges.join(level.select(F.col("node").alias("src"), "depth"), "src").select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        ahead = edges.join(level.select(F.col("node").alias("src"), "depth").hint("merge"), "src").select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         known = reduce(DataFrame.unionByName, seen).select("node")
-        level = checkpointed(ahead.join(known, "node", "left_anti"))
+        level = checkpointed(ahead.join(known.hint("merge"), "node", "left_anti"))
         seen.append(level)
         if len(seen) > 16:
             seen = [checkpointed(reduce(DataFrame.unionByName, seen))]
@@ -29,8 +30,8 @@ def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every node of ``nodes`` and whether ``roots`` lead to it. Edges to nodes that are not there lead nowhere."""
-    found = reached(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), roots).select("node", F.lit(True).alias("_r"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("_r", F.lit(False)).alias("reachable"))
+    found = reached(edges.join(nodes.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_semi"), roots).select("node", F.lit(True).alias("_r"))
+    return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("_r", F.lit(False)).alias("reachable"))
 
 
 def inherited(nodes: DataFrame, columns: list[str], total: str | None = None) -> DataFrame:

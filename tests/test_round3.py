@@ -47,3 +47,10 @@ def test_texts_are_cut_into_tiles_without_a_shuffle(spark):
     for name, most in (("raster_cleanup", 2), ("raster_difference", 3)):
         plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("Initial Plan")[1]
         assert plan.count("Exchange ") <= most, name
+
+
+def test_levels_are_not_sent_to_the_driver(spark):
+    nodes = spark.range(1, 200).select(F.col("id").alias("node"))
+    edges = nodes.filter("node > 1").select(F.expr("node div 2").alias("src"), F.col("node").alias("dst"))
+    found = G.reachability(nodes, edges, nodes.filter("node = 3"))
+    assert "BroadcastHashJoin" not in plan_of(found) and found.filter("reachable").count() == sum(bin(n)[2:].startswith("11") for n in range(1, 200))
