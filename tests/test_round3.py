@@ -54,3 +54,16 @@ def test_levels_are_not_sent_to_the_driver(spark):
     edges = nodes.filter("node > 1").select(F.expr("node div 2").alias("src"), F.col("node").alias("dst"))
     found = G.reachability(nodes, edges, nodes.filter("node = 3"))
     assert "BroadcastHashJoin" not in plan_of(found) and found.filter("reachable").count() == sum(bin(n)[2:].startswith("11") for n in range(1, 200))
+
+
+def test_rasters_of_one_size_are_compared_at_once(spark, monkeypatch):
+    from quireframe.functions import rasters as W
+
+    made = [{"width": 1 + i % 3, "height": 1 + i % 2, "pixels": bytes((i * j) % 256 for j in range(4 * (1 + i % 3) * (1 + i % 2)))} for i in range(40)]
+    pairs = [(a if i % 9 else None, made[i * 7 % 40]) for i, a in enumerate(made)]
+    df = spark.createDataFrame(pairs, f"a {W.RASTER}, b {W.RASTER}").coalesce(1)
+    got = df.select(W.pixel_difference(F.col("a"), F.col("b")).alias("d"), W.red_cyan_overlay(F.col("a"), F.col("b"), 0.5).alias("o")).collect()
+    for (a, b), r in zip(pairs, got, strict=True):
+        assert (r["d"] and r["d"].asDict()) == (a and W.difference(a, b))
+        want = a and W.overlay(a, b, 0.5)
+        assert (r["o"] and (r["o"]["width"], bytes(r["o"]["pixels"]))) == (want and (want["width"], want["pixels"]))
