@@ -56,8 +56,17 @@ def legend(rows: DataFrame, keys: list[str], value: str, member: str) -> DataFra
 
 
 def legend_members(rows: DataFrame, keys: list[str], value: str, member: str) -> DataFrame:
-    """A row for each member with its place (from 1) in its group, in order of the members' text, then of their values."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(member).cast("string"), value)))
+    """A row for each member with its place (from 1) in its group, in order of the members' text, then of their values. Groups are
+    few, so each is parted by how its members begin: a row is placed in its part, after all that the parts before it hold."""
+    each = rows.withColumn("_begins", F.substring(F.col(member).cast("string"), 1, 4))
+    parts = each.groupBy(*keys, "_begins").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_begins")) - F.col("_n")
+    held = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_begins").alias("_part"), before.alias("_before"))
+    placed = each.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "_begins").orderBy(F.col(member).cast("string"), value)))
+    same = F.col("_begins").eqNullSafe(F.col("_part"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return placed.join(held, same).select(*rows.columns, (F.col("place") + F.col("_before")).cast("int").alias("place"))
 
 
 def status_counts(rows: DataFrame, status: str, domain: list[str]) -> DataFrame:

@@ -56,6 +56,18 @@ def test_levels_are_not_sent_to_the_driver(spark):
     assert "BroadcastHashJoin" not in plan_of(found) and found.filter("reachable").count() == sum(bin(n)[2:].startswith("11") for n in range(1, 200))
 
 
+def test_a_group_of_members_is_parted(spark):
+    from quireframe.operators import records as R
+
+    rows = spark.range(500).selectExpr("IF(id % 2 = 0, 'a', NULL) AS k", "IF(id % 50 = 7, NULL, concat(id % 13, 'x', id % 7)) AS m", "id AS v")
+    found = R.legend_members(rows, ["k"], "v", "m")
+    assert "substring" in plan_of(found)
+    got = {(r["k"], r["v"]): r["place"] for r in found.collect()}
+    for k in ("a", None):
+        own = sorted((r for r in rows.collect() if r["k"] == k), key=lambda r: (r["m"] is not None, r["m"] or "", r["v"]))
+        assert [got[k, r["v"]] for r in own] == list(range(1, len(own) + 1))
+
+
 def test_rasters_of_one_size_are_compared_at_once(spark, monkeypatch):
     from quireframe.functions import rasters as W
 
