@@ -45,28 +45,36 @@ def _printable(text: Column, longest: int) -> Column:
     return (F.length(text) <= longest) & ~text.rlike(r"[\x00-\x1f]")
 
 
-def _field(item: Column) -> Column:
-    """A field with the first fault of its own."""
-    name, kind, pattern = _text(item, "$.name"), _text(item, "$.type"), _text(item, "$.validation.pattern")
-    options = F.coalesce(F.try_variant_get(item, "$.options", "array<string>"), F.array().cast("array<string>"))
-    least, most = (F.try_variant_get(item, f"$.validation.{m}", "double") for m in ("min", "max"))
-    given = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(item, path, "variant")) != "VOID", F.lit(False))
+def _members(item: Column) -> Column:
+    """What a field says, read once: what a lambda says twice is worked out twice."""
+    get = lambda path, kind: F.try_variant_get(item, path, kind)
+    given = lambda path: F.coalesce(F.schema_of_variant(get(path, "variant")) != "VOID", F.lit(False))
+    said = {"id": "$.id", "calculation": "$.calculation", "pattern": "$.validation.pattern", "least": "$.validation.min", "most": "$.validation.max", "options": "$.options"}
+    texts = [_text(item, said.get(n, f"$.{n}")).alias(n) for n in ("id", "name", "type", "pattern", "calculation")]
+    numbers = [get(said[n], "double").alias(n) for n in ("least", "most")]
+    return F.struct(*texts, *numbers, get("$.options", "array<string>").alias("options"), get("$.page", "int").alias("page"), get("$.rectangle", "array<double>").alias("box"), *[given(path).alias(f"given_{n}") for n, path in said.items()])
+
+
+def _field(m: Column) -> Column:
+    """A field of ``_members`` with the first fault of its own."""
+    name, kind, pattern, least, most, box = (m[n] for n in ("name", "type", "pattern", "least", "most", "box"))
+    options = F.coalesce(m["options"], F.array().cast("array<string>"))
+    given = lambda n: m[f"given_{n}"]
     whole = lambda v: (v == F.floor(v)) & v.between(-FARTHEST, FARTHEST)
     listed = (F.size(options) <= MOST_OPTIONS) & (F.size(F.array_distinct(options)) == F.size(options)) & ~F.exists(options, lambda o: _no(_printable(o, 256) & (F.trim(o) != "")))
-    box = F.try_variant_get(item, "$.rectangle", "array<double>")
     boxed = (F.size(box) == 4) & ~F.exists(box, lambda v: _no(v.between(-FARTHEST, FARTHEST))) & (box[0] <= box[2]) & (box[1] <= box[3])
     fault = _first_fault(
         ("bad-type", _no(kind.isin(*FIELD_TYPES))),
-        ("bad-options", (given("$.options") & F.try_variant_get(item, "$.options", "array<string>").isNull()) | _no(listed) | (kind.isin(*CHOICES) & (F.size(options) == 0))),
-        ("unsafe-pattern", given("$.validation.pattern") & _no((pattern == "") | pattern.rlike(FIELD_PATTERN))),
-        ("bad-range", (given("$.validation.min") & _no(whole(least))) | (given("$.validation.max") & _no(whole(most))) | (least > most)),
-        ("bad-id", given("$.id") & _no(_text(item, "$.id").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"))),
+        ("bad-options", (given("options") & m["options"].isNull()) | _no(listed) | (kind.isin(*CHOICES) & (F.size(options) == 0))),
+        ("unsafe-pattern", given("pattern") & _no((pattern == "") | pattern.rlike(FIELD_PATTERN))),
+        ("bad-range", (given("least") & _no(whole(least))) | (given("most") & _no(whole(most))) | (least > most)),
+        ("bad-id", given("id") & _no(m["id"].rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"))),
         ("bad-name", _no(_printable(name, 128) & (F.trim(name) != ""))),
-        ("bad-page", _no(F.try_variant_get(item, "$.page", "int").between(1, MOST_PAGES))),
+        ("bad-page", _no(m["page"].between(1, MOST_PAGES))),
         ("bad-box", _no(boxed)),
-        ("bad-calculation", given("$.calculation") & _no((_text(item, "$.calculation") == "") | _text(item, "$.calculation").rlike(CALCULATION))),
+        ("bad-calculation", given("calculation") & _no((m["calculation"] == "") | m["calculation"].rlike(CALCULATION))),
     )
-    return F.struct(_text(item, "$.id").alias("id"), name.alias("name"), kind.alias("type"), options.alias("options"), fault.alias("fault"))
+    return F.struct(m["id"].alias("id"), name.alias("name"), kind.alias("type"), options.alias("options"), fault.alias("fault"))
 
 
 def imported_forms(docs: DataFrame, form: str, column: str = "json", most: int = MOST_RECORDS) -> DataFrame:
@@ -84,7 +92,7 @@ def imported_forms(docs: DataFrame, form: str, column: str = "json", most: int =
     lists = {k: F.try_variant_get("_v", f"$.{k}", "array<variant>") for k in ("fields", "values")}
     read = read.select("doc_id", _text(F.col("_v"), "$.format").alias("_format"), *[v.alias(f"_{k}") for k, v in lists.items()])
     good = F.coalesce((F.col("_format") == form) & (F.size("_fields") <= most) & (F.size("_values") <= most) & F.col("_fields").isNotNull() & F.col("_values").isNotNull(), F.lit(False))
-    read = read.select("doc_id", good.alias("_good"), F.when(good, F.transform("_fields", _field)).alias("_fields"), F.when(good, F.col("_values")).alias("_values"))
+    read = read.select("doc_id", good.alias("_good"), F.when(good, F.transform(F.transform("_fields", _members), _field)).alias("_fields"), F.when(good, F.col("_values")).alias("_values"))
     named = read.withColumns({"_ids": F.transform("_fields", lambda f: f["id"]), "_names": F.transform("_fields", lambda f: f["name"])})
     none = F.lit(None).cast("string")
 
@@ -93,9 +101,13 @@ def imported_forms(docs: DataFrame, form: str, column: str = "json", most: int =
         code = F.coalesce(f["fault"], _first_fault(("duplicate-id", again("_ids", f["id"])), ("duplicate-name", again("_names", f["name"]))))
         return F.struct(F.lit("field").alias("kind"), at.alias("at"), f["id"].alias("id"), f["name"].alias("name"), f["type"].alias("type"), none.alias("value"), code.alias("code"))
 
+    def given(v: Column) -> Column:
+        id_ = _text(v, "$.id")
+        of = F.get("_fields", (F.array_position("_ids", id_) - 1).cast("int"))
+        return F.struct(id_.alias("id"), of.alias("of"), F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.value", "variant")), F.lit("VOID")).alias("kind"), F.try_variant_get(v, "$.value", "string").alias("text"))
+
     def value(v: Column, at: Column) -> Column:
-        of = F.get("_fields", (F.array_position("_ids", _text(v, "$.id")) - 1).cast("int"))
-        kind, text = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.value", "variant")), F.lit("VOID")), F.try_variant_get(v, "$.value", "string")
+        of, kind, text = v["of"], v["kind"], v["text"]
         right = (
             F.when(of["type"] == "checkbox", kind == "BOOLEAN")
             .when(of["type"] == "number", kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"))
@@ -103,10 +115,10 @@ def imported_forms(docs: DataFrame, form: str, column: str = "json", most: int =
             .otherwise((kind == "VOID") | ((kind == "STRING") & _printable(text, LONGEST_TEXT)))
         )
         code = _first_fault(("unknown-field", F.coalesce(of["id"].isNull(), F.lit(True))), ("bad-value", _no(right)))
-        return F.struct(F.lit("value").alias("kind"), at.alias("at"), _text(v, "$.id").alias("id"), of["name"].alias("name"), of["type"].alias("type"), text.alias("value"), code.alias("code"))
+        return F.struct(F.lit("value").alias("kind"), at.alias("at"), v["id"].alias("id"), of["name"].alias("name"), of["type"].alias("type"), text.alias("value"), code.alias("code"))
 
     file = F.array(F.struct(F.lit("file").alias("kind"), F.lit(None).cast("int").alias("at"), none.alias("id"), none.alias("name"), none.alias("type"), none.alias("value"), F.lit("bad-format").alias("code")))
-    rows = named.select("doc_id", F.when(F.col("_good"), F.concat(F.transform("_fields", field), F.transform("_values", value))).otherwise(file).alias("_rows"))
+    rows = named.select("doc_id", F.when(F.col("_good"), F.concat(F.transform("_fields", field), F.transform(F.transform("_values", given), value))).otherwise(file).alias("_rows"))
     rows = rows.withColumn("accepted", ~F.exists("_rows", lambda r: r["code"].isNotNull()))
     # An inner explode would have the optimizer test the length of the rows, and so read each file, a second time below.
     return rows.select("doc_id", F.explode_outer("_rows").alias("r"), "accepted").filter("r.kind IS NOT NULL").select("doc_id", "r.*", "accepted")
