@@ -4,10 +4,14 @@ expressions over one text, or rows of its lines."""
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quireframe.operators import text as X
 from quireframe.session import checkpointed
@@ -176,31 +180,76 @@ def claim_terms(claims: DataFrame) -> DataFrame:
     return each.select("claim_id", F.size("q").alias("n"), F.explode("q").alias("term"))
 
 
-#: As many distinct terms of claims are put into the plan, so that other tokens leave their sentence before they become rows.
-LISTED_TERMS = 1_000
+#: As many terms of claims, those of all claims together, go to the tasks, so that sentences are scored where their text lies.
+LISTED_TERMS = 200_000
 
 
-def sentence_scores(docs: DataFrame, claims: DataFrame) -> DataFrame:
+def _scored(index: dict[bytes, tuple[int, ...]], each_document: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best sentence of each claim (by its number in ``index``: the claims that a term is of) among sentences in lower case: of each
+    document, or of all that a task reads, of equals that of the smallest key and there the first. A task keeps a row a claim."""
+
+    def of(sentences: list[bytes]) -> dict[int, tuple[int, int]]:
+        out: dict[int, tuple[int, int]] = {}
+        for i, s in enumerate(sentences):
+            for k, n in Counter(chain.from_iterable(index[w] for w in X.words_of(s) if w in index)).items():
+                if k not in out or n > out[k][0]:
+                    out[k] = (n, i)
+        return out
+
+    def rows(found: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else ([],) * 4
+        kinds = (("doc_id", key), ("claim", pa.int32()), ("score", pa.int64()), ("idx", pa.int32()))
+        return pa.record_batch([pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        key = None
+        for batch in batches:
+            key = batch.column(0).type
+            for doc, sentences in zip(batch.column(0).to_pylist(), X.each_list(batch.column(1)), strict=True):
+                found = of(sentences)
+                if each_document and found:
+                    yield rows([(doc, k, n, i) for k, (n, i) in found.items()], key)
+                elif doc is not None:
+                    for k, (n, i) in found.items():
+                        if k not in best or n > best[k][0] or n == best[k][0] and doc < best[k][1]:
+                            best[k] = (n, doc, i)
+        if best:
+            yield rows([(doc, k, n, i) for k, (n, doc, i) in best.items()], key)
+
+    return run
+
+
+def sentence_scores(docs: DataFrame, claims: DataFrame, each_document: bool = True) -> tuple[DataFrame, bool]:
     """doc_id, idx (the sentence, from 0), claim_id, n (the claim's terms) and score: how many tokens of the sentence are terms of the
-    claim, at least one. ``doc_id`` and ``claim_id`` are keys.
+    claim, at least one. ``doc_id`` and ``claim_id`` are keys. With it, whether rows are few: then there is only the best sentence of
+    each document and claim, or, unless ``each_document``, of what a task reads and claim, and no row was shuffled.
 
-    Terms meet by an equi-join, however many claims there are. The join is a broadcast one while the claims' terms are within the
-    session's threshold for that, and a shuffle by term beyond it, where adaptive execution splits frequent terms. Where all claims
-    have ``LISTED_TERMS`` distinct terms at most, other tokens are left out before."""
+    So it is while claims have ``LISTED_TERMS`` terms at most. Beyond it terms meet by an equi-join, however many claims there are: a
+    broadcast one within the session's threshold for that, else a shuffle by term, where adaptive execution splits frequent terms."""
     X.ship_code(docs.sparkSession)
     terms = checkpointed(claim_terms(claims))
-    few = [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    few = terms.select("claim_id", "n", "term").limit(LISTED_TERMS + 1).collect()
+    if len(few) <= LISTED_TERMS:
+        number = {c: i for i, c in enumerate(dict.fromkeys(r["claim_id"] for r in few))}
+        index: dict[bytes, tuple[int, ...]] = {}
+        for r in few:
+            index[r["term"].encode()] = (*index.get(r["term"].encode(), ()), number[r["claim_id"]])
+        named = docs.sparkSession.createDataFrame(list({(number[r["claim_id"]], r["claim_id"], r["n"]) for r in few}), T.StructType([T.StructField("claim", T.IntegerType()), terms.schema["claim_id"], terms.schema["n"]]))
+        lowered = docs.select("doc_id", F.transform(X.sentence_array(F.col("text")), F.lower).alias("s"))
+        schema = T.StructType([docs.schema["doc_id"], T.StructField("claim", T.IntegerType()), T.StructField("score", T.LongType()), T.StructField("idx", T.IntegerType())])
+        return lowered.mapInArrow(_scored(index, each_document), schema).join(F.broadcast(named), "claim").drop("claim"), True
     # Outer, as a filter on what is exploded would be inferred otherwise, and would split every text once more. No null has a partner.
     each = X.with_sentences(docs).select("doc_id", F.posexplode_outer("t").alias("idx", "t"))
-    wanted = F.filter("t", lambda t: t.isin(few)) if len(few) <= LISTED_TERMS else F.col("t")
-    each = each.select("doc_id", "idx", F.explode_outer(wanted).alias("term"))
-    return each.join(terms, "term").groupBy("doc_id", "idx", "claim_id").agg(F.count("*").alias("score"), F.first("n").alias("n"))
+    each = each.select("doc_id", "idx", F.explode_outer("t").alias("term"))
+    return each.join(terms, "term").groupBy("doc_id", "idx", "claim_id").agg(F.count("*").alias("score"), F.first("n").alias("n")), False
 
 
-def _quoted(best: DataFrame, docs: DataFrame) -> DataFrame:
+def _quoted(best: DataFrame, docs: DataFrame, few: bool = False) -> DataFrame:
     """``best`` (doc_id, idx, score, n and more) with quote, the sentence itself, and confidence, the share of the claim's terms, 1 at
-    most. Sentences are made again for documents that are quoted."""
-    cited = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    most. Sentences are made again for documents that are quoted; ``few`` says that these can be sent to all tasks."""
+    ids = best.select("doc_id").distinct()
+    cited = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sentences = cited.select("doc_id", F.posexplode_outer(X.sentence_array(F.col("text"))).alias("idx", "quote"))
     kept = [c for c in best.columns if c not in ("idx", "score", "n")]
     return best.join(sentences, ["doc_id", "idx"]).select(*kept, "quote", F.least(F.lit(1.0), F.col("score") / F.col("n")).alias("confidence"))
@@ -225,7 +274,10 @@ def citations(docs: DataFrame, claims: DataFrame) -> DataFrame:
     few = claim_terms(claims).groupBy("claim_id").agg(F.collect_list("term").alias("terms")).limit(IN_ROWS + 1).collect()
     if 0 < len(few) <= IN_ROWS:
         return _in_rows(docs, few)
-    best = sentence_scores(docs, claims).groupBy("doc_id", "claim_id").agg(F.max(F.struct("score", -F.col("idx"), "n")).alias("b"))
+    scores, best_only = sentence_scores(docs, claims)
+    if best_only:
+        return _quoted(checkpointed(scores), docs)
+    best = scores.groupBy("doc_id", "claim_id").agg(F.max(F.struct("score", -F.col("idx"), "n")).alias("b"))
     return _quoted(checkpointed(best.select("doc_id", "claim_id", (-F.col("b.col2")).alias("idx"), "b.score", "b.n")), docs)
 
 
@@ -239,8 +291,9 @@ def unquoted(docs: DataFrame, claims: DataFrame, found: DataFrame) -> DataFrame:
 def best_sources(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """The sentence of all documents that holds most of each claim: claim_id, doc_id, quote and confidence; of equals the one of the
     smallest doc_id, and there the first. A claim that no document has a term of gives no row."""
-    best = sentence_scores(docs, claims).groupBy("claim_id").agg(F.max(F.struct("score", -F.col("doc_id"), -F.col("idx"), "n")).alias("b"))
-    return _quoted(checkpointed(best.select("claim_id", (-F.col("b.col2")).alias("doc_id"), (-F.col("b.col3")).alias("idx"), "b.score", "b.n")), docs)
+    scores, few = sentence_scores(docs, claims, each_document=False)
+    best = scores.groupBy("claim_id").agg(F.max(F.struct("score", -F.col("doc_id"), -F.col("idx"), "n")).alias("b"))
+    return _quoted(checkpointed(best.select("claim_id", (-F.col("b.col2")).alias("doc_id"), (-F.col("b.col3")).alias("idx"), "b.score", "b.n")), docs, few)
 
 
 def replaced(text: Column, find: str, by: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,6 +99,21 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9\s.-]", " ")
 
 
+#: What separates terms, and white space, as blanks; other bytes of UTF-8 as they are.
+_BLANKED = bytes(i if chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789.-" else 32 for i in range(256))
+
+
+def words_of(lowered: bytes) -> list[bytes]:
+    """``tokens`` of a text that is in lower case already, within a task."""
+    return lowered.translate(_BLANKED).split()
+
+
+def each_list(lists: pa.ListArray) -> Iterator[list[bytes]]:
+    """The texts of each list in UTF-8, of a null none, a list at a time, so that a batch is not held as Python objects."""
+    for x in lists:
+        yield x.values.cast(pa.large_binary()).to_pylist() if x.is_valid else []
+
+
 def term_counts(text: Column) -> Column:
     """A text's terms of three letters or more that are no stop words: array of term, tf and first_pos (among all its
     tokens), in order of occurrence. A text is counted where it lies: its terms dealt out are several times its size."""

@@ -89,3 +89,17 @@ def test_geometry_is_read_within_a_row(spark):
     assert "Exchange" not in plan_of(found)
     rows = sorted((r["page"], r["width"], r["height"], r["rotation"], r["crop_box"] and r["crop_box"]["top"], r["valid"]) for r in found.collect())
     assert rows == [(1, 3.0, 4.0, None, 2.0, True), (2, 5.0, 6.0, 180, None, False), (10, 7.0, 8.0, None, None, False)]
+
+
+def test_sentences_are_scored_where_they_lie(spark, monkeypatch):
+    """Of many claims no sentence's tokens are shuffled, and a task gives a row a claim."""
+    from quireframe.operators import structure as C
+
+    docs = spark.range(60).repartition(3).selectExpr("id AS doc_id", "concat('Word', id % 7, ' a. word', id % 7, ' É word', id % 5, '\t word', id % 5, '! word', id % 3) AS text")
+    claims = spark.range(1_200).selectExpr("id AS claim_id", "concat('word', id % 9, ' word', id, ' the') AS claim")
+    scores, few = C.sentence_scores(docs, claims, each_document=False)
+    assert few and scores.count() <= 3 * 1_200 and plan_of(scores).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 0
+    key = lambda df: sorted(map(tuple, df.collect()))
+    now = [key(C.best_sources(docs, claims)), key(C.citations(docs, claims))]
+    monkeypatch.setattr(C, "LISTED_TERMS", 0)
+    assert now == [key(C.best_sources(docs, claims)), key(C.citations(docs, claims))] and len(now[0]) > 800
