@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,14 @@ from quireframe.session import ship_code
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: White space of any script, and what no word character (ASCII letters, digits, underscore) lies before or after.
 SPACES = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SPACES = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 EDGES = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 #: White space may follow the dollar sign, commas part groups of three.
 AMOUNT = r"\$" + SPACES + r"?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?"
 #: Words that carry no topic, and a glossary.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "was", "were", "be", "as", "by", "with", "that", "this", "it", "from", "at")
+_STOPS = frozenset(w.encode() for w in STOP_WORDS)
 GLOSSARY = {"document": "documento", "page": "página", "form": "formulario", "signature": "firma", "review": "revisión", "accessibility": "accesibilidad", "redaction": "redacción", "print": "impresión", "measurement": "medición", "project": "proyecto", "summary": "resumen", "contract": "contrato", "value": "valor", "safety": "seguridad", "valve": "válvula"}
 #: Values of a kind that an extraction lists at most.
 LISTED = 50
@@ -35,7 +38,7 @@ def pages_of(docs: DataFrame, key: str = "doc_id", text: str = "text", separator
 
 def trimmed(text: Column) -> Column:
     """``text`` without white space of any script at its ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACES}+", ""), f"{SPACES}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -94,11 +97,6 @@ def tokens(text: Column) -> Column:
 _TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("first_pos", T.IntegerType())]))
 
 
-def _plain(text: Column) -> Column:
-    """``text`` with what separates terms as spaces."""
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9\s.-]", " ")
-
-
 #: What separates terms, and white space, as blanks; other bytes of UTF-8 as they are.
 _BLANKED = bytes(i if chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789.-" else 32 for i in range(256))
 
@@ -114,28 +112,51 @@ def each_list(lists: pa.ListArray) -> Iterator[list[bytes]]:
         yield x.values.cast(pa.large_binary()).to_pylist() if x.is_valid else []
 
 
-def term_counts(text: Column) -> Column:
+#: Bytes of text, about, whose terms are Python objects at a time.
+COUNTED_BYTES = 1 << 20
+
+
+def _counted(texts: pa.Array, most: int | None) -> pa.ListArray:
+    """``term_counts`` of texts in lower case. What is counted becomes an Arrow array every ``COUNTED_BYTES``, as a batch's terms take
+    many times its size as Python objects."""
+    done: list[pa.ListArray] = []
+    terms, tf, first, ends, size = [], [], [], [0], 0
+
+    def put_aside() -> None:
+        rows = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(first, pa.int32())], ["term", "tf", "first_pos"])
+        done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows))
+        for x in (terms, tf, first, ends):
+            x.clear()
+        ends.append(0)
+
+    for x in texts.cast(pa.large_binary()):
+        text = x.as_py() or b""
+        words = words_of(text)
+        at = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
+        own = [(w, n) for w, n in Counter(words).items() if len(w) >= 3 and w not in _STOPS]
+        if most is not None:
+            own = sorted(own, key=lambda wn: -wn[1])[:most]
+        terms += [w for w, _ in own]
+        tf += [n for _, n in own]
+        first += [at[w] for w, _ in own]
+        ends.append(len(terms))
+        size += len(text)
+        if size >= COUNTED_BYTES:
+            put_aside()
+            size = 0
+    put_aside()
+    return pa.concat_arrays(done)
+
+
+def term_counts(text: Column, most: int | None = None) -> Column:
     """A text's terms of three letters or more that are no stop words: array of term, tf and first_pos (among all its
-    tokens), in order of occurrence. A text is counted where it lies: its terms dealt out are several times its size."""
-    stop = frozenset(STOP_WORDS)
+    tokens), in order of occurrence, or the ``most`` frequent, of equals the first. A text is counted where it lies: its terms
+    dealt out are several times its size."""
 
     def count(texts: pa.Array) -> pa.Array:
-        terms, tf, first, ends = [], [], [], [0]
-        for t in texts.to_pylist():
-            at: dict[str, int] = {}
-            n: Counter[str] = Counter()
-            for i, w in enumerate((t or "").split()):
-                if len(w) >= 3 and w not in stop:
-                    n[w] += 1
-                    at.setdefault(w, i)
-            terms += n
-            tf += n.values()
-            first += at.values()
-            ends.append(len(terms))
-        rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(first, pa.int32())], ["term", "tf", "first_pos"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-
-    return F.arrow_udf(count, _TERMS)(_plain(text))
+        return _counted(texts, most)
+
+    return F.arrow_udf(count, _TERMS)(F.lower(text))
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
@@ -152,8 +173,7 @@ def document_frequency(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def ranked_terms(text: Column, n: int) -> Column:
     """The ``n`` most frequent terms of a text, ties by first occurrence: array of term and tf."""
-    order = F.sort_array(F.transform(term_counts(text), lambda t: F.struct((-t["tf"]).alias("less"), t["first_pos"].alias("at"), t["term"].alias("term"))))
-    return F.transform(F.slice(order, 1, n), lambda t: F.struct(t["term"].alias("term"), (-t["less"]).alias("tf")))
+    return F.transform(term_counts(text, n), lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf")))
 
 
 def top_terms(docs: DataFrame, n: int) -> DataFrame:
@@ -176,25 +196,29 @@ def sentences(docs: DataFrame) -> DataFrame:
 def summary_places(parts: Column, n: int) -> Column:
     """Places (from 0, rising) of the ``n`` sentences, of ``parts``, whose terms are most frequent in all of them on average, the
     first of equals. Stop words do not count; terms of fewer than three letters count as never occurring."""
-    stop = frozenset(STOP_WORDS)
 
     def pick(parts: pa.Array) -> pa.Array:
         out = []
-        for sents in parts.to_pylist():
-            words = [[w for w in s.split() if w not in stop] for s in sents or []]
-            tf = Counter(w for own in words for w in own if len(w) >= 3)
-            scores = [round(sum(tf[w] for w in own) / len(own), 9) if own else 0.0 for own in words]
+        for sents in each_list(parts):
+            words = [[w for w in words_of(s) if w not in _STOPS] for s in sents]
+            tf = Counter(chain.from_iterable(words))
+            for w in tf:
+                if len(w) < 3:
+                    tf[w] = 0
+            scores = [round(sum(map(tf.__getitem__, own)) / len(own), 9) if own else 0.0 for own in words]
             out.append(sorted(sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:n]))
         return pa.array(out, pa.list_(pa.int32()))
 
-    return F.arrow_udf(pick, T.ArrayType(T.IntegerType()))(F.transform(parts, _plain))
+    return F.arrow_udf(pick, T.ArrayType(T.IntegerType()))(F.transform(parts, F.lower))
 
 
 def summary(docs: DataFrame, n: int) -> DataFrame:
     """The ``n`` best sentences of each document in their order: doc_id, idx, sentence. No shuffle."""
     ship_code(docs.sparkSession)
     each = docs.select("doc_id", sentence_array(F.col("text")).alias("s")).withColumn("p", summary_places(F.col("s"), n))
-    return each.select("doc_id", "s", F.explode("p").alias("idx")).select("doc_id", "idx", F.get("s", F.col("idx")).alias("sentence"))
+    # An inner explode would have the optimizer test the length of p, and so make all sentences, a second time below.
+    rows = each.select("doc_id", "s", F.explode_outer("p").alias("idx")).filter("idx IS NOT NULL")
+    return rows.select("doc_id", "idx", F.get("s", F.col("idx")).alias("sentence"))
 
 
 def question_terms(question: str) -> list[str]:

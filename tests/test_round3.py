@@ -103,3 +103,13 @@ def test_sentences_are_scored_where_they_lie(spark, monkeypatch):
     now = [key(C.best_sources(docs, claims)), key(C.citations(docs, claims))]
     monkeypatch.setattr(C, "LISTED_TERMS", 0)
     assert now == [key(C.best_sources(docs, claims)), key(C.citations(docs, claims))] and len(now[0]) > 800
+
+
+def test_a_summary_is_made_once(spark):
+    """Sentences and their scores are not made again for a filter below."""
+    docs = spark.createDataFrame([(1, "Pumps fail. Pumps fail when valves leak! Other."), (2, None), (3, "")], "doc_id int, text string")
+    from quireframe.operators import text as X
+
+    found = X.summary(docs, 1)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "Pumps fail.")]
+    assert plan_of(found).count("ArrowEvalPython") == 1
