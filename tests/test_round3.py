@@ -113,3 +113,15 @@ def test_a_summary_is_made_once(spark):
     found = X.summary(docs, 1)
     assert sorted(map(tuple, found.collect())) == [(1, 0, "Pumps fail.")]
     assert plan_of(found).count("ArrowEvalPython") == 1
+
+
+def test_ends_are_trimmed_as_sql_does(spark):
+    """A next-line character ends no text, so that a blank before it stays."""
+    from quireframe.operators import structure as C
+    from quireframe.operators import text as X
+
+    texts = ["　 a b﻿\n", "a \x85", "\x85 a", "   ", "", "é é ", "\x1c a \x1f", None]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select(X.trimmed(F.col("t")).alias("t")).collect()]
+    assert got == ["a b", "a \x85", "\x85 a", "", "", "é é", "\x1c a \x1f", None]
+    marks = C.bookmarks(spark.createDataFrame([(1, "SECTION A \x85\n x")], "doc_id int, text string"))
+    assert plan_of(marks).count("2000-") <= 1  # white space is trimmed without an expression, but where sentences are split
