@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,26 +42,34 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern that cannot be empty, left to right without overlap: array of start (from 0) and match.
+def _starts(gaps: Column, lengths: Column) -> Column:
+    """Where matches start (from 0), by the lengths of what lies before each since the last one, and their own: running sums."""
 
-    The gaps between matches come from a split by the same pattern; a start is the sum of all that lies before.
-    """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), x["match"].alias("match")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,match:string>>)").alias("out"))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
-    return F.aggregate(pairs, start, step)["out"]
+    def run(gaps: pa.Array, lengths: pa.Array) -> pa.Array:
+        own = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        passed = np.concatenate([[0], np.cumsum(gaps.flatten().to_numpy(zero_copy_only=False) + own)])
+        n = np.array([len(x) if x.is_valid else 0 for x in lengths], np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        starts = passed[1:] - own - np.repeat(passed[ends[:-1]], n)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(starts, pa.int32()))
 
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(gaps, lengths)
 
-def match_rows(pages: DataFrame, pattern: str) -> DataFrame:
-    """A row per match: doc_id, page, match number on the page, start, end (from 0) and the matching text."""
-    hit = pages.filter(F.col("text").rlike(pattern))  # so that gaps are made only where there is a match
-    each = hit.select("doc_id", "page", F.posexplode(located(F.col("text"), pattern)).alias("n", "m"))
-    return each.select("doc_id", "page", (F.col("n") + 1).alias("match_no"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.match")).alias("end"), F.col("m.match").alias("match"))
+
+def match_rows(pages: DataFrame, pattern: str, needs: str | None = None) -> DataFrame:
+    """A row per match of a pattern that cannot be empty, left to right without overlap: doc_id, page, match number on the page, start,
+    end (from 0) and the matching text. ``needs`` is what every match holds.
+
+    The gaps between matches come from a split by the same pattern; a start is the sum of all that lies before."""
+    ship_code(pages.sparkSession)
+    able = pages if needs is None else pages.filter(F.contains("text", F.lit(needs)))
+    hit = able.filter(F.col("text").rlike(pattern))  # so that gaps are made only where there is a match
+    each = hit.select("doc_id", "page", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("f"), F.transform(F.split("text", pattern, -1), F.length).alias("g"))
+    each = each.select("doc_id", "page", "f", F.slice("g", 1, F.size("f")).alias("g"), F.transform("f", F.length).alias("n"))
+    each = each.withColumn("s", _starts(F.col("g"), F.col("n")))
+    # Outer, though each has a match, as the length of what is exploded would be tested below, and starts be made a second time.
+    each = each.select("doc_id", "page", F.posexplode_outer(F.arrays_zip(F.col("s").alias("start"), F.col("n").alias("length"), F.col("f").alias("match"))).alias("i", "m"))
+    return each.select("doc_id", "page", (F.col("i") + 1).alias("match_no"), F.col("m.start").alias("start"), (F.col("m.start") + F.col("m.length")).alias("end"), F.col("m.match").alias("match"))
 
 
 def literal_pattern(needle: str, case_sensitive: bool = False, whole_word: bool = False) -> str:

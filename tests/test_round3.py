@@ -125,3 +125,17 @@ def test_ends_are_trimmed_as_sql_does(spark):
     assert got == ["a b", "a \x85", "\x85 a", "", "", "é é", "\x1c a \x1f", None]
     marks = C.bookmarks(spark.createDataFrame([(1, "SECTION A \x85\n x")], "doc_id int, text string"))
     assert plan_of(marks).count("2000-") <= 1  # white space is trimmed without an expression, but where sentences are split
+
+
+def test_places_of_matches_are_running_sums(spark):
+    import re
+
+    from quireframe.operators import text as X
+
+    texts = ["ab  cd", None, "", "  ", "é ab, \U0001f600x ab", " ".join(["word"] * 3_000), "ab"]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, page int, text string")
+    found = X.match_rows(pages, "[a-z]+")
+    want = [(i, 1, n, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for n, m in enumerate(re.finditer("[a-z]+", t or ""), 1)]
+    assert sorted(map(tuple, found.collect())) == want
+    plan = plan_of(found)
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
