@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from quireframe.session import ship_code
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same matches, looked for where a name can begin only: at its first character, or where the match before it ends.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + EMAIL.replace("+@", "++@")
 #: White space of any script, and what no word character (ASCII letters, digits, underscore) lies before or after.
 SPACES = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _SPACES = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -275,9 +277,10 @@ def extracted(docs: DataFrame) -> DataFrame:
     """The first distinct e-mail addresses, dates and amounts of each document, joined by bars in order of occurrence, and
     its 20 most frequent terms with their counts (term:count). No list holds a bar otherwise."""
     ship_code(docs.sparkSession)
-    get = lambda p: F.array_join(distinct_values(F.col("text"), p), "|")
+    get = lambda p, text=F.col("text"): F.array_join(distinct_values(text, p), "|")
+    holds = lambda c: F.when(F.contains("text", F.lit(c)), F.col("text")).otherwise(F.when(F.col("text").isNotNull(), ""))
     keywords = F.array_join(F.transform(ranked_terms(F.col("text"), 20), lambda t: F.concat(t["term"], F.lit(":"), t["tf"].cast("string"))), "|")
-    return docs.select("doc_id", get(EMAIL).alias("emails"), get(EDGES[0] + DATE + EDGES[1]).alias("dates"), get(AMOUNT).alias("amounts"), keywords.alias("keywords"))
+    return docs.select("doc_id", get(_EMAIL, holds("@")).alias("emails"), get("(?=[0-9])" + EDGES[0] + DATE + EDGES[1]).alias("dates"), get(AMOUNT, holds("$")).alias("amounts"), keywords.alias("keywords"))
 
 
 def translated(text: Column) -> Column:

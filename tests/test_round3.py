@@ -139,3 +139,19 @@ def test_places_of_matches_are_running_sums(spark):
     assert sorted(map(tuple, found.collect())) == want
     plan = plan_of(found)
     assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_extracted_values(spark):
+    """Addresses are looked for in texts with an @ only, and where one can begin only, with the same matches."""
+    import random
+    import re
+
+    from quireframe.operators import text as X
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab@@..9-% $1,2\n") for _ in range(r.randrange(60))) for _ in range(2_000)] + ["a@b.co.9x@c.de", "x@y.zz@q.rr", "", None]
+    found = X.extracted(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    first = lambda p, t: t if t is None else "|".join(list(dict.fromkeys(re.findall(p, t)))[:50])
+    assert [(x["emails"], x["amounts"]) for x in sorted(found.collect())] == [(first(X.EMAIL, t), first(r"\$\s?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?", t)) for t in texts]
+    assert "Contains(" in found._jdf.queryExecution().optimizedPlan().toString() or "contains(" in plan_of(found).lower()
+    assert "sort_array" not in plan_of(found)
