@@ -155,3 +155,19 @@ def test_extracted_values(spark):
     assert [(x["emails"], x["amounts"]) for x in sorted(found.collect())] == [(first(X.EMAIL, t), first(r"\$\s?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?", t)) for t in texts]
     assert "Contains(" in found._jdf.queryExecution().optimizedPlan().toString() or "contains(" in plan_of(found).lower()
     assert "sort_array" not in plan_of(found)
+
+
+def test_terms_of_a_batch_are_not_all_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quireframe.operators import text as X
+
+    texts = pa.array([" ".join(f"w{i * j % 997}-{i}" for j in range(300)) for i in range(2_000)] + [None, "", "a of x.y é ab pump pump"])
+    tracemalloc.start()
+    got = X._counted(texts, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20 and len(got.flatten()) > 500_000
+    assert got[-1].as_py() == [{"term": "x.y", "tf": 1, "first_pos": 2}, {"term": "pump", "tf": 2, "first_pos": 4}] and got[-2].as_py() == got[-3].as_py() == []
