@@ -262,9 +262,18 @@ def with_sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sentence_array(F.col("text")).alias("s")).withColumn("t", F.transform("s", tokens))
 
 
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """How many tokens of a text are one of ``terms``, of which none is empty; the text's other tokens are not made."""
+    begin = "".join(sorted({re.escape(t[0]) for t in terms}))
+    pattern = f"(?=[{begin}])(?<![a-z0-9.-])(?:{'|'.join(map(re.escape, terms))})(?![a-z0-9.-])"
+    return F.regexp_count(F.lower(text), F.lit(pattern))
+
+
 def ask(docs: DataFrame, question: str) -> DataFrame:
     """doc_id, answer and confidence: a row for every document."""
-    best = with_sentences(docs).select("doc_id", best_sentence(F.col("s"), F.col("t"), question).alias("b"))
+    q = question_terms(question)
+    parts = docs.select("doc_id", sentence_array(F.col("text")).alias("s"))
+    best = parts.select("doc_id", F.array_max(F.transform("s", lambda s, i: F.struct(term_hits(s, q).alias("score"), (-i).alias("less"), s.alias("s")))).alias("b"))
     return best.select("doc_id", answer_of(F.col("b"), question).alias("a")).select("doc_id", "a.*")
 
 

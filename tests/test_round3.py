@@ -171,3 +171,16 @@ def test_terms_of_a_batch_are_not_all_objects_at_once():
     tracemalloc.stop()
     assert peak < 30 << 20 and len(got.flatten()) > 500_000
     assert got[-1].as_py() == [{"term": "x.y", "tf": 1, "first_pos": 2}, {"term": "pump", "tf": 2, "first_pos": 4}] and got[-2].as_py() == got[-3].as_py() == []
+
+
+def test_question_terms_are_counted_without_tokens(spark):
+    import random
+
+    from quireframe.operators import text as X
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["pump", "Pump", "a.b", "a", ".", "-", " ", "  ", "é", ",", "\t", "b"]) for _ in range(r.randrange(20))) for _ in range(2_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    terms = ["pump", "a.b", "a", "-", "pump-pump"]
+    assert df.filter(X.term_hits(F.col("text"), terms) != F.size(F.filter(X.tokens(F.col("text")), lambda t: t.isin(*terms)))).count() == 0
+    assert "array_remove" not in plan_of(X.ask(df, "a pump"))
