@@ -44,7 +44,7 @@ def kinds(pages: DataFrame, custom: list[tuple[str, str, bool]] = ()) -> DataFra
     (label, pattern, whether it is an expression): literals are found as they are, expressions, which are bounded ones, in any
     case, leftmost and longest. Kinds are searched apart, so that matches of several may overlap."""
     found = [
-        (X.match_rows(pages, EMAIL), "email", "Email"),
+        (X.match_rows(pages, EMAIL, needs="@"), "email", "Email"),
         (X.match_rows(pages, PHONE).filter(F.length(digits(F.col("match"))) <= PHONE_DIGITS), "phone", "Phone"),
         (payment_cards(pages), "payment-card", "Payment card"),
     ]
@@ -52,7 +52,7 @@ def kinds(pages: DataFrame, custom: list[tuple[str, str, bool]] = ()) -> DataFra
         if expression:
             found.append((bounded_rows(pages, pattern), "custom-regex", label))
         else:
-            found.append((X.match_rows(pages, X.literal_pattern(pattern, case_sensitive=True)), "custom-literal", label))
+            found.append((X.match_rows(pages, X.literal_pattern(pattern, case_sensitive=True), needs=pattern), "custom-literal", label))
     return reduce(DataFrame.unionByName, [m.select("doc_id", "page", "start", "end", F.lit(kind).alias("kind"), F.lit(label).alias("label")) for m, kind, label in found])
 
 

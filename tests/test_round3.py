@@ -184,3 +184,21 @@ def test_question_terms_are_counted_without_tokens(spark):
     terms = ["pump", "a.b", "a", "-", "pump-pump"]
     assert df.filter(X.term_hits(F.col("text"), terms) != F.size(F.filter(X.tokens(F.col("text")), lambda t: t.isin(*terms)))).count() == 0
     assert "array_remove" not in plan_of(X.ask(df, "a pump"))
+
+
+def test_short_matches_are_grown_from_where_they_can_start(monkeypatch):
+    import random
+
+    from quireframe.functions.bounded import Bounded
+
+    r = random.Random(5)
+    for source in ("a|ab|[a-c][0-9][0-9]|abl", "a?b?", "[^a]b", "k{1,3}x?", ".{2}"):
+        b = Bounded(source, ignore_case=True)
+        texts = ["".join(r.choice("abcABClkxKKé019\n") for _ in range(r.randrange(30))) for _ in range(500)]
+        found = [b.find_all(t) for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(Bounded, "_starts", None)
+            assert found == [b.find_all(t) for t in texts]
+        b.short = False
+        assert found == [b.find_all(t) for t in texts]
+    assert not any(Bounded(x).short for x in ("a+b", "^a", "a$", "a{65}"))
