@@ -11,6 +11,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quireframe.functions import measures as M
 from quireframe.session import ship_to_active
@@ -184,24 +185,65 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+class _NotPlain(Exception):
+    """A number whose canonical form is not what it was read as."""
+
+
+def _whole(digits: str) -> int:
+    if len(digits) > 15:
+        raise _NotPlain
+    return int(digits)
+
+
+def _fraction(digits: str) -> float:
+    raise _NotPlain
+
+
+_read = json.JSONDecoder(parse_constant=_no_constant).decode
+_read_plain = json.JSONDecoder(parse_constant=_no_constant, parse_int=_whole, parse_float=_fraction).decode
+_write_plain = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+
+
+def canonical_text(text: str) -> str | None:
+    """The canonical form of a JSON text, as ``canonical``. Where the text is ASCII without escapes of other characters, and its numbers
+    are whole ones of 15 characters at most, the library's own order and form are the canonical ones."""
+    try:
+        if text.isascii() and "\\u" not in text:
+            try:
+                return _write_plain(_read_plain(text))
+            except _NotPlain:
+                pass
+        v = _read(text)
+        return None if _infinite(v) else canonical_json(v)
+    except (ValueError, RecursionError):
+        return None
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a JSON text; null where it is none or holds a number that is not finite."""
 
     ship_to_active()
 
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            try:
-                v = json.loads(t, parse_constant=_no_constant) if t is not None else None
-                out.append(canonical_json(v) if t is not None and not _infinite(v) else None)
-            except (ValueError, RecursionError):
-                out.append(None)
-        return pa.array(out, pa.string())
+        return pa.array([None if t is None else canonical_text(t) for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(text)
 
 
+def canonical_list(texts: Column) -> Column:
+    """``canonical`` of each text of an array."""
+    ship_to_active()
+
+    def run(lists: pa.Array) -> pa.Array:
+        ends = [0]
+        for x in lists:
+            ends.append(ends[-1] + (len(x) if x.is_valid else 0))
+        flat = pa.array([None if t is None else canonical_text(t) for t in lists.flatten().to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(texts)
+
+
 def _infinite(v) -> bool:
     if isinstance(v, dict):
         return any(map(_infinite, v.values()))

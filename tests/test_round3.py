@@ -202,3 +202,36 @@ def test_short_matches_are_grown_from_where_they_can_start(monkeypatch):
         b.short = False
         assert found == [b.find_all(t) for t in texts]
     assert not any(Bounded(x).short for x in ("a+b", "^a", "a$", "a{65}"))
+
+
+def test_checks_meet_before_their_texts_are_made(spark):
+    from quireframe.operators import interchange as I
+
+    checks = spark.createDataFrame([(1, 1, "a.b", "pass", "s", '{"b": 1, "a": [1.50, "x"]}')], "doc_id int, at int, check string, status string, summary string, evidence string")
+    documents = spark.createDataFrame([(1, "00", 2)], "doc_id int, sha256 string, pages int")
+    found = I.check_reports(checks, documents, "p", [])
+    plan = plan_of(found).split("Initial Plan")[1]
+    assert "{&quot;a&quot;:[1.5,&quot;x&quot;],&quot;b&quot;:1}" in found.first()["xml"]
+    assert plan.count("Exchange hashpartitioning(doc_id") <= 2 and "Exchange" not in plan[: plan.index("ArrowEvalPython")]
+
+
+def test_canonical_texts_by_both_ways():
+    import json
+    import random
+
+    from quireframe.functions import values as V
+
+    r = random.Random(2)
+    scalars = [0, -0.0, 1, -7, 10**15, 10**16, 10**21, 1.0, 1e-7, 1e21, 2.5, True, False, None, "", "a\tb", 'q"', "\\u00e9", "é", "\U0001f600", "￿", "x/y"]
+
+    def made(level: int):
+        k = r.random()
+        if level and k < 0.4:
+            return {r.choice(["a", "B", "é", "\U0001f600", "￿", "", "a b"]): made(level - 1) for _ in range(r.randrange(4))}
+        return [made(level - 1) for _ in range(r.randrange(4))] if level and k < 0.7 else r.choice(scalars)
+
+    for _ in range(3_000):
+        v = made(3)
+        assert V.canonical_text(json.dumps(v, ensure_ascii=r.random() < 0.5)) == V.canonical_json(v)
+    for text, want in (('{"a":1,"a":2}', '{"a":2}'), ("[NaN]", None), ("1e999", None), ("[-Infinity]", None), ("{", None), ("", None), (" [1 , -0]\n", "[1,0]"), ("[" * 100_000, None), ("9" * 15, "9" * 15)):
+        assert V.canonical_text(text) == want
