@@ -157,6 +157,8 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     office.register(spark)
     at = f"{shared_folder(spark)}/office-{uuid.uuid4().hex[:12]}"
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat_ws("\n", "p_name", "p_type", "p_brand").alias("text"))
+    # A file costs far more than its row's bytes, by which a table is dealt out to tasks.
+    part = part.repartition(spark.sparkContext.defaultParallelism)
     part.write.format("office").mode("append").option("kind", "docx").save(at)
     read = spark.read.format("office").load(at)
     return read.select(F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long").alias("p_partkey"), "text")

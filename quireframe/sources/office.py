@@ -29,6 +29,8 @@ _PART = '<Override PartName="/%s" ContentType="application/vnd.openxmlformats-of
 
 def _legal(text: str) -> str:
     """``text`` without what XML cannot hold, escaped."""
+    if text.isascii() and text.isprintable():
+        return escape(text)
     return escape("".join(c for c in text if c in "\t\n" or " " <= c <= "퟿" or "" <= c <= "�" or c >= "\U00010000"))
 
 

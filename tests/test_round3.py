@@ -235,3 +235,14 @@ def test_canonical_texts_by_both_ways():
         assert V.canonical_text(json.dumps(v, ensure_ascii=r.random() < 0.5)) == V.canonical_json(v)
     for text, want in (('{"a":1,"a":2}', '{"a":2}'), ("[NaN]", None), ("1e999", None), ("[-Infinity]", None), ("{", None), ("", None), (" [1 , -0]\n", "[1,0]"), ("[" * 100_000, None), ("9" * 15, "9" * 15)):
         assert V.canonical_text(text) == want
+
+
+def test_files_are_made_in_all_tasks(spark):
+    from quireframe.plans.queries import QUERIES
+
+    spark.sparkContext.setJobGroup("office", "office")
+    assert QUERIES["office_files"](spark, "/root/testdata/sf0.001").count() == 200
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("office") for s in status.getJobInfo(j).stageIds]
+    assert sum(s.numTasks == spark.sparkContext.defaultParallelism for s in stages if s) >= 1
