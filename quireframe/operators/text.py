@@ -6,10 +6,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,10 +125,49 @@ def each_list(lists: pa.ListArray) -> Iterator[list[bytes]]:
         yield x.values.cast(pa.large_binary()).to_pylist() if x.is_valid else []
 
 
-#: Bytes of text, about, whose terms are Python objects at a time.
+#: Bytes of text, about, that are parted into tokens at a time.
 COUNTED_BYTES = 1 << 20
 
 
+class Tokens(NamedTuple):
+    """The tokens of texts, one after another: the text that each is of and its number in ``words``, the distinct ones; ``stop`` and
+    ``short`` tell of each of these whether it is a stop word, or has fewer than three letters."""
+
+    text: np.ndarray
+    number: np.ndarray
+    words: pa.Array
+    stop: np.ndarray
+    short: np.ndarray
+
+
+def _tokens_in(lowered: pa.Array) -> Tokens:
+    """The ``tokens`` of texts in lower case, within a task. No token is a Python object."""
+    texts = lowered.fill_null("").cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    plain = data[ends[0] : ends[-1]].to_pybytes().translate(_BLANKED) if data is not None else b""
+    raw = np.frombuffer(plain, np.uint8)
+    part = raw != 32
+    begins = part.copy()
+    begins[1:] &= ~part[:-1]
+    edges = ends[:-1][np.diff(ends) > 0] - ends[0]  # a text begins a token, whatever the one before it ends with
+    begins[edges] = part[edges]
+    at = np.flatnonzero(begins)
+    own = np.cumsum(part, dtype=np.int32)[at] - 1 if len(at) else at
+    starts = np.append(own, np.count_nonzero(part)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(raw[part])]).dictionary_encode()
+    words = found.dictionary
+    stop = pc.is_in(words, pa.array([w.encode() for w in STOP_WORDS], pa.binary())).to_numpy(zero_copy_only=False)
+    text = np.searchsorted(ends - ends[0], at, "right") - 1
+    return Tokens(text, found.indices.to_numpy(), words, stop, pc.binary_length(words).to_numpy(zero_copy_only=False) < 3)
+
+
+def _shares(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``COUNTED_BYTES``, about, whose bytes are given: one at least."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // COUNTED_BYTES)) + 1
+    yield from pairwise([0, *cuts.tolist(), len(sizes)])
+
+
 def _counted(texts: pa.Array, most: int | None) -> pa.ListArray:
     """``term_counts`` of texts in lower case. What is counted becomes an Arrow array every ``COUNTED_BYTES``, as a batch's terms take
     many times its size as Python objects."""
@@ -204,21 +245,32 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("idx", "sentence"))
 
 
+def _best_sentences(sents: pa.Array, doc: np.ndarray, n: int) -> np.ndarray:
+    """Places among ``sents``, rising, of the ``n`` of each document (the number in ``doc``, rising) whose terms are met in it most often on
+    average, with nine places."""
+    t = _tokens_in(sents)
+    kept = ~t.stop[t.number]
+    sent, number = t.text[kept], t.number[kept]
+    term = pa.array(doc[sent] * len(t.words) + number).dictionary_encode().indices.to_numpy()
+    often = np.where(t.short[number], 0, np.bincount(term)[term]) if len(term) else term
+    score = np.rint(np.bincount(sent, often, len(sents)) / np.maximum(np.bincount(sent, minlength=len(sents)), 1) * 1e9)
+    order = np.lexsort((-score, doc))
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc[order])
+    return np.sort(order[rank < n])
+
+
 def summary_places(parts: Column, n: int) -> Column:
     """Places (from 0, rising) of the ``n`` sentences, of ``parts``, whose terms are most frequent in all of them on average, the
     first of equals. Stop words do not count; terms of fewer than three letters count as never occurring."""
 
     def pick(parts: pa.Array) -> pa.Array:
-        out = []
-        for sents in each_list(parts):
-            words = [[w for w in words_of(s) if w not in _STOPS] for s in sents]
-            tf = Counter(chain.from_iterable(words))
-            for w in tf:
-                if len(w) < 3:
-                    tf[w] = 0
-            scores = [round(sum(map(tf.__getitem__, own)) / len(own), 9) if own else 0.0 for own in words]
-            out.append(sorted(sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:n]))
-        return pa.array(out, pa.list_(pa.int32()))
+        counts = pc.list_value_length(parts).fill_null(0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        sents = parts.flatten()
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(sents).to_numpy())])[ends]
+        best = [_best_sentences(sents[ends[a] : ends[b]], np.repeat(np.arange(b - a), counts[a:b]), n) + ends[a] for a, b in _shares(np.diff(sizes))]
+        places = np.concatenate(best) - np.repeat(ends[:-1], np.minimum(counts, n))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(counts, n))]), pa.int32()), pa.array(places, pa.int32()))
 
     return F.arrow_udf(pick, T.ArrayType(T.IntegerType()))(F.transform(parts, F.lower))
 
