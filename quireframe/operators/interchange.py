@@ -194,37 +194,69 @@ def escaped(text: str) -> str:
     return reduce(lambda t, e: t.replace(*e), C.MARKUP_ESCAPES, text)
 
 
+def _met_pages(words: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
+    """A row for each of ``sizes``: doc_id, page and _p, a structure of page, wide, high and _w, the page's words as they are. Both tables are
+    dealt out once, ``by`` their keys or some of them, so that no word is shuffled as a text made of it, nor a second time."""
+    word = F.struct("id", "text", "confidence", "x", "y", "width", "height")
+    size = F.struct(F.col("points_wide").alias("wide"), F.col("points_high").alias("high"))
+    words, sizes = words.filter("doc_id IS NOT NULL AND page IS NOT NULL").select("doc_id", "page", word.alias("_w")), sizes.select("doc_id", "page", size.alias("_z"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    rows = words.select("*", none(sizes, "_z")).unionByName(sizes.select("*", none(words, "_w"))).repartition(*by)
+    met = rows.groupBy("doc_id", "page").agg(F.collect_list("_w").alias("_w"), F.collect_list("_z").alias("_z"))
+    return met.select("doc_id", "page", "_w", F.explode("_z").alias("_z")).select("doc_id", "page", F.struct("page", "_z.wide", "_z.high", "_w").alias("_p"))
+
+
+def _page_code(p: Column) -> Column:
+    """What is wrong with a page, or null."""
+    on = lambda w: F.coalesce(reduce(lambda a, b: a & b, [w[c].between(0, 1) for c in ("x", "y", "width", "height")]) & (w["x"] + w["width"] <= 1.000001) & (w["y"] + w["height"] <= 1.000001), F.lit(False))
+    return _first_fault(("bad-size", _no((p["wide"] > 0) & (p["high"] > 0))), ("bad-word", ~F.forall(p["_w"], on)))
+
+
+def _page_parts(p: Column) -> Column:
+    """The texts of a page without faults: page, json and html."""
+
+    def texts(w: Column) -> Column:
+        bounds = F.struct(*[w[c].alias(c) for c in ("x", "y", "width", "height")])
+        pc = lambda c: F.format_string("%.4f", w[c] * 100)
+        style = F.concat(F.lit("left:"), pc("x"), F.lit("%;top:"), pc("y"), F.lit("%;width:"), pc("width"), F.lit("%;height:"), pc("height"), F.lit("%"))
+        e = lambda c: C.markup_escaped(F.coalesce(w[c].cast("string"), F.lit("")))
+        span = F.concat(F.lit('<span data-confidence="'), e("confidence"), F.lit('" style="'), style, F.lit('">'), e("text"), F.lit("</span>"))
+        one = F.to_json(F.struct(w["id"].alias("id"), F.coalesce(w["text"], F.lit("")).alias("text"), w["confidence"].alias("confidence"), bounds.alias("bounds")))
+        return F.struct(w["y"].alias("y"), w["x"].alias("x"), w["id"].alias("id"), one.alias("j"), span.alias("s"))
+
+    n, wide, high = (p[c].cast("string") for c in ("page", "wide", "high"))
+
+    def parts(w: Column) -> Column:
+        json = F.concat(F.lit('{"page":'), n, F.lit(',"width":'), wide, F.lit(',"height":'), high, F.lit(',"words":['), F.array_join(F.transform(w, lambda t: t["j"]), ","), F.lit("]}"))
+        html = F.concat(F.lit("<section><h2>Page "), n, F.lit('</h2><div class="ocr-page" style="aspect-ratio:'), wide, F.lit("/"), high, F.lit('">'), F.array_join(F.transform(w, lambda t: t["s"]), ""), F.lit("</div></section>"))
+        return F.struct(p["page"].alias("page"), json.alias("json"), html.alias("html"))
+
+    # Of a list of one, so that a page's texts are made and sorted once for both parts.
+    return F.transform(F.array(F.sort_array(F.transform(p["_w"], texts))), parts)[0]
+
+
 def layout_pages(words: DataFrame, sizes: DataFrame) -> DataFrame:
     """Recognized words (doc_id, page, id, text, confidence, x, y, width, height as shares of the page) and pages (doc_id, page,
     points_wide, points_high) as a part for each page: doc_id, page, n_words, json, html and code. Words are in the order of y,
     x and id; a page without words has empty parts. code is bad-size where a page has no positive size, bad-word where a word
     is not on its page, else null; then there are no parts. Words of a page without size are in no part."""
-    bounds = F.struct("x", "y", "width", "height")
-    on = F.coalesce(reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in ("x", "y", "width", "height")]) & (F.col("x") + F.col("width") <= 1.000001) & (F.col("y") + F.col("height") <= 1.000001), F.lit(False))
-    pc = lambda c: F.format_string("%.4f", F.col(c) * 100)
-    style = F.concat(F.lit("left:"), pc("x"), F.lit("%;top:"), pc("y"), F.lit("%;width:"), pc("width"), F.lit("%;height:"), pc("height"), F.lit("%"))
-    e = lambda c: C.markup_escaped(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    span = F.concat(F.lit('<span data-confidence="'), e("confidence"), F.lit('" style="'), style, F.lit('">'), e("text"), F.lit("</span>"))
-    one = F.to_json(F.struct("id", F.coalesce("text", F.lit("")).alias("text"), "confidence", bounds.alias("bounds")))
-    each = words.withColumns({"_on": on, "_j": one, "_s": span}).groupBy("doc_id", "page").agg(F.count("*").alias("n_words"), F.bool_and("_on").alias("_on"), F.sort_array(F.collect_list(F.struct("y", "x", "id", "_j", "_s"))).alias("_w"))
-    both = sizes.select("doc_id", "page", "points_wide", "points_high").join(each, ["doc_id", "page"], "left")
-    w = F.coalesce("_w", F.expr("array()").cast(each.schema["_w"].dataType))
-    code = _first_fault(("bad-size", _no((F.col("points_wide") > 0) & (F.col("points_high") > 0))), ("bad-word", ~F.coalesce("_on", F.lit(True))))
-    p, wide, high = (F.col(c).cast("string") for c in ("page", "points_wide", "points_high"))
-    json = F.concat(F.lit('{"page":'), p, F.lit(',"width":'), wide, F.lit(',"height":'), high, F.lit(',"words":['), F.array_join(F.transform(w, lambda s: s["_j"]), ","), F.lit("]}"))
-    html = F.concat(F.lit("<section><h2>Page "), p, F.lit('</h2><div class="ocr-page" style="aspect-ratio:'), wide, F.lit("/"), high, F.lit('">'), F.array_join(F.transform(w, lambda s: s["_s"]), ""), F.lit("</div></section>"))
-    return both.select("doc_id", "page", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.when(code.isNull(), json).alias("json"), F.when(code.isNull(), html).alias("html"), code.alias("code"))
+    each = _met_pages(words, sizes, "doc_id", "page").withColumn("code", _page_code(F.col("_p")))
+    each = each.withColumn("_t", F.when(F.col("code").isNull(), _page_parts(F.col("_p"))))
+    return each.select("doc_id", "page", F.size("_p._w").cast("long").alias("n_words"), "_t.json", "_t.html", "code")
 
 
 def layout_documents(words: DataFrame, sizes: DataFrame, title: str = "Positioned words") -> DataFrame:
     """The parts of ``layout_pages`` as a file for each document: doc_id, n_pages, n_words, json, html and code, that of the
     first page with one; then there are no files."""
-    each = layout_pages(words, sizes).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n_words").alias("n_words"), F.min_by("code", F.when(F.col("code").isNotNull(), F.col("page"))).alias("code"), F.sort_array(F.collect_list(F.struct("page", "json", "html"))).alias("_p"))
-    joined = lambda part, by: F.array_join(F.transform("_p", lambda s: s[part]), by)
+    each = _met_pages(words, sizes, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.size("_p._w")).alias("n_words"), F.collect_list("_p").alias("_p"))
+    faults = F.filter(F.transform("_p", lambda p: F.struct(p["page"].alias("page"), _page_code(p).alias("code"))), lambda f: f["code"].isNotNull() & f["page"].isNotNull())
+    each = each.withColumn("code", F.array_min(faults)["code"])
+    each = each.withColumn("_t", F.when(F.col("code").isNull(), F.sort_array(F.transform("_p", _page_parts))))
+    joined = lambda part, by: F.array_join(F.transform("_t", lambda s: s[part]), by)
     t = escaped(title)
     json = F.concat(F.lit('{"schemaVersion":1,"pages":['), joined("json", ","), F.lit("]}"))
     html = F.concat(F.lit(f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{t}</title><style>.ocr-page{{position:relative}}.ocr-page span{{position:absolute}}</style></head><body><h1>{t}</h1>'), joined("html", ""), F.lit("</body></html>"))
-    return each.select("doc_id", "n_pages", "n_words", F.when(F.col("code").isNull(), json).alias("json"), F.when(F.col("code").isNull(), html).alias("html"), "code")
+    return each.select("doc_id", "n_pages", "n_words", json.alias("json"), html.alias("html"), "code")
 
 
 def table_csv(words: DataFrame, most_rows: int = L.MOST_ROWS, most_columns: int = L.MOST_COLUMNS) -> DataFrame:
