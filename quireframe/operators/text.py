@@ -4,7 +4,6 @@ a text's terms, which an Arrow function takes where the text lies."""
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 from typing import NamedTuple
@@ -30,7 +29,6 @@ DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 AMOUNT = r"\$" + SPACES + r"?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?"
 #: Words that carry no topic, and a glossary.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "was", "were", "be", "as", "by", "with", "that", "this", "it", "from", "at")
-_STOPS = frozenset(w.encode() for w in STOP_WORDS)
 GLOSSARY = {"document": "documento", "page": "página", "form": "formulario", "signature": "firma", "review": "revisión", "accessibility": "accesibilidad", "redaction": "redacción", "print": "impresión", "measurement": "medición", "project": "proyecto", "summary": "resumen", "contract": "contrato", "value": "valor", "safety": "seguridad", "valve": "válvula"}
 #: Values of a kind that an extraction lists at most.
 LISTED = 50
@@ -168,36 +166,33 @@ def _shares(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from pairwise([0, *cuts.tolist(), len(sizes)])
 
 
+def _counted_terms(texts: pa.Array, most: int | None) -> tuple[np.ndarray, pa.StructArray]:
+    """How many terms each of these texts in lower case has, and ``term_counts`` of all, one after another."""
+    t = _tokens_in(texts)
+    met = pa.array(t.text * len(t.words) + t.number).dictionary_encode()  # so that terms are in order of occurrence
+    number = met.indices.to_numpy()
+    text, word = np.divmod(met.dictionary.to_numpy(), max(len(t.words), 1))
+    first = np.empty(len(text), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    tf = np.bincount(number, minlength=len(text))
+    begins = np.searchsorted(t.text, np.arange(len(texts)))
+    kept = np.flatnonzero(~(t.stop | t.short)[word])
+    if most is not None:
+        order = kept[np.lexsort((-tf[kept], text[kept]))]
+        kept = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < most]
+    rows = [t.words.take(pa.array(word[kept])).cast(pa.string()), pa.array(tf[kept], pa.int64()), pa.array(first[kept] - begins[text[kept]], pa.int32())]
+    return np.bincount(text[kept], minlength=len(texts)), pa.StructArray.from_arrays(rows, ["term", "tf", "first_pos"])
+
+
 def _counted(texts: pa.Array, most: int | None) -> pa.ListArray:
-    """``term_counts`` of texts in lower case. What is counted becomes an Arrow array every ``COUNTED_BYTES``, as a batch's terms take
-    many times its size as Python objects."""
-    done: list[pa.ListArray] = []
-    terms, tf, first, ends, size = [], [], [], [0], 0
-
-    def put_aside() -> None:
-        rows = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(first, pa.int32())], ["term", "tf", "first_pos"])
-        done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows))
-        for x in (terms, tf, first, ends):
-            x.clear()
-        ends.append(0)
-
-    for x in texts.cast(pa.large_binary()):
-        text = x.as_py() or b""
-        words = words_of(text)
-        at = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
-        own = [(w, n) for w, n in Counter(words).items() if len(w) >= 3 and w not in _STOPS]
-        if most is not None:
-            own = sorted(own, key=lambda wn: -wn[1])[:most]
-        terms += [w for w, _ in own]
-        tf += [n for _, n in own]
-        first += [at[w] for w, _ in own]
-        ends.append(len(terms))
-        size += len(text)
-        if size >= COUNTED_BYTES:
-            put_aside()
-            size = 0
-    put_aside()
-    return pa.concat_arrays(done)
+    """``term_counts`` of texts in lower case."""
+    done = [_counted_terms(texts[a:b], most) for a, b in _text_shares(texts)]
+    ends = np.cumsum(np.concatenate([[0], *[n for n, _ in done]]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([rows for _, rows in done]))
+
+
+def _text_shares(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return _shares(pc.binary_length(texts).fill_null(0).to_numpy())
 
 
 def term_counts(text: Column, most: int | None = None) -> Column:
@@ -212,9 +207,19 @@ def term_counts(text: Column, most: int | None = None) -> Column:
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf and first_pos of each document's terms; no shuffle."""
+    """doc_id, term, tf and first_pos of each document's terms; no shuffle. Of a batch of texts, Python holds the terms of
+    ``COUNTED_BYTES`` at a time."""
     ship_code(docs.sparkSession)
-    return docs.select("doc_id", F.explode(term_counts(F.col("text"))).alias("t")).select("doc_id", "t.*")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_TERMS.elementType.fields])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _text_shares(batch.column(1)):
+                n, rows = _counted_terms(batch.column(1)[a:b], None)
+                ids = batch.column(0)[a:b].take(pa.array(np.repeat(np.arange(b - a), n)))
+                yield pa.RecordBatch.from_arrays([ids, *rows.flatten()], names=schema.names)
+
+    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(counted, schema)
 
 
 def document_frequency(docs: DataFrame, least: int = 2) -> DataFrame:
