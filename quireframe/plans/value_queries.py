@@ -205,13 +205,17 @@ def print_review_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGS = "SELECT l_orderkey AS doc_id, l_linenumber AS seq, CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 6 WHEN 5 THEN CASE WHEN l_suppkey % 2 = 0 THEN 3 ELSE 2 END ELSE 2 END AS depth, CASE l_linenumber WHEN 1 THEN 'Document' WHEN 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'Table (x)' ELSE 'L' END WHEN 3 THEN 'LI' WHEN 4 THEN 'LBody \"a\"' WHEN 5 THEN 'H' || (l_suppkey % 3 + 1) WHEN 6 THEN 'H2' ELSE 'My-Role' END AS value FROM lineitem"
 
 
+#: The same rule in SQL: the table's rows are numbered as they come, by file and by row, and the first of those that share document and place counts.
+_FIRST_TAGS = _TAGS.replace("FROM lineitem", "FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM (SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER () AS place FROM lineitem) ORDER BY l_orderkey, l_linenumber, place)")
+
+
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of lines that share document and place the first of the table counts."""
+    """Of lines that share document and place the first of the table counts, by file and by row."""
     _firsts(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_suppkey").createOrReplaceTempView("tagged_lines")
     return spark.sql(_TAGS.replace("FROM lineitem", "FROM tagged_lines"))
 
 
-_SUMMARY = f"""WITH t AS (SELECT DISTINCT ON (doc_id, seq) * FROM ({_TAGS}) ORDER BY doc_id, seq), r AS (SELECT *, regexp_extract(value, '^([A-Za-z][A-Za-z0-9]*)(?:\\s|\\(|$)', 1) AS raw, CASE WHEN depth % 2 = 0 THEN depth ELSE 0 END AS d FROM t),
+_SUMMARY = f"""WITH t AS ({_FIRST_TAGS}), r AS (SELECT *, regexp_extract(value, '^([A-Za-z][A-Za-z0-9]*)(?:\\s|\\(|$)', 1) AS raw, CASE WHEN depth % 2 = 0 THEN depth ELSE 0 END AS d FROM t),
 k AS (SELECT *, CASE WHEN raw IN ({", ".join(f"'{x}'" for x in P.TAG_ROLES)}) THEN raw END AS role, lag(d) OVER w AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
 h AS (SELECT *, CASE WHEN regexp_matches(role, '^H[1-6]$') THEN substr(role, 2)::INT END AS lv, depth % 2 <> 0 OR CASE WHEN b IS NULL THEN d <> 0 ELSE d > b AND d <> b + 2 END AS fault FROM k),
 p AS (SELECT h.*, (SELECT arg_max(coalesce(q.role, '?'), q.seq) FROM k q WHERE q.doc_id = h.doc_id AND q.seq < h.seq AND q.d < h.d) AS above, last_value(lv IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
