@@ -234,7 +234,7 @@ def tag_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tag_roles(_tags(spark, sf_dir))
 
 
-@query(f"""WITH t AS (SELECT DISTINCT ON (doc_id, seq) * FROM ({_TAGS}) ORDER BY doc_id, seq), k AS (SELECT *, lag(CASE WHEN depth % 2 = 0 THEN depth ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM t)
+@query(f"""WITH t AS ({_FIRST_TAGS}), k AS (SELECT *, lag(CASE WHEN depth % 2 = 0 THEN depth ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM t)
 SELECT doc_id, seq FROM k WHERE depth % 2 <> 0 OR CASE WHEN b IS NULL THEN depth <> 0 ELSE depth > b AND depth <> b + 2 END""")
 def depth_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.depth_faults(_tags(spark, sf_dir), "doc_id", "seq", "depth").select("doc_id", "seq")
