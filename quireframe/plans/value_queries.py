@@ -228,7 +228,7 @@ def tag_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tag_summary(_tags(spark, sf_dir)).select("doc_id", "records", "unknown_roles", "bad_steps", "headings", "skips", "list_parents", "list_unknown", "complete")
 
 
-@query(f"""WITH t AS (SELECT DISTINCT ON (doc_id, seq) * FROM ({_TAGS}) ORDER BY doc_id, seq), r AS (SELECT doc_id, regexp_extract(value, '^([A-Za-z][A-Za-z0-9]*)(?:\\s|\\(|$)', 1) AS raw FROM t)
+@query(f"""WITH t AS ({_FIRST_TAGS}), r AS (SELECT doc_id, regexp_extract(value, '^([A-Za-z][A-Za-z0-9]*)(?:\\s|\\(|$)', 1) AS raw FROM t)
 SELECT doc_id, CASE WHEN raw IN ({", ".join(f"'{x}'" for x in P.TAG_ROLES)}) THEN raw END AS role, count(*) AS n FROM r GROUP BY 1, 2""")
 def tag_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tag_roles(_tags(spark, sf_dir))

@@ -16,7 +16,7 @@ def repeated_lines(tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", ["accessibility_review", "depth_faults", "tag_summaries"])
+@pytest.mark.parametrize("name", ["accessibility_review", "depth_faults", "tag_role_counts", "tag_summaries"])
 def test_sql_takes_the_first_of_the_table_whatever_its_threads(spark, repeated_lines, name):
     from quireframe.plans.queries import QUERIES, SQL
 
