@@ -100,19 +100,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     one part of ``SAMPLE_BYTES`` bytes at most, at a place that a hash of the key picks.
 
     The labels are sampled first and joined to the texts after, so that texts that are no sample are not moved. Null
-    texts, null keys and labels other than 0 and 1 are no sample; rows that repeat a key are one each, up to twice the
-    sample. With fewer than two usable rows of a class the model is the share of good labels (a half without labels).
+    texts, null keys and labels other than 0 and 1 are no sample. Of rows that repeat a key one is, that of the smallest
+    part, and of labels that repeat a key one of each kind: else tables that hold rows many times over would give all pairs
+    of them, and a sample of a few texts. With fewer than two usable rows of a class the model is the share of good labels
+    (a half without labels).
     """
     known = labels.select(labels[f"`{key}`"].alias("k"), labels[f"`{label}`"].alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     known = known.filter(~held_out(F.col("k")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     order = F.xxhash64("k", F.lit(SEED))
-    drawn = [known.filter(F.col("y") == y).orderBy(order, "k").limit(SAMPLE_ROWS) for y in (0, 1)]
+    drawn = [known.filter(F.col("y") == y).distinct().orderBy(order, "k").limit(SAMPLE_ROWS) for y in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # SAMPLE_ROWS rows of each class at most
     t = docs.select(docs[f"`{key}`"].alias("k"), F.encode(docs[f"`{text}`"], "UTF-8").alias("t")).filter("t IS NOT NULL")
     begin = F.pmod(F.xxhash64("k", F.lit(SEED + 1)), F.greatest(F.octet_length("t") - SAMPLE_BYTES + 1, F.lit(1))) + 1
-    rows = t.join(drawn, "k").select(F.col("y"), F.substring("t", begin.cast("int"), F.lit(SAMPLE_BYTES)).alias("t"), order.alias("o"), "k").orderBy("o", "k", "t").limit(2 * SAMPLE_ROWS).collect()
+    parts = t.join(drawn, "k").select("k", "y", F.substring("t", begin.cast("int"), F.lit(SAMPLE_BYTES)).alias("t"))
+    parts = parts.groupBy("k", "y").agg(F.min("t").alias("t"))
+    rows = parts.select("y", "t", order.alias("o"), "k").orderBy("o", "k").limit(2 * SAMPLE_ROWS).collect()  # there are no more
     of = [[bytes(r["t"]) for r in rows if r["y"] == y] for y in (0, 1)]
     if min(map(len, of)) < 2:
         return Model(b"", b"", [], [], [], share)

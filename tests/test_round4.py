@@ -31,3 +31,17 @@ def test_sql_takes_the_first_of_the_table_whatever_its_threads(spark, repeated_l
             c.execute(f"CREATE OR REPLACE TABLE want AS SELECT {columns} FROM ({SQL[name]})")
             for one, other in (("want", f"'{out}/*.parquet'"), (f"'{out}/*.parquet'", "want")):
                 assert not c.execute(f"SELECT {columns} FROM {one} EXCEPT ALL SELECT {columns} FROM {other} LIMIT 3").fetchall()
+
+
+def test_the_classifier_of_rows_that_repeat_is_that_of_each_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quireframe.llm import quality_classifier as Q
+
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", 20)
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "junk $$ ").otherwise("a sound sentence of words "), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4)).alias("text"))
+    labels = docs.select("doc_id", F.expr("int(doc_id % 2)").alias("quality"))
+    times = spark.range(7).drop("id")
+    assert Q.fit(docs.crossJoin(times), labels.crossJoin(times)) == Q.fit(docs, labels)
+    two = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~ "), "text")))
+    assert Q.fit(two, labels) == Q.fit(docs, labels)  # one text of each key, the smallest
